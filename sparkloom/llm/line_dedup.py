@@ -112,7 +112,7 @@ BITMAPS = "doc_id long, body long, keep binary, n_dropped long"
 
 def keep_bitmaps(docs: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
     """(doc_id, body, keep, n_dropped) of the documents that lose lines; body is the text's hash, keep a zlib-compressed bitmap
-    with a bit for each line up to the last dropped one, set where the line stays."""
+    with a bit for each line up to the last dropped one, set where the line stays; whole bytes, filled up with ones."""
     spark = docs.sparkSession
     rows = stored(postings(docs, least), "line-postings")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -141,7 +141,7 @@ def keep_bitmaps(docs: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
         for batch in batches:
             for doc, body, parts_ in zip(*(c.to_pylist() for c in batch.columns)):
                 gone = np.unique(np.frombuffer(b"".join(parts_), "<u4"))  # repeated rows hold the same lines
-                keep = np.ones(int(gone[-1]) + 1, bool)
+                keep = np.ones((int(gone[-1]) // 8 + 1) * 8, bool)
                 keep[gone] = False
                 ids.append(doc)
                 bodies.append(body)
