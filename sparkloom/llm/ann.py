@@ -24,6 +24,8 @@ from .common import arrow_schema, short_batches, stored
 BITS, SIGMAS, SEED = 512, 3.0, 20240521
 #: Queries and candidates of a block, at most.
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+#: Pairs that are gathered at once for exact products.
+RERANK_PAIRS = 1 << 16
 
 
 def rotation(dims: int, bits: int = BITS) -> np.ndarray:
@@ -76,7 +78,9 @@ def block_best(query_ids, queries, ids, x, k: int, turn: np.ndarray, sigmas: flo
         rows, columns = np.nonzero((high >= kth[:, None]) & ~own)
     else:
         rows, columns = np.nonzero(~own)
-    score = exact(queries[rows], x[columns])
+    # many equal vectors all pass: pairs are gathered a part at a time
+    parts = [slice(i, i + RERANK_PAIRS) for i in range(0, len(rows), RERANK_PAIRS)]
+    score = np.concatenate([exact(queries[rows[p]], x[columns[p]]) for p in parts]) if parts else np.zeros(0)
     order = np.lexsort((ids[columns], -score, rows))
     rows, columns, score = rows[order], columns[order], score[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
