@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, toxicity
+from sparkloom.llm import bpe, decontamination, jaccard, line_dedup, toxicity
 from sparkloom.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the grammar doesn't call toxic. A null doc_id is no key: such rows stay."""
-    labels = table(spark, sf_dir, "labels")
-    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
+    """Keeps the documents that the grammar, fitted on the labelled ones, doesn't call toxic."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out lines that an earlier document has; documents stay, also with no line left."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return jaccard.one_of_each_group(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in which no ten-word window of a benchmark item occurs."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("encode", encode)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("jaccard_join", dedup_near), ("decontamination", drop_contaminated), ("bpe", encode)]
 
+#: SQL can't express the toxicity grammar and the BPE digests; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
