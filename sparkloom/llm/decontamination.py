@@ -6,14 +6,12 @@ Positions run through the shard with a gap after each document, so no phrase rea
 
 search() takes the test phrases in slices of bounded size. In each shard a phrase starts from the postings of its rarest term
 there, shifted by the term's offset; the lists of the other terms, rarer ones first, are intersected with these starts. A
-phrase with a term that the shard lacks costs one look-up. What is left are exact occurrences. proximity() goes the same way
-with a tolerance around each offset.
+phrase with a term that the shard lacks costs one look-up. What is left are exact occurrences. A proximity search
+(slop) goes the same way with a tolerance around each offset.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -253,3 +251,9 @@ def digests(found: DataFrame, docs: DataFrame) -> DataFrame:
     out = found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"))
     nobody = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"))
     return out.unionByName(nobody).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs in which no window of an item occurs; rows without doc_id stay."""
+    hit = matches(docs, items, width).where("n_hit > 0").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)

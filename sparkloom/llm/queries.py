@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontamination, line_dedup, pii, quality, token_counts, toxicity, warc
+from . import ann, bpe, decontamination, jaccard, line_dedup, pii, quality, token_counts, toxicity, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -49,9 +53,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(table(spark, sf_dir, "documents"), ratings)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_counts, op4_decontamination, op5_ann, op6_line_dedup, op7_warc, op8_toxicity, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_token_counts, op4_decontamination, op5_ann, op6_line_dedup, op7_warc, op8_toxicity, op9_pii, op10_quality)}
 
 ORACLE_SQL = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 3) - 1], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 2)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e2.b FROM r JOIN e2 ON r.b = e2.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1) c USING (doc_id)
+""",
     "op5_ann": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
