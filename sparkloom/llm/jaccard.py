@@ -12,7 +12,7 @@ The product is taken in two steps, each over column blocks cut from a range-part
    pairs in proportion to the rows, also in columns that a third of all classes hold; links found here already join
    large groups of near copies.
 2. the rest: in columns with classes of different components so far, all pairs across components within the bounds.
-Overlap counts of the pairs are exact, from the whole sets. A pair within a component adds no component, so no link between
+Both steps drop pairs whose sets differ in too many of 256 parities. Overlap counts of the other pairs are exact, from the whole sets. A pair within a component adds no component, so no link between
 components is lost.
 """
 
@@ -49,7 +49,7 @@ def sets_of(column: pa.Array, width: int):
             yield tb.row_shingles(words.hash[words.first[i] : words.first[i + 1]], width)
 
 
-CLASSES = "doc_id long, n int, k1 long, k2 long, slice int, counts binary"
+CLASSES = "doc_id long, n int, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, slice int, counts binary"
 
 
 def classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -60,8 +60,9 @@ def classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         counts, any_row = np.zeros(1 << SKETCH_BITS, np.uint32), False
         for batch in batches:
-            n, k1, k2 = [], [], []
+            n, k1, k2, parity = [], [], [], []
             for s in sets_of(batch.column(1), width):
+                parity.append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1))
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 a, b = _key(s) if len(s) else (0, 0)
                 n.append(len(s))
@@ -69,11 +70,12 @@ def classes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
                 k2.append(b)
             any_row = any_row or bool(n)
             none = pa.nulls(len(n))
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=out)
+            bits = np.array(parity, np.uint8).reshape(-1, 32).view(np.int64)
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(bits[:, i]) for i in range(4)), none.cast(pa.int32()), none.cast(pa.binary())], schema=out)
         if any_row:
             none = pa.nulls(SLICES).cast(pa.int64())
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
-            yield pa.record_batch([none, none.cast(pa.int32()), none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=out)
+            yield pa.record_batch([none, none.cast(pa.int32()), *[none] * 6, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=out)
 
     return docs.select("doc_id", "text").mapInArrow(run, CLASSES)
 
@@ -121,7 +123,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, sketch) -> DataFra
             if parts:
                 yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)], schema=out)
 
-    return docs.select("text").mapInArrow(run, PREFIXES)
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, PREFIXES)
 
 
 ENTRIES = "h long, np long, k1 long, k2 long, x1 long, x2 long"
@@ -183,11 +185,16 @@ def neighbours(sorted_rows: DataFrame, num: int, den: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, ENTRIES)
 
 
-SETS = "k1 long, k2 long, shingles array<long>"
+SETS = "node long, shingles array<long>"
+
+
+def _spot(ids: np.ndarray) -> np.ndarray:
+    return (tb.mix(ids.view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
 
 def sets_for(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The whole sets of the classes in pairs. The texts are read again; a Bloom filter of fixed size tells which sets are worth sending."""
+    """(node, shingles) of the documents in pairs (a, b). The texts are read again; a Bloom filter of fixed size tells which sets are worth
+    making and sending."""
     spark = docs.sparkSession
     short_batches(spark)
     bits = 1 << BLOOM_BITS
@@ -196,45 +203,34 @@ def sets_for(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
         filled = np.zeros(bits, bool)
         for batch in batches:
             for c in batch.columns:
-                filled[c.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BLOOM_BITS)] = True
+                filled[_spot(c.to_numpy(zero_copy_only=False))] = True
         yield pa.record_batch({"filled": pa.array([zlib.compress(np.packbits(filled).tobytes(), 1)], pa.binary())})
 
     filled = np.zeros(bits // 8, np.uint8)
-    for r in pairs.select("k1", "x1").repartition(8).mapInArrow(mark, "filled binary").toLocalIterator():
+    for r in pairs.select("a", "b").repartition(8).mapInArrow(mark, "filled binary").toLocalIterator():
         filled |= np.frombuffer(zlib.decompress(r.filled), np.uint8)
     sent = spark.sparkContext.broadcast(filled)
     out = arrow_schema(spark, SETS)
 
     def run(batches):
-        wanted, seen = np.unpackbits(sent.value).astype(bool), set()
+        wanted = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            k1, k2, sets = [], [], []
-            for s in sets_of(batch.column(0), width):
-                if not len(s):
-                    continue
-                key = _key(s)
-                if wanted[(key[0] & 2**64 - 1) >> 64 - BLOOM_BITS] and key not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
-                    k1.append(key[0])
-                    k2.append(key[1])
-                    sets.append(s.view(np.int64))
-            yield pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=out)
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(pa.array(wanted[_spot(batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False))]))
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array([s.view(np.int64) for s in sets_of(batch.column(1), width)], pa.list_(pa.int64()))], schema=out)
 
-    wanted = pairs.select("k1", "k2").unionAll(pairs.select(F.col("x1").alias("k1"), F.col("x2").alias("k2"))).distinct()
-    found = docs.select("text").mapInArrow(run, SETS)
-    return stored(found.join(wanted, ["k1", "k2"], "left_semi"), "jaccard-sets")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, SETS)
 
 
 def links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (k1, k2, x1, x2) whose sets are similar: exact overlap counts."""
+    """The pairs (a, b) of documents whose sets are similar: exact overlap counts. All sides grow with the input, so none is broadcast."""
     sets = sets_for(docs, pairs, width)
-    sets = sets.groupBy("k1", "k2").agg(F.first("shingles").alias("shingles"))
-    left = sets.withColumnRenamed("shingles", "s")
-    right = sets.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("shingles").alias("t"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
     similar = common * (num + den) >= num * (F.size("s") + F.size("t"))
-    return pairs.join(left, ["k1", "k2"]).join(right, ["x1", "x2"]).where(similar).select("k1", "k2", "x1", "x2")
+    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(similar).select("a", "b").distinct()
 
 
 def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -242,57 +238,68 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
 
     Two documents link when their sets of width-word shingles have a Jaccard similarity of num / den or more. Null and empty texts
     and texts without words have no shingles and no links; a text of fewer words is one shingle. Copies link, also repeated rows
-    with one doc_id. A null doc_id has no component of its own (null) and lends none. An empty table gives an empty result;
+    with one doc_id. Rows without doc_id link with nothing; their component is null. An empty table gives an empty result;
     other columns are not read.
     """
     spark = docs.sparkSession
     first = stored(classes_and_sketch(docs, width), "jaccard-classes")
-    members = first.where("slice is null").select("doc_id", "n", "k1", "k2")
+    members = first.where("slice is null").drop("slice", "counts")
     sketch = spark.sparkContext.broadcast(summed_sketch(first.where("slice is not null").select("slice", "counts")))
 
     table = stored(prefixes(docs, width, num, den, sketch), "jaccard-prefixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = stored(neighbours(table.repartitionByRange(parts, "h", "np", "k1", "k2").sortWithinPartitions("h", "np", "k1", "k2"), num, den), "jaccard-entries")
 
+    # a class is known by its smallest doc_id
+    parities = [F.first(f"p{i}").alias(f"p{i}") for i in range(4)]
+    nodes = stored(members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *parities), "jaccard-nodes")
+
     pairs = entries.where("x1 is not null").groupBy("k1", "k2", "x1", "x2").count()
-    # of the pairs of a class the one that meets most often
+    # of the pairs of a class those that meet most often
     best = Window.partitionBy("k1", "k2").orderBy(F.col("count").desc(), "x1", "x2")
-    pairs = stored(pairs.withColumn("r", F.row_number().over(best)).where("r <= 2").select("k1", "k2", "x1", "x2"), "jaccard-pairs")
-
-    nodes = members.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min(F.xxhash64("k1", "k2")).alias("spare"))
-    # classes of rows without doc_id take part with a number that no document has
-    nodes = stored(nodes.select("k1", "k2", F.coalesce("node", F.lit(2**62) + F.pmod("spare", F.lit(2**61))).alias("node")), "jaccard-nodes")
-    edges = stored(as_nodes(links(docs, pairs, width, num, den), nodes), "jaccard-links")
+    pairs = pairs.withColumn("r", F.row_number().over(best)).where("r <= 2").select("k1", "k2", "x1", "x2")
+    x, y = end_of(nodes, "a", "k1", "k2"), end_of(nodes, "b", "x1", "x2")
+    pairs = pairs.join(x.hint("merge"), ["k1", "k2"]).join(y.hint("merge"), ["x1", "x2"]).where(near_enough(num, den))
+    edges = stored(links(docs, stored(pairs.select("a", "b"), "jaccard-pairs"), width, num, den), "jaccard-links")
     found = labels(nodes, edges)
 
     rest = stored(across(entries.where("x1 is null").select("h", "np", "k1", "k2"), found, num, den), "jaccard-rest")
     if not rest.isEmpty():
-        edges = edges.unionAll(as_nodes(links(docs, rest, width, num, den), nodes))
+        edges = edges.unionAll(links(docs, rest, width, num, den))
         found = labels(nodes, edges)
-    component = found.select("k1", "k2", F.when(F.col("component") < 2**62, F.col("component")).alias("component"))
-    joined = members.join(component, ["k1", "k2"], "left")
+    joined = members.join(found.select("k1", "k2", "component").hint("merge"), ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
-def as_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    other = nodes.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("node").alias("b"))
-    return pairs.join(nodes.withColumnRenamed("node", "a"), ["k1", "k2"]).join(other, ["x1", "x2"]).select("a", "b")
+def end_of(nodes: DataFrame, name: str, k1: str, k2: str) -> DataFrame:
+    """nodes as one end of a pair: number, size and parities with the end's name."""
+    return nodes.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(f"p{i}").alias(f"{name}_p{i}") for i in range(4)))
+
+
+def near_enough(num: int, den: int):
+    """Two sets differ in as many shingles at least as their 256 parities do; so many may be missing from the overlap that is needed."""
+    differ = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(4))
+    return F.expr(f"({differ}) <= a_n + b_n + 2 * floor(-{num}D * (a_n + b_n) / {num + den}D)")
 
 
 def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(k1, k2, component) of all classes."""
-    return nodes.join(components(edges), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    """nodes with component."""
+    component = components(edges).select(F.col("node").alias("_node"), "component")
+    return nodes.join(component.hint("merge"), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("component", F.coalesce("component", "node"))
 
 
 def across(entries: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes of different components that meet in a column and are within the bounds."""
-    rows = entries.distinct().join(found, ["k1", "k2"])
+    """Pairs (a, b) of classes of different components that meet in a column and are within the bounds."""
+    rows = entries.distinct().join(found.select("k1", "k2", "component").hint("merge"), ["k1", "k2"])
     mixed = rows.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("h")
-    rows = stored(rows.join(mixed, "h").select("h", "k1", "k2", "component", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("place")), "jaccard-mixed")
-    other = rows.select("h", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("place").alias("q"))
-    need = f"(1 + least(n - place - 1, m - q - 1)) * {num + den} >= {num} * (n + m)"
-    return rows.join(other, "h").where(f"component < c and least(n, m) * {den} >= greatest(n, m) * {num} and {need}").select("k1", "k2", "x1", "x2").distinct()
+    rows = rows.join(mixed.hint("merge"), "h").join(end_of(found, "a", "k1", "k2").hint("merge"), ["k1", "k2"])
+    kept = ["h", "component", F.col("np").bitwiseAND(0xFFFFFFFF).alias("a_place"), "a", "a_n", *(f"a_p{i}" for i in range(4))]
+    rows = stored(rows.select(*kept), "jaccard-mixed")
+    other = rows.select(*(F.col(c).alias({"h": "h", "component": "c"}.get(c, "b" + c[1:])) for c in rows.columns))
+    need = f"(1 + least(a_n - a_place - 1, b_n - b_place - 1)) * {num + den} >= {num} * (a_n + b_n)"
+    size = f"least(a_n, b_n) * {den} >= greatest(a_n, b_n) * {num}"
+    return rows.join(other.hint("merge"), "h").where(f"component < c and {size} and {need}").where(near_enough(num, den)).select("a", "b").distinct()
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
