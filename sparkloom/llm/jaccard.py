@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textblock as tb
-from .common import arrow_schema, short_batches, stored
+from .common import arrow_schema, drop_path, short_batches, stored, work_dir
 from .components import components
 
 SKETCH_BITS, SLICES, BLOOM_BITS = 22, 16, 25
@@ -246,18 +246,21 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     members = first.where("slice is null").drop("slice", "counts")
     sketch = spark.sparkContext.broadcast(summed_sketch(first.where("slice is not null").select("slice", "counts")))
 
-    table = stored(prefixes(docs, width, num, den, sketch), "jaccard-prefixes")
+    path = work_dir(spark, "jaccard-prefixes")
+    prefixes(docs, width, num, den, sketch).write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(PREFIXES).parquet(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = stored(neighbours(table.repartitionByRange(parts, "h", "np", "k1", "k2").sortWithinPartitions("h", "np", "k1", "k2"), num, den), "jaccard-entries")
+    drop_path(spark, path)  # nothing reads it from here on
 
     # a class is known by its smallest doc_id
     parities = [F.first(f"p{i}").alias(f"p{i}") for i in range(4)]
     nodes = stored(members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *parities), "jaccard-nodes")
 
     pairs = entries.where("x1 is not null").groupBy("k1", "k2", "x1", "x2").count()
-    # of the pairs of a class those that meet most often
+    # of the pairs of a class the one that meets most often
     best = Window.partitionBy("k1", "k2").orderBy(F.col("count").desc(), "x1", "x2")
-    pairs = pairs.withColumn("r", F.row_number().over(best)).where("r <= 2").select("k1", "k2", "x1", "x2")
+    pairs = pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("k1", "k2", "x1", "x2")
     x, y = end_of(nodes, "a", "k1", "k2"), end_of(nodes, "b", "x1", "x2")
     pairs = pairs.join(x.hint("merge"), ["k1", "k2"]).join(y.hint("merge"), ["x1", "x2"]).where(near_enough(num, den))
     edges = stored(links(docs, stored(pairs.select("a", "b"), "jaccard-pairs"), width, num, den), "jaccard-links")
