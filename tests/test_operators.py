@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
-from sparkloom.plans import catalog, oracle
+from sparkloom.plans import catalog, more, oracle
 from sparkloom.sources import loaders as L
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, SQL = catalog.QUERIES | more.QUERIES, oracle.ORACLE_SQL | more.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -23,14 +24,14 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, name):
-    assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(oracle.ORACLE_SQL[name]).df())
+    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(oracle.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_html():
