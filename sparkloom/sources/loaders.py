@@ -19,6 +19,8 @@ Section = list[tuple[str, str]]
 #: Elements that hold no content, and elements that never have an end tag.
 DROPPED = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside", "form", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Open elements without an end tag that a start tag ends.
+ENDED_BY = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 BLOCKS = {"p": "Text", "blockquote": "Text", "dd": "Text", "dt": "Text", "li": "List-item"}
 DEPTH = 3
 
@@ -32,7 +34,7 @@ class _Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "td", "th", "tr", "dd", "dt") and self.open[-1][0] == tag:
+        while self.open[-1][0] in ENDED_BY.get(tag, ()):
             self.open.pop()
         node = [tag, []]
         self.open[-1][1].append(node)
