@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,14 +86,22 @@ def body_size(lines: DataFrame) -> DataFrame:
 def fixed_windows(hits: DataFrame, seconds: int, most: int) -> DataFrame:
     """hits (key, ts, id) with allowed: at most `most` in a window that begins with its first hit and lasts so many seconds.
 
-    A window depends on the one before it, so each key's times are folded in order; a key's hits are one sorted array of numbers.
+    A window depends on the one before it, so each key's hits are read in order of time and id; they stream past, sorted on disk where
+    they must be, with a window's begin and count as the only state. Hits without time are left out.
     """
-    rows = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id"))).alias("hits"))
-    start = F.struct(F.lit(-(1 << 60)).alias("begin"), F.lit(0).alias("n"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out"))
-
-    def fold(state: Column, hit: Column) -> Column:
-        fresh = hit["t"] - state["begin"] >= seconds * 1_000_000
-        n = F.when(fresh, F.lit(1)).otherwise(state["n"] + 1)
-        return F.struct(F.when(fresh, hit["t"]).otherwise(state["begin"]).alias("begin"), n.alias("n"), F.array_append(state["out"], F.struct(hit["id"].alias("id"), (n <= most).alias("allowed"))).alias("out"))
-
-    return rows.select("key", F.explode(F.aggregate("hits", start, fold)["out"]).alias("x")).select("key", "x.id", "x.allowed")
+    rows = hits.where("ts is not null").select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id")
+    kind, micros = dict(rows.dtypes)["key"], seconds * 1_000_000
+
+    def run(batches):
+        # a partition may hold several keys, one after the other
+        last, begin, n = object(), 0, 0
+        for batch in batches:
+            allowed = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != last or t - begin >= micros:
+                    last, begin, n = key, t, 0
+                n += 1
+                allowed.append(n <= most)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(allowed, pa.bool_())], names=["key", "id", "allowed"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(run, f"key {kind}, id long, allowed boolean")
