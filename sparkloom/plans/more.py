@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..operators import search as D
 from ..streaming import events as V
 from .catalog import read
+from .oracle import _SECTIONS
+from .oracle import ORACLE_SQL as _FIRST
 
 DAY = 24 * 3600
 
@@ -78,7 +80,31 @@ w AS (
 p AS (SELECT h.key, h.id, h.ts, max(w.b) AS b FROM h JOIN w ON w.key = h.key AND w.b <= h.ts GROUP BY 1, 2, 3)
 SELECT key, id, row_number() OVER (PARTITION BY key, b ORDER BY ts, id) <= 3 AS allowed FROM p"""
 
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_LEXICAL = f"""
+WITH q AS (
+  SELECT DISTINCT item_id AS q_id, unnest(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS term FROM benchmark b JOIN embeddings ON vec_id = item_id WHERE item_id < 8),
+d AS (
+  SELECT chunk_id, term, count(*) AS n FROM (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE lang = 'en') GROUP BY 1, 2),
+s AS (SELECT q_id, chunk_id, round(sum(n)::DOUBLE * 0.1::DOUBLE, 6) AS lexical_rank FROM q JOIN d USING (term) WHERE term NOT IN ({_STOP}) GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY lexical_rank DESC, chunk_id)::INTEGER AS l_rank FROM s QUALIFY l_rank <= 20"""
+
 ORACLE_SQL = {
+    "lexical_rank": _LEXICAL,
+    "rrf_fusion": f"""
+SELECT q_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + v_rank), 0) + coalesce(1.0::DOUBLE / (60 + l_rank), 0), 8) AS rrf,
+  CASE WHEN l_rank IS NULL THEN 'vector' WHEN v_rank IS NULL THEN 'lexical' ELSE 'both' END AS source
+FROM ({_FIRST["dense_topk"]}) v FULL JOIN ({_LEXICAL}) l USING (q_id, chunk_id)""",
+    "choose_document_chunks": f"""
+WITH {_SECTIONS},
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY chunk_index) AS depth, max(run) OVER (PARTITION BY doc_id) AS sections, count(*) OVER (PARTITION BY doc_id) AS total FROM runs),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth, run) AS turn FROM x)
+SELECT doc_id, chunk_index, run FROM y
+WHERE total <= 4 OR (sections > 4 AND depth = 1 AND list_contains([floor(p * (sections - 1) / 3.0 + 0.5)::BIGINT FOR p IN range(4)], run - 1)) OR (total > 4 AND sections <= 4 AND turn <= 4)""",
+    "box_iou": """
+WITH b AS (SELECT l_orderkey, l_linenumber, l_discount AS a_left, l_tax AS a_low, l_discount + 0.5::DOUBLE AS a_right, l_tax + 0.5::DOUBLE AS a_top, l_tax AS b_left, l_discount AS b_low, l_tax + l_quantity / 50.0::DOUBLE AS b_right, l_discount + l_quantity / 50.0::DOUBLE AS b_top FROM lineitem),
+c AS (SELECT *, greatest(0, least(a_right, b_right) - greatest(a_left, b_left)) * greatest(0, least(a_top, b_top) - greatest(a_low, b_low)) AS common, greatest(0, a_right - a_left) * greatest(0, a_top - a_low) + greatest(0, b_right - b_left) * greatest(0, b_top - b_low) AS areas FROM b)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN areas - common > 0 THEN common / (areas - common) ELSE 0 END, 6) AS iou FROM c""",
     "stream_buckets": """
 SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 01:00:00') AS bucket_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2""",
     "stream_rate_limit": _WINDOWS,
