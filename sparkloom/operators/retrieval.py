@@ -34,8 +34,13 @@ def ranked(df: DataFrame, score: str, name: str, k: int) -> DataFrame:
 
 def dense(questions: DataFrame, vectors: DataFrame, k: int = POOL) -> DataFrame:
     """q_id, chunk_id, similarity, v_rank: exact cosine over the vectors of the question's scope."""
-    pairs = vectors.join(questions.select("q_id", "scope", F.col("embedding").alias("q")), "scope")
-    scored = pairs.select("q_id", "chunk_id", F.round(F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), 6).alias("similarity"))
+    norm = lambda x: F.sqrt(dot(F.col(x), F.col(x)))
+    asked = questions.select("q_id", "scope", F.col("embedding").alias("q"), norm("embedding").alias("q_norm"))
+    # lengths are worked out once for a vector, not for each pair
+    pairs = vectors.withColumn("norm", norm("embedding")).join(asked, "scope")
+    norms = F.col("norm") * F.col("q_norm")
+    cosine_ = F.when((F.size("embedding") == F.size("q")) & (norms > 0), dot(F.col("embedding"), F.col("q")) / norms)
+    scored = pairs.select("q_id", "chunk_id", F.round(F.coalesce(cosine_, F.lit(0.0)), 6).alias("similarity"))
     return ranked(scored, "similarity", "v_rank", k)
 
 
