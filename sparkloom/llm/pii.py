@@ -40,9 +40,13 @@ SPELLED = {
 }
 _DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _BETWEEN = r"[\s,.()-]{1,3}"
-DIGITS = re.compile(rf"(?<!\w)(?:(?:plus|\+){_BETWEEN}|\+)?(?:{_DIGIT_WORD}|[0-9])(?:{_BETWEEN}(?:{_DIGIT_WORD}|[0-9]+))*{_BETWEEN}{_DIGIT_WORD}(?:{_BETWEEN}(?:{_DIGIT_WORD}|[0-9]+))*(?!\w)", re.I)
-DIGIT_RUN = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:{_BETWEEN}{_DIGIT_WORD}){{3}}", re.I)
-WORD_OR_DIGIT = re.compile(rf"{_DIGIT_WORD}|plus|[+0-9]", re.I)
+_ELEMENT = rf"(?:{_DIGIT_WORD}|[0-9]+)"
+DIGITS = re.compile(rf"(?<!\w)(?:(?:plus|\+){_BETWEEN}|\+)?{_ELEMENT}(?:{_BETWEEN}{_ELEMENT})+(?!\w)", re.I)
+#: A spelled digit beside a spelled or plain one: all runs of DIGITS that hold a spelled digit have it.
+SPELLED_PAIR = re.compile(rf"(?<!\w){_DIGIT_WORD}{_BETWEEN}(?:{_DIGIT_WORD}(?!\w)|[0-9])|[0-9]{_BETWEEN}{_DIGIT_WORD}(?!\w)", re.I)
+DIGIT_WORD = re.compile(_DIGIT_WORD, re.I)
+WORD_OR_DIGIT = re.compile(rf"{_DIGIT_WORD}|(?:plus|\+){_BETWEEN}|[+0-9]", re.I)
+LONG_RUN = re.compile(r"\+?(?:[0-9][\s,.()-]{0,3}){7,}[0-9]")
 _DOT = "(?:dot|punkt|point|punto)"
 _AT = "(?:at|ät|arobase|arroba|@)"
 #: Top-level domains by which plain "at" and "dot" between words are an address and not prose.
@@ -54,6 +58,9 @@ DOMAIN = re.compile(rf"@[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\x00|\.)[A-Za-z0-9-]+)+"
 BARE_DOT = re.compile(rf"\s+{_DOT}\s+", re.I)
 DOTTED_LOCAL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s+{_DOT}\s+|\x00)[A-Za-z0-9_%+-]+)+(?=@)", re.I)
 DOTTED_DIGITS = re.compile(rf"(?<![0-9])[0-9]+(?:(?:\s+{_DOT}\s+|\x00|\.)[0-9]+){{3}}(?![0-9])", re.I)
+_NUMBER = rf"(?:[0-9]{{2,}}|(?:{_DIGIT_WORD}|[0-9])(?:[\s-]{{1,3}}(?:{_DIGIT_WORD}|[0-9])(?!\w)){{0,2}})"
+SPELLED_IP = re.compile(rf"(?<!\w){_NUMBER}(?:(?:\s+{_DOT}\s+|\x00|\.){_NUMBER}){{3}}(?!\w)", re.I)
+_IP_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]|{_DOT}|\x00|\.", re.I)
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + INVISIBLE) + "٠-٩０-９Ａ-Ｚａ-ｚ＠．－＋]")
 _DISGUISED = re.compile(rf"\s{_DOT}\s|[\[({{<]\s*(?:{_DOT}|{_AT}|\.)\s*[\])}}>]", re.I)
 
@@ -105,11 +112,13 @@ class Tape:
         self.text, self.begin, self.end = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, pattern: re.Pattern, output) -> None:
-        """Each match becomes output(match); a new character stands for the whole match, the others stay."""
+        """Each match becomes output(match); a new character stands for the whole match, the others stay. A match whose output is None stays too."""
         parts, begin, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             a, b = m.span()
             new = output(m)
+            if new is None:
+                continue
             parts += [self.text[at:a], new]
             begin += [*self.begin[at:a], *[self.begin[a]] * len(new)]
             end += [*self.end[at:a], *[self.end[b - 1]] * len(new)]
@@ -118,11 +127,15 @@ class Tape:
             self.text = "".join([*parts, self.text[at:]])
             self.begin, self.end = [*begin, *self.begin[at:]], [*end, *self.end[at:]]
 
-    def inside(self, outer: re.Pattern, inner: re.Pattern, output) -> None:
-        """rewrite(inner) within the matches of outer only."""
-        spots = {(m.start() + n.start(), m.start() + n.end()) for m in outer.finditer(self.text) for n in inner.finditer(m[0])}
+    def inside(self, outer: re.Pattern, inner: re.Pattern, output, only=None) -> None:
+        """rewrite(inner) within the matches of outer (for which only holds)."""
+        spots = {(m.start() + n.start(), m.start() + n.end()) for m in outer.finditer(self.text) if only is None or only(m) for n in inner.finditer(m[0])}
         if spots:
-            self.rewrite(re.compile(inner.pattern, inner.flags), lambda n: output(n) if n.span() in spots else n[0])
+            self.rewrite(re.compile(inner.pattern, inner.flags), lambda n: output(n) if n.span() in spots else None)
+
+    def rewritten(self, m: re.Match) -> bool:
+        """A character of the match stands for several of the source."""
+        return any(self.end[i] - self.begin[i] > 1 for i in range(*m.span()))
 
 
 def _letter(m: re.Match) -> str:
@@ -132,28 +145,38 @@ def _letter(m: re.Match) -> str:
 
 def _digit(m: re.Match) -> str:
     word = m[0].lower()
-    return "+" if word == "plus" else SPELLED.get(word, word)
+    return "+" if word.startswith(("plus", "+")) else SPELLED.get(word, word)
+
+
+def _ip(m: re.Match) -> str | None:
+    """The address in plain digits; None if no digit is spelled."""
+    if not DIGIT_WORD.search(m[0]):
+        return None
+    parts = (n[0].lower() for n in _IP_PART.finditer(m[0]))
+    return "".join(SPELLED.get(x, x if x.isdigit() else ".") for x in parts)
 
 
 def normalise(text: str) -> Tape | None:
     """The tape after all transducers; None if there is nothing that they would rewrite."""
-    odd, disguised, spelled = (p.search(text) for p in (_ODD, _DISGUISED, DIGIT_RUN))
+    odd, disguised, spelled = (p.search(text) for p in (_ODD, _DISGUISED, SPELLED_PAIR))
     if not (odd or disguised or spelled):
         return None
     tape = Tape(text)
     if odd:
         tape.rewrite(_ODD, _letter)
-    if odd or disguised:
-        tape.rewrite(BOXED_AT, lambda m: "@")
-        tape.rewrite(BOXED_DOT, lambda m: "\0")
-        tape.rewrite(BARE_AT, lambda m: "@")
-        for outer in (DOMAIN, DOTTED_LOCAL, DOTTED_DIGITS):
-            tape.inside(outer, BARE_DOT, lambda m: ".")
-        tape.rewrite(re.compile("\0"), lambda m: ".")
+    tape.rewrite(BOXED_AT, lambda m: "@")
+    tape.rewrite(BOXED_DOT, lambda m: "\0")
+    tape.rewrite(SPELLED_IP, _ip)
+    tape.rewrite(BARE_AT, lambda m: "@")
+    for outer in (DOMAIN, DOTTED_LOCAL, DOTTED_DIGITS):
+        tape.inside(outer, BARE_DOT, lambda m: ".")
+    tape.rewrite(re.compile("\0"), lambda m: ".")
     if odd or spelled:
-        tape.inside(DIGITS, WORD_OR_DIGIT, _digit)
-        tape.inside(re.compile(r"\+?(?:[0-9][\s,.()-]{0,3}){7,}[0-9]"), re.compile(r"[\s,]{1,3}"), lambda m: " ")
-        tape.rewrite(re.compile(r"(?<=[+0-9]) (?=[0-9] ?(?![0-9]))"), lambda m: "")
+        tape.inside(DIGITS, WORD_OR_DIGIT, _digit, lambda m: DIGIT_WORD.search(m[0]))
+        # plain digits alone are read by the base patterns, odd ones as spelled ones
+        only = None if odd else tape.rewritten
+        tape.inside(LONG_RUN, re.compile(r"[\s,]{1,3}"), lambda m: " ", only)
+        tape.inside(LONG_RUN, re.compile(r"(?<=[+0-9]) (?=[0-9] ?(?![0-9]))"), lambda m: "", only)
     return tape
 
 
