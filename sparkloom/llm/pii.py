@@ -53,7 +53,16 @@ _AT = "(?:at|ät|arobase|arroba|@)"
 _TOP = "(?:com|org|net|edu|gov|info|biz|io|dev|app|ai|co|eu|de|fr|es|it|uk|us|ch|at|nl|be|ca|au|mx)"
 BOXED_AT = re.compile(rf"\s*[\[({{<]\s*{_AT}\s*[\])}}>]\s*", re.I)
 BOXED_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
-BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s+(?:at|arobase|arroba|@)\s+(?=[A-Za-z0-9-]+(?:\x00[A-Za-z0-9-]|(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*\s+{_DOT}\s+{_TOP}(?![A-Za-z0-9-])))", re.I)
+_LABELS = rf"[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\x00|\.)[A-Za-z0-9-]+)+"
+BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s+(?P<at>at|arobase|arroba|@)\s+(?=(?P<domain>{_LABELS}))", re.I)
+KNOWN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:\x00[A-Za-z0-9-]|(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*\s+{_DOT}\s+{_TOP}(?![A-Za-z0-9-]))", re.I)
+LABEL_DOT = re.compile(rf"(\s+{_DOT}\s+|\x00|\.)", re.I)
+#: Longer top-level labels that plain "at" and "dot" need; other signs or real dots go with any label.
+_LONG_TOP = frozenset("info name asia jobs mobi online shop site store tech cloud club email blog live news world life agency digital solutions academy museum travel design studio media group global network services software systems".split())
+#: Fixed values, by which prose is told from an address: words that end no address, that begin no domain, and that come before "at" or "@".
+_NO_TOP = frozenset("the and for but nor that this these those which who whom whose what when where why how with from into onto over under near not was were had has his her its our you she him they them their then than there out off via per may can did does all any are one two let yet too now of or if he we as by an on is was und der die das den dem auf ein mit von ist bei les des une est dans sur par pour los las una del con por que html htm php txt pdf png jpg gif css json xml csv doc zip exe".split())
+_NO_FIRST = frozenset("the a an this that these those some any no one each every which what another its his her our your their my most least".split())
+_PROSE = frozenset("look looks looked looking stare stares stared staring point points pointed pointing glance glanced gaze gazed aim aimed meet meets met us me him her them it he she they we you is are was were be been am here there up sign signed log logged online available hosted live site website page pages blog visit see seen read more found find published work works worked working arrive arrives arrived shop buy order orders stop stopped start started begin began stay stayed stayed listed located and or not but only even".split())
 DOMAIN = re.compile(rf"@[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\x00|\.)[A-Za-z0-9-]+)+", re.I)
 BARE_DOT = re.compile(rf"\s+{_DOT}\s+", re.I)
 DOTTED_LOCAL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s+{_DOT}\s+|\x00)[A-Za-z0-9_%+-]+)+(?=@)", re.I)
@@ -62,7 +71,7 @@ _NUMBER = rf"(?:[0-9]{{2,}}|(?:{_DIGIT_WORD}|[0-9])(?:[\s-]{{1,3}}(?:{_DIGIT_WOR
 SPELLED_IP = re.compile(rf"(?<!\w){_NUMBER}(?:(?:\s+{_DOT}\s+|\x00|\.){_NUMBER}){{3}}(?!\w)", re.I)
 _IP_PART = re.compile(rf"{_DIGIT_WORD}|[0-9]|{_DOT}|\x00|\.", re.I)
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + INVISIBLE) + "٠-٩０-９Ａ-Ｚａ-ｚ＠．－＋]")
-_DISGUISED = re.compile(rf"\s{_DOT}\s|[\[({{<]\s*(?:{_DOT}|{_AT}|\.)\s*[\])}}>]", re.I)
+_DISGUISED = re.compile(rf"\s{_DOT}\s|\s@\s|\s(?:at|arobase|arroba)\s+[A-Za-z0-9-]+\.|[\[({{<]\s*(?:{_DOT}|{_AT}|\.)\s*[\])}}>]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -156,6 +165,27 @@ def _ip(m: re.Match) -> str | None:
     return "".join(SPELLED.get(x, x if x.isdigit() else ".") for x in parts)
 
 
+def _at(m: re.Match) -> str | None:
+    """@ if the words around are an address and not prose."""
+    if KNOWN_DOMAIN.match(m.string, m.end()):
+        return "@"
+    parts = LABEL_DOT.split(m["domain"])
+    labels, dots = parts[::2], parts[1::2]
+    plain = m["at"].lower() == "at"
+    # what follows the first label that is no part of a domain is the text that goes on
+    first = labels[0].lower()
+    if first in _NO_FIRST or not any(c.isalpha() for c in first) or (plain and LOCAL.search(m.string, max(0, m.start() - 64), m.start())[0].lower() in _PROSE):
+        return None
+    top, dot = labels[1], dots[0]
+    for label, mark in zip(labels[2:], dots[1:]):
+        if label.lower() in _NO_TOP or not label[0].islower() and mark == ".":
+            break
+        top, dot = label, mark
+    if not (top.isalpha() and 2 <= len(top) <= 24) or top.lower() in _NO_TOP or not (top.islower() or top.isupper()):
+        return None
+    return "@" if not plain or dot.strip() in (".", "\0") or len(top) <= 3 or top.lower() in _LONG_TOP else None
+
+
 def normalise(text: str) -> Tape | None:
     """The tape after all transducers; None if there is nothing that they would rewrite."""
     odd, disguised, spelled = (p.search(text) for p in (_ODD, _DISGUISED, SPELLED_PAIR))
@@ -167,7 +197,7 @@ def normalise(text: str) -> Tape | None:
     tape.rewrite(BOXED_AT, lambda m: "@")
     tape.rewrite(BOXED_DOT, lambda m: "\0")
     tape.rewrite(SPELLED_IP, _ip)
-    tape.rewrite(BARE_AT, lambda m: "@")
+    tape.rewrite(BARE_AT, _at)
     for outer in (DOMAIN, DOTTED_LOCAL, DOTTED_DIGITS):
         tape.inside(outer, BARE_DOT, lambda m: ".")
     tape.rewrite(re.compile("\0"), lambda m: ".")

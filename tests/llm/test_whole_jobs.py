@@ -32,3 +32,20 @@ def test_mixed_spelled_digits(kind, found):
 def test_plain_digits_do_not_hang_on_spelled_ones_elsewhere():
     plain = "4111  1111  1111  1111"
     assert kinds(plain) == [] and kinds(f"{plain} and page one 2") == []
+
+
+@pytest.mark.parametrize(
+    "found",
+    ["jane @ example.com", "jane at example.com", "jane at example dot pl", "jane at example dot jp", "jane at example dot xyz", "jane.doe at mail.example.co.jp", "jane @ example dot berlin", "jane arroba ejemplo.es", "jane arobase exemple point paris", "jane at example dot online", "jane dot doe at example dot pl"],
+)
+def test_disguised_addresses(found):
+    for text in (found, f"Write to {found}, please", f"({found}) and {found}."):
+        assert ("email", found) in kinds(text), text
+
+
+@pytest.mark.parametrize(
+    "prose",
+    ["look at the dot on that page", "at some point he left", "the water at boiling point turns", "at one point the dog", "visit us at example.com today", "5 apples @ 2.50 each", "stared at red dot in anger", "he stayed at home.Then he left", "at 10.am we met", "available at example.org", "it is at index.html now"],
+)
+def test_prose_is_no_address(prose):
+    assert kinds(prose) == []
