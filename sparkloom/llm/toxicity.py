@@ -155,18 +155,36 @@ def _prefixes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return tb.mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64))
 
 
-def without_quotes(data: np.ndarray) -> np.ndarray:
-    """General punctuation of three bytes (quotes, dashes, dots) read as spaces."""
-    lead = np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81))) if len(data) > 2 else []
-    if len(lead):
-        data = data.copy()
-        for k in range(3):
-            data[lead + k] = 0x20
-    return data
+_letters: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """By code point: whether TOKEN takes it as part of a word."""
+    if not _letters:
+        _letters.append(np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000))
+    return _letters[0]
+
+
+def only_letters(data: np.ndarray) -> np.ndarray:
+    """The bytes with all that is not ASCII and no letter of TOKEN read as spaces, so that words end where TOKEN ends them."""
+    out = data
+    for size, least, most, mask in ((2, 0xC0, 0xDF, 0x1F), (3, 0xE0, 0xEF, 0x0F), (4, 0xF0, 0xF7, 0x07)):
+        lead = np.flatnonzero((data >= least) & (data <= most))
+        if not len(lead):
+            continue
+        code = data[lead].astype(np.int64) & mask
+        for k in range(1, size):
+            code = code << 6 | data[lead + k] & 0x3F
+        lead = lead[~letters()[code]]
+        if len(lead):
+            out = data.copy() if out is data else out
+            for k in range(size):
+                out[lead + k] = 0x20
+    return out
 
 
 def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tb.Words]:
-    data = without_quotes(data)
+    data = only_letters(data)
     return data, tb.words(data, offsets, SEPARATORS)
 
 
@@ -243,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Grammar:
         for batch in batches:
             out = {}
             for x in batch.column(0).to_pylist():
-                data = without_quotes(np.frombuffer(x.encode(), np.uint8))
+                data = only_letters(np.frombuffer(x.encode(), np.uint8))
                 words = tb.words(data, np.array([0, len(data)]), SEPARATORS)
                 folded = tb.ASCII_FOLD[data].tobytes()
                 for size in (0, *STEM_BYTES):

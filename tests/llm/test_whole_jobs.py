@@ -1,8 +1,10 @@
 """Cases that shortcuts of the corpus operators used to leave out."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from sparkloom.llm import pii
+from sparkloom.llm import pii, toxicity
 
 
 def kinds(text):
@@ -49,3 +51,20 @@ def test_disguised_addresses(found):
 )
 def test_prose_is_no_address(prose):
     assert kinds(prose) == []
+
+
+def test_scorer_reads_every_text_that_the_grammar_matches():
+    grammar = toxicity.Grammar({w: (1.0, 1) for w in toxicity.SEED_INSULTS}, {b"schuf": (0.9, 1), "dégu".encode(): (0.8, 1)})
+    scorer = toxicity.Scorer(grammar)
+    marks = [" ", "¡", "¿", "«", "»", "、", "。", "！", "’", "…", "²", "٣", "́", "\U0001f600", "\U0001d400", "中", "_", "7", "-"]
+    texts = [f"Tu es un {a}{w}{b} !" for w in ("connard", "imbecile", "Gilipollas", "cabrón", "Schufte", "dégueulasse", "kill") for a in ["", *marks] for b in ["", *marks]] + ["", "clean", "é"]
+    want = [grammar.score(grammar.matches(x)) for x in texts]
+    assert scorer(pa.array(texts)).tolist() == want and sum(x > want[-1] for x in want) > 1000
+    assert len(set(map(bytes, map(toxicity.text_arcs, ("un connard", "un connard", "un ¡connard!"))))) == 1
+
+
+def test_words_end_where_tokens_end():
+    every = "".join(f"a{chr(c)}b " for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000)
+    data, words = toxicity.word_table(np.frombuffer(every.encode(), np.uint8), np.array([0, len(every.encode())]))
+    found = [data[a:b].tobytes().decode() for a, b in zip(words.start.tolist(), words.end.tolist())]
+    assert found == [x for x in toxicity.TOKEN.findall(every) if x.isalnum()]
