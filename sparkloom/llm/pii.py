@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,8 @@ from .common import arrow_schema, short_batches
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match begins where a run of digits does, as what must follow a run is the same from all places in it.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -51,8 +53,9 @@ _DOT = "(?:dot|punkt|point|punto)"
 _AT = "(?:at|ät|arobase|arroba|@)"
 #: Top-level domains by which plain "at" and "dot" between words are an address and not prose.
 _TOP = "(?:com|org|net|edu|gov|info|biz|io|dev|app|ai|co|eu|de|fr|es|it|uk|us|ch|at|nl|be|ca|au|mx)"
-BOXED_AT = re.compile(rf"\s*[\[({{<]\s*{_AT}\s*[\])}}>]\s*", re.I)
-BOXED_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
+#: In brackets; the white space around goes with it.
+BOXED_AT = re.compile(rf"[\[({{<]\s*+{_AT}\s*+[\])}}>]\s*+", re.I)
+BOXED_DOT = re.compile(rf"[\[({{<]\s*+(?:{_DOT}|\.)\s*+[\])}}>]\s*+", re.I)
 _LABELS = rf"[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\x00|\.)[A-Za-z0-9-]+)+"
 BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s+(?P<at>at|arobase|arroba|@)\s+(?=(?P<domain>{_LABELS}))", re.I)
 KNOWN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:\x00[A-Za-z0-9-]|(?:(?:\s+{_DOT}\s+|\.)[A-Za-z0-9-]+)*\s+{_DOT}\s+{_TOP}(?![A-Za-z0-9-]))", re.I)
@@ -65,7 +68,8 @@ _NO_FIRST = frozenset("the a an this that these those some any no one each every
 _PROSE = frozenset("look looks looked looking stare stares stared staring point points pointed pointing glance glanced gaze gazed aim aimed meet meets met us me him her them it he she they we you is are was were be been am here there up sign signed log logged online available hosted live site website page pages blog visit see seen read more found find published work works worked working arrive arrives arrived shop buy order orders stop stopped start started begin began stay stayed stayed listed located and or not but only even".split())
 DOMAIN = re.compile(rf"@[A-Za-z0-9-]+(?:(?:\s+{_DOT}\s+|\x00|\.)[A-Za-z0-9-]+)+", re.I)
 BARE_DOT = re.compile(rf"\s+{_DOT}\s+", re.I)
-DOTTED_LOCAL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\s+{_DOT}\s+|\x00)[A-Za-z0-9_%+-]+)+(?=@)", re.I)
+_LABEL_SET = _LOCAL_SET - {"."}
+_DOT_WORDS = ("dot", "punkt", "point", "punto")
 DOTTED_DIGITS = re.compile(rf"(?<![0-9])[0-9]+(?:(?:\s+{_DOT}\s+|\x00|\.)[0-9]+){{3}}(?![0-9])", re.I)
 _NUMBER = rf"(?:[0-9]{{2,}}|(?:{_DIGIT_WORD}|[0-9])(?:[\s-]{{1,3}}(?:{_DIGIT_WORD}|[0-9])(?!\w)){{0,2}})"
 SPELLED_IP = re.compile(rf"(?<!\w){_NUMBER}(?:(?:\s+{_DOT}\s+|\x00|\.){_NUMBER}){{3}}(?!\w)", re.I)
@@ -136,6 +140,29 @@ class Tape:
             self.text = "".join([*parts, self.text[at:]])
             self.begin, self.end = [*begin, *self.begin[at:]], [*end, *self.end[at:]]
 
+    def boxed(self, pattern: re.Pattern, new: str) -> None:
+        """Each match, with the white space before it, becomes new."""
+        spans, end = [], 0
+        for m in pattern.finditer(self.text):
+            begin = m.start()
+            while begin > end and self.text[begin - 1].isspace():
+                begin -= 1
+            spans.append((begin, m.end()))
+            end = m.end()
+        self.replace(spans, new)
+
+    def replace(self, spans: list[tuple[int, int]], new: str) -> None:
+        """Each of the spans (in order, not overlapping) becomes new."""
+        parts, begin, end, at = [], [], [], 0
+        for a, b in spans:
+            parts += [self.text[at:a], new]
+            begin += [*self.begin[at:a], *[self.begin[a]] * len(new)]
+            end += [*self.end[at:a], *[self.end[b - 1]] * len(new)]
+            at = b
+        if at:
+            self.text = "".join([*parts, self.text[at:]])
+            self.begin, self.end = [*begin, *self.begin[at:]], [*end, *self.end[at:]]
+
     def inside(self, outer: re.Pattern, inner: re.Pattern, output, only=None) -> None:
         """rewrite(inner) within the matches of outer (for which only holds)."""
         spots = {(m.start() + n.start(), m.start() + n.end()) for m in outer.finditer(self.text) if only is None or only(m) for n in inner.finditer(m[0])}
@@ -147,6 +174,39 @@ class Tape:
         return any(self.end[i] - self.begin[i] > 1 for i in range(*m.span()))
 
 
+def dots_before_at(text: str) -> list[tuple[int, int]]:
+    """Spans of spelled dots between the labels that lead up to each @. Labels hold no @, so no part of the text is read twice."""
+    out, at = [], text.find("@")
+    while at >= 0:
+        found, i = [], at
+        while True:
+            k = i
+            while k and text[k - 1] in _LABEL_SET:
+                k -= 1
+            if k == i:  # no label: what was taken for a dot before it is none
+                found = found[:-1]
+                break
+            if k and text[k - 1] == "\0":
+                found.append((k - 1, k))
+                i = k - 1
+                continue
+            e = k
+            while e and text[e - 1].isspace():
+                e -= 1
+            word = next((w for w in _DOT_WORDS if e < k and text[max(0, e - len(w)) : e].lower() == w), None)
+            b = e - len(word) if word else e
+            s = b
+            while word and s and text[s - 1].isspace():
+                s -= 1
+            if not word or s == b:
+                break
+            found.append((s, k))
+            i = s
+        out += found[::-1]
+        at = text.find("@", at + 1)
+    return out
+
+
 def _letter(m: re.Match) -> str:
     c = m[0]
     return "" if c in INVISIBLE else LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c if not c.isdigit() else str(unicodedata.digit(c)))
@@ -194,12 +254,13 @@ def normalise(text: str) -> Tape | None:
     tape = Tape(text)
     if odd:
         tape.rewrite(_ODD, _letter)
-    tape.rewrite(BOXED_AT, lambda m: "@")
-    tape.rewrite(BOXED_DOT, lambda m: "\0")
+    tape.boxed(BOXED_AT, "@")
+    tape.boxed(BOXED_DOT, "\0")
     tape.rewrite(SPELLED_IP, _ip)
     tape.rewrite(BARE_AT, _at)
-    for outer in (DOMAIN, DOTTED_LOCAL, DOTTED_DIGITS):
-        tape.inside(outer, BARE_DOT, lambda m: ".")
+    tape.inside(DOMAIN, BARE_DOT, lambda m: ".")
+    tape.replace(dots_before_at(tape.text), ".")
+    tape.inside(DOTTED_DIGITS, BARE_DOT, lambda m: ".")
     tape.rewrite(re.compile("\0"), lambda m: ".")
     if odd or spelled:
         tape.inside(DIGITS, WORD_OR_DIGIT, _digit, lambda m: DIGIT_WORD.search(m[0]))
@@ -218,9 +279,11 @@ def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, i
     if tape is not None:
         more = find(tape.text)
         for k, kind in enumerate(KINDS):
+            ends = [y for _, y in base[kind]]
             for a, b in more[kind]:
                 a, b = tape.begin[a], tape.end[b - 1]
-                if not any(x < b and a < y for x, y in base[kind]):
+                next_ = bisect_right(ends, a)  # the first base span that ends after a
+                if next_ == len(ends) or base[kind][next_][0] >= b:
                     spans.append((k, a, b))
         spans.sort()
     return base, spans
