@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read by small transducers: insults (whole words and stems), threats, targets, negations, reported speech. Their
-outputs drive a clause automaton whose final arcs are the patterns of PATTERNS; a document scores by the weighted patterns of
-its clauses, not by words alone. The arcs of the insult transducer are learned (the fewest words and stems that cover the
+A lexical transducer reads words (insults: whole words and stems, with weights; threats, targets, negations, reports) and emits the
+symbols of SYMBOLS. Three small transducers over symbols follow what governs a word: negation(), report() and target(), each a table of
+states; compose() makes one machine of them, read from the left, and target() alone is read from the right, for targets
+that follow. What both know at an insult or a threat gives the pattern of PATTERNS that the clause matches (clause()), with the arc's
+weight; a document scores by the weighted patterns of its clauses, not by words alone. The arcs of the insult transducer are learned (the fewest words and stems that cover the
 toxic training texts and hardly occur in others, besides SEED_INSULTS), and so are the pattern weights (logistic regression
 that starts from PRIOR). Stems are prefixes of the UTF-8 bytes of a word, so the arcs apply to any language.
 """
@@ -24,8 +26,6 @@ from .common import arrow_schema, short_batches, stored
 
 #: Labelled rows that the grammar is fitted on, at most; the rows with the smallest hashes of their doc_id.
 MAX_TRAIN = 20_000
-#: Hashes that are looked at as insult arcs, and arcs that are kept, at most.
-MAX_CANDIDATES, MAX_ARCS = 200_000, 400
 STEM_BYTES = (3, 4, 5, 6, 7, 8)
 #: Levels of an arc: read once; read again and again: so many times at least, and once in so many words. A stem that also
 #: comes up by chance in longer clean texts is told from one that somebody keeps using.
@@ -48,6 +48,85 @@ SEPARATORS = tb.byte_set((0, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]|[\"“”«»]")
 
 
+SYMBOLS = ("other", "insult", "threat", "target", "negation", "report", "quote", "end")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(len(SYMBOLS))
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A deterministic transducer over SYMBOLS: arcs[state][symbol] is the next state; says[state] what it emits for the symbol read next."""
+
+    arcs: list[list[int]]
+    says: list[int]
+
+
+def machine(start, step, says) -> Machine:
+    """The states that step(state, symbol) reaches from start, numbered as they are found; state 0 is the start."""
+    number, arcs, order = {start: 0}, [], [start]
+    for state in order:
+        row = []
+        for symbol in range(len(SYMBOLS)):
+            to = step(state, symbol)
+            if to not in number:
+                number[to] = len(order)
+                order.append(to)
+            row.append(number[to])
+        arcs.append(row)
+    return Machine(arcs, [says(x) for x in order])
+
+
+def governed_by(trigger: int) -> Machine:
+    """1 for the REACH words after a trigger in its clause."""
+
+    def step(left: int, symbol: int) -> int:
+        if symbol == END:
+            return 0
+        return left if symbol == QUOTE else REACH if symbol == trigger else max(0, left - 1)
+
+    return machine(0, step, lambda left: int(left > 0))
+
+
+def negation() -> Machine:
+    return governed_by(NEGATION)
+
+
+def target() -> Machine:
+    return governed_by(TARGET)
+
+
+def report() -> Machine:
+    """1 for the REACH words after a report and for all that is quoted after it, also over the ends of quoted clauses."""
+
+    def step(state: tuple[int, bool, bool], symbol: int) -> tuple[int, bool, bool]:
+        left, told, quoted = state
+        if symbol == QUOTE:
+            return left, told, not quoted
+        if symbol == END:
+            return state if quoted else (0, False, False)
+        return (REACH, True, quoted) if symbol == REPORT else (max(0, left - 1), told, quoted)
+
+    return machine((0, False, False), step, lambda state: int(state[0] > 0 or state[1] and state[2]))
+
+
+def compose(*machines: Machine) -> Machine:
+    """One machine that does the steps of all; it says bit k for the k-th."""
+    return machine(
+        (0,) * len(machines),
+        lambda states, symbol: tuple(m.arcs[x][symbol] for m, x in zip(machines, states)),
+        lambda states: sum(m.says[x] << k for k, (m, x) in enumerate(zip(machines, states))),
+    )
+
+
+def clause(symbol: int, before: int, after: int) -> int | None:
+    """The pattern of an insult or a threat: before has bits for negated, reported and aimed, after tells of a target that follows."""
+    if symbol == THREAT:
+        return None if before & 3 else PATTERNS.index("threat_target" if after else "threat")
+    return PATTERNS.index("insult_negated" if before & 1 else "insult_reported" if before & 2 else "insult_target" if before & 4 or after else "insult")
+
+
+BEFORE, AFTER = compose(negation(), report(), target()), target()
+
+
 @dataclass
 class Grammar:
     words: dict[str, tuple[float, int]] = field(default_factory=dict)  # weight and level of whole words, folded
@@ -65,60 +144,47 @@ class Grammar:
 
     def __post_init__(self) -> None:
         self.stem_sizes = sorted({len(s) for s in self.stems})
-        self.role = {w: r for r, ws in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for w in ws}
+        self.role = {w: r for r, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
+        self.role |= dict.fromkeys('"“”«»', QUOTE) | dict.fromkeys(".!?;\n", END)
+
+    def symbols(self, text: str) -> tuple[list[int], dict[int, float]]:
+        """What the lexical transducer emits for the tokens of text, and the weights of insults by place."""
+        tokens = [x if len(x) == 1 and not x.isalpha() else fold(x) for x in TOKEN.findall(text)]
+        times = Counter(tokens)
+        n_words = sum(n for x, n in times.items() if self.role.get(x, OTHER) not in (QUOTE, END))
+        known = {x: arc for x in times if self.role.get(x) not in (QUOTE, END) and (arc := self.insult(x))}
+        read: Counter = Counter()
+        for x, (arc, _, _) in known.items():
+            read[arc] += times[x]
+        live = {x: weight for x, (arc, weight, level) in known.items() if level_holds(read[arc], n_words, level)}
+        emits = {x: INSULT if x in live else self.role.get(x, OTHER) for x in times}
+        out = [emits[x] for x in tokens]
+        return out, {i: live[x] for i, x in enumerate(tokens) if x in live} if live else {}
 
     def matches(self, text: str) -> np.ndarray:
         """log(1 + weight of matches) of each pattern over the clauses of text."""
+        symbols, weights = self.symbols(text)
+        hits = sorted([*weights, *(i for i, x in enumerate(symbols) if x == THREAT)])
         total = np.zeros(len(PATTERNS))
-        negated = reported = aimed = -REACH - 1  # word numbers of what was read last
-        open_insults: list[tuple[int, float, str]] = []  # insults of the clause without a target so far
-        quoted, at, hit = False, 0, False
-
-        def close() -> None:
-            nonlocal hit, open_insults
-            for _, weight, pattern in open_insults:
-                total[PATTERNS.index(pattern)] += weight
-            total[6] += hit
-            hit, open_insults = False, []
-
-        tokens = [x if len(x) == 1 and not x.isalpha() else fold(x) for x in TOKEN.findall(text)]
-        known = {x: self.insult(x) for x in set(tokens)}
-        times = Counter(known[x][0] for x in tokens if known[x])
-        live = {arc for arc, n in times.items() if level_holds(n, len(tokens), next(k[2] for k in known.values() if k and k[0] == arc))}
-
-        for token in tokens:
-            if token in '"“”«»':
-                quoted = not quoted
-                continue
-            if token in ".!?;\n":
-                close()
-                negated = aimed = -REACH - 1
-                reported = reported if quoted else -REACH - 1
-                continue
-            at += 1
-            role = self.role.get(token)
-            weight = known[token][1] if known[token] and known[token][0] in live else 0.0
-            if weight:
-                hit = True
-                if at - negated <= REACH:
-                    total[2] += weight
-                elif at - reported <= REACH or (quoted and reported > 0):
-                    total[3] += weight
-                elif at - aimed <= REACH:
-                    total[1] += weight
-                else:
-                    open_insults.append((at, weight, "insult"))
-            elif role == "threat":
-                hit = True
-                open_insults.append((at, 1.0, "threat"))
-            elif role == "target":
-                aimed = at
-                open_insults = [(k, w, "threat_target" if p[:6] == "threat" else "insult_target") if at - k <= REACH else (k, w, p) for k, w, p in open_insults]
-            elif role == "negation":
-                negated = at
-            elif role == "report":
-                reported = at
-        close()
+        if not hits:
+            return total
+        after, state, arcs, wanted = {}, 0, AFTER.arcs, set(hits)
+        for i in range(len(symbols) - 1, hits[0] - 1, -1):
+            if i in wanted:
+                after[i] = AFTER.says[state]
+            state = arcs[state][symbols[i]]
+        state, arcs, matched = 0, BEFORE.arcs, False
+        for i, symbol in enumerate(symbols):
+            if i in wanted:
+                pattern = clause(symbol, BEFORE.says[state], after[i])
+                if pattern is not None:
+                    total[pattern] += weights.get(i, 1.0)
+                    matched = matched or pattern not in (2, 3)
+            elif symbol == END and matched:
+                total[-1] += 1
+                matched = False
+            state = arcs[state][symbol]
+        total[-1] += matched
         return np.log1p(total)
 
     def score(self, matches: np.ndarray) -> float:
@@ -213,7 +279,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     )
     # most bounds what is broadcast
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    return stored(rows.repartition(12), "toxicity-train")
+    return stored(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism), "toxicity-train")
 
 
 def held_out(column: str):
@@ -230,13 +296,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Grammar:
         for batch in batches:
             yield pa.record_batch({"arcs": pa.array([text_arcs(x).tobytes() for x in batch.column(0).to_pylist()], pa.binary())})
 
-    toxic = [np.frombuffer(r.arcs, np.uint64) for r in rows.where("toxic = 1").select("text").mapInArrow(arcs, "arcs binary").toLocalIterator()]
-    if not toxic:
+    bad = rows.where("toxic = 1").select("text").mapInArrow(arcs, "arcs binary")
+    n_toxic = rows.where("toxic = 1").count()
+    if not n_toxic:
         return seeds
-    least = max(3, len(toxic) // 200)
-    seen, times = np.unique(np.concatenate(toxic), return_counts=True)
-    order = np.argsort(-times, kind="stable")[:MAX_CANDIDATES]
-    seen, times = (x[np.sort(order[times[order] >= least])] for x in (seen, times))
+    least = max(3, n_toxic // 200)
+
+    def exploded(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.record_batch({"arc": pa.array(np.frombuffer(x.as_py(), np.int64))})
+
+    # arcs of n_toxic / 200 texts: no more than 200 times as many as a text has
+    often = bad.mapInArrow(exploded, "arc long").groupBy("arc").agg(F.count("*").alias("n")).where(F.col("n") >= least).toPandas()
+    seen, order = np.unique(often.arc.to_numpy(np.int64).view(np.uint64), return_index=True)
+    times = often.n.to_numpy(np.int64)[order]
 
     def clean(batches):
         counts = np.zeros(len(seen), np.int32)
@@ -252,7 +326,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Grammar:
     clean_times = np.zeros(len(seen), np.int64)
     for r in rows.where("toxic = 0").select("text").mapInArrow(clean, "counts binary").toLocalIterator():
         clean_times += np.frombuffer(r.counts, np.int32)
-    chosen = cover(toxic, seen, times, clean_times, n_clean, least)
+    pure, least = telling(seen, times, clean_times, n_toxic, n_clean, least)
+    kept = seen[pure]
+
+    def held(batches):
+        for batch in batches:
+            yield pa.record_batch({"arcs": pa.array([np.intersect1d(np.frombuffer(x.as_py(), np.uint64), kept, assume_unique=True).tobytes() for x in batch.column(0)], pa.binary())})
+
+    toxic = [np.searchsorted(kept, np.frombuffer(r.arcs, np.uint64)) for r in bad.mapInArrow(held, "arcs binary").toLocalIterator()]
+    chosen = pure[cover(toxic, kept, clean_times[pure], least)].tolist()
 
     def names(batches):
         wanted: dict[int, list[int]] = {}
@@ -294,36 +376,32 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Grammar:
     return regress(grammar, np.array(data.found.tolist()), data.toxic.to_numpy(float))
 
 
-def cover(toxic: list[np.ndarray], seen: np.ndarray, times: np.ndarray, clean_times: np.ndarray, n_clean: int, least: int) -> list[int]:
-    """Arcs by greedy cover of the toxic texts: most new texts first, then fewest clean ones, then the longest arc."""
-    share = len(toxic) / (len(toxic) + n_clean)
+def telling(seen: np.ndarray, times: np.ndarray, clean_times: np.ndarray, n_toxic: int, n_clean: int, least: int) -> tuple[np.ndarray, int]:
+    """Places of the arcs that tell toxic texts from others, and how many texts such an arc needs at least."""
+    share = n_toxic / (n_toxic + n_clean)
     # so many texts don't meet by chance, with as many arcs to choose from
     needed = math.log(100 * max(1, len(seen)))
-    n, part = times + clean_times, times / (times + clean_times)
-    gain = n * (part * np.log(part / share) + (1 - part) * np.log(np.maximum(1 - part, 1e-300) / (1 - share)))
-    pure = (part > share) & (gain > needed) & (times / len(toxic) > 40 * clean_times / n_clean)
-    least = max(least, math.ceil(needed / math.log(1 / share)))
-    numbers = np.cumsum(pure) - 1
-    kept = np.flatnonzero(pure)
-    text_of, arc_of = [], []
-    for t, found in enumerate(toxic):
-        at = np.searchsorted(seen, found)
-        at = at[(at < len(seen)) & (seen[np.minimum(at, max(0, len(seen) - 1))] == found)] if len(seen) else at[:0]
-        at = numbers[at[pure[at]]]
-        text_of.append(np.full(len(at), t))
-        arc_of.append(at)
-    text_of, arc_of = np.concatenate(text_of).astype(int), np.concatenate(arc_of).astype(int)
-    size = (seen[kept] & np.uint64(15)).astype(int)
-    rank = np.lexsort((np.where(size == 0, 99, size), -clean_times[kept]))  # better last
+    n, part = times + clean_times, times / np.maximum(1, times + clean_times)
+    gain = n * (part * np.log(np.maximum(part, 1e-300) / share) + (1 - part) * np.log(np.maximum(1 - part, 1e-300) / max(1 - share, 1e-300)))
+    pure = (part > share) & (gain > needed) & (times / n_toxic > 40 * clean_times / n_clean)
+    return np.flatnonzero(pure), max(least, math.ceil(needed / math.log(1 / share))) if share < 1 else least
+
+
+def cover(toxic: list[np.ndarray], kept: np.ndarray, clean_times: np.ndarray, least: int) -> list[int]:
+    """Places in kept by greedy cover of the toxic texts (each given by its places): most new texts first, then fewest clean ones, then the longest arc."""
+    text_of = np.concatenate([np.full(len(at), t) for t, at in enumerate(toxic)]).astype(int)
+    arc_of = np.concatenate(toxic).astype(int)
+    size = (kept & np.uint64(15)).astype(int)
+    rank = np.lexsort((np.where(size == 0, 99, size), -clean_times))  # better last
     value = np.empty(len(kept))
     value[rank] = np.arange(len(kept)) / max(1, len(kept))
     chosen: list[int] = []
-    while len(chosen) < MAX_ARCS and len(kept):
+    while len(kept):
         new = np.bincount(arc_of, minlength=len(kept)) + 0.0
         best = int(np.argmax(new + value))
         if new[best] < least:
             break
-        chosen.append(int(kept[best]))
+        chosen.append(best)
         covered = np.zeros(len(toxic), bool)
         covered[text_of[arc_of == best]] = True
         left = ~covered[text_of]
