@@ -15,18 +15,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from .common import arrow_schema, short_batches
 
-#: Fixed values of the vocabulary format: white space, the split pattern and the byte alphabet of byte-level BPE.
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Fixed value of the vocabulary format: the split pattern, here for ASCII texts alone.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -130,14 +129,14 @@ class Automaton:
 
 
 class WordIds(dict):
-    """Ids (as bytes) of a pre-split word; holds at most `most` words."""
+    """Ids (as bytes) of a pre-split word, which is ASCII or already in the byte alphabet; holds at most `most` words."""
 
     def __init__(self, automaton: Automaton, most: int = 600_000) -> None:
         self.automaton, self.most = automaton, most
         self.alphabet = byte_alphabet()
 
     def __missing__(self, word: str) -> bytes:
-        symbols = "".join(map(self.alphabet.__getitem__, word.encode()))
+        symbols = "".join(map(self.alphabet.__getitem__, word.encode())) if word.isascii() else word
         ids = np.array(self.automaton.encode(symbols), "<u4").tobytes()
         if len(self) >= self.most:
             self.clear()
@@ -161,16 +160,16 @@ class Tokenizer:
         for text, i in self.special.items():
             self.labels += [""] * (i + 1 - len(self.labels))
             self.labels[i] = text
+        # texts that are not ASCII are normalised and split by the file's own rules, in the Unicode version of its library
+        rules = tokenizers.Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.normalise, self.split_words = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            # lower case letter by letter: no rule for a sigma at a word's end
-            text = _SPACE.sub(" ", text).replace("Σ", "σ").lower()
-        else:
-            text = text.lower()  # any white space is dropped by the split
-        return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
+        words = self.words
+        if text.isascii():
+            return b"".join(map(words.__getitem__, _WORD.findall(text.lower())))
+        return b"".join([words[word] for word, _ in self.split_words(self.normalise(text))])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
