@@ -1,6 +1,7 @@
 """WARC archives: a writer of deduplicated response and revisit records, and a sequential reader.
 
-Archives hold one gzip member per record. The reader inflates them incrementally from a stream, frames records by their
+Archives hold one gzip member per record, a warcinfo record first. A record's id holds its page's, so that a revisit names the record it
+refers to as any reader expects. The reader inflates them incrementally from a stream, frames records by their
 Content-Length, and checks that each member ends with its record and that block and payload digests agree. Archives lie in
 the shared folder of the cluster; a task writes under a name of its own attempt, and only files of attempts that succeeded
 are in the manifest that the reader follows.
@@ -13,39 +14,68 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, drop_path, short_batches, stored, work_dir
+from .common import arrow_schema, short_batches, stored, work_dir
 
 LEVEL, READ_BYTES = 1, 1 << 20
+#: Low bits of the record ids that hold a page number; the target of pages without a URL.
+PAGE_MARK, NO_URL = 0x1A0F1E2D3C4B5, "about:blank"
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url: str, payload: bytes, refers_to=None) -> bytes:
-    """One record as a gzip member. A revisit keeps the HTTP header with the payload's size, not the payload."""
+def record_id(page_id: int | None) -> str:
+    """A UUID of version 8 (own bits) with the page's number in it; a random one of version 4 for a page without number."""
+    if page_id is None:
+        return f"<urn:uuid:{uuid.uuid4()}>"
+    n = page_id & (1 << 64) - 1
+    return f"<urn:uuid:{uuid.UUID(int=(n >> 16) << 80 | 0x8 << 76 | (n >> 4 & 0xFFF) << 64 | 0b10 << 62 | (n & 0xF) << 58 | PAGE_MARK)}>"
+
+
+def page_of(record: str | None) -> int | None:
+    """The page's number in a record's id; None if it holds none."""
+    x = uuid.UUID(record.removeprefix("<urn:uuid:").removesuffix(">")).int if record else 0
+    if x >> 76 & 0xF != 8 or x & (1 << 58) - 1 != PAGE_MARK:
+        return None
+    n = (x >> 80) << 16 | (x >> 64 & 0xFFF) << 4 | x >> 58 & 0xF
+    return n - (1 << 64) if n >> 63 else n
+
+
+def member(fields: dict[str, str], block: bytes) -> bytes:
+    """A record as a gzip member."""
+    fields = fields | {"WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return deflate.compress(head.encode() + block + b"\r\n\r\n") + deflate.flush()
+
+
+def info(date: str) -> bytes:
+    """The record that begins an archive."""
+    return member({"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(None), "WARC-Date": date, "Content-Type": "application/warc-fields"}, b"software: sparkloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id, url: str, payload: bytes, refers_to=None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One page's record. A revisit keeps the HTTP header with the payload's size, not the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
-        "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC-Record-ID": record_id(page_id),
+        "WARC-Date": date,
+        "WARC-Target-URI": (url or NO_URL).replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": digest(payload),
-        "WARC-Block-Digest": digest(block),
-        "WARC-Page": "" if page_id is None else str(page_id),
+        "Content-Type": "application/http; msgtype=response",
     }
     if refers_to is not None:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Page": str(refers_to)}
-    fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
-    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return deflate.compress(head.encode() + block + b"\r\n\r\n") + deflate.flush()
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers_to), "WARC-Refers-To-Date": date}
+    return member(fields, http if refers_to is not None else http + payload)
 
 
 class BadRecord(ValueError):
@@ -70,9 +100,9 @@ def members(stream) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
+def parse(one: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Fields, HTTP header and payload of one record, all verified."""
-    head, found, rest = member.partition(b"\r\n\r\n")
+    head, found, rest = one.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not found or not version.startswith("WARC/"):
         raise BadRecord("no WARC header")
@@ -91,13 +121,15 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 def read_archive(stream) -> Iterator[tuple]:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each record in order."""
-    for member in members(stream):
-        fields, http, payload = parse(member)
+    for one in members(stream):
+        fields, http, payload = parse(one)
+        if fields["WARC-Type"] == "warcinfo":
+            continue
         size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
         if fields["WARC-Type"] == "response" and size != len(payload):
             raise BadRecord("HTTP Content-Length")
-        page, refers = fields["WARC-Page"], fields.get("WARC-Refers-To-Page")
-        yield int(page) if page else None, fields["WARC-Target-URI"], size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(refers) if refers else None, payload
+        url = fields["WARC-Target-URI"]
+        yield page_of(fields["WARC-Record-ID"]), "" if url == NO_URL else url, size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], page_of(fields.get("WARC-Refers-To")), payload
 
 
 def open_fs(path: str):
@@ -124,6 +156,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     short_batches(pages.sparkSession)
     schema = "path string, records long"
     out = arrow_schema(pages.sparkSession, schema)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         fs, base = open_fs(folder)
@@ -131,8 +164,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         name, n, stream = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                stream = stream or fs.open_output_stream(name, compression=None)
-                stream.write(record(row[0], row[1], (row[2] or "").encode(), row[3]))
+                if stream is None:
+                    stream = fs.open_output_stream(name, compression=None)
+                    stream.write(info(date))
+                stream.write(record(row[0], row[1], (row[2] or "").encode(), row[3], date))
                 n += 1
         if stream:
             stream.close()
