@@ -28,10 +28,13 @@ def short_batches(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder of the cluster (spark.checkpoint.dir).
 
-    Where the setting is absent (a local test session) one is set.
+    Where the setting is absent in a local session (tests), one is set; on a cluster its absence is an error, as no machine's own folder
+    is seen by the others.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:/tmp/sparkloom-shared-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sparkloom/{what}-{uuid.uuid4().hex}"
@@ -42,7 +45,15 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, what)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that nothing reads any more."""
+    for df in tables:
+        drop_path(df.sparkSession, df.stored_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

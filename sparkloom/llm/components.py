@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if not before.n:
             break
-        edges = stored(small_star(large_star(edges)), "edges")
+        last, edges = edges, stored(small_star(large_star(edges)), "edges")
+        forget(last)
         after = mark(edges)
         if after == before:
             break

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textblock as tb
-from .common import arrow_schema, drop_path, short_batches, stored, work_dir
+from .common import arrow_schema, drop_path, forget, short_batches, stored, work_dir
 from .components import components
 
 #: Rows of the sorted table that are worked on at once; children of a row in the first round; rows of a side of a block in the later ones.
-BLOCK_ROWS, FAN_OUT, SIDE_ROWS = 1 << 18, 64, 2048
+BLOCK_ROWS, FAN_OUT, SIDE_ROWS = 1 << 18, 64, 1024
 #: Column blocks of the product; pairs of a row from which on they are dealt to several tasks.
 COLUMN_BLOCKS, HOT_ROW = 8, 256
 #: Bits of the filter of sets that are sent on: 16 a set, these at most (beyond, more sets are sent than needed).
@@ -325,20 +325,28 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     pairs = pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("k1", "x1")
     x, y = end_of(nodes, "b", "k1"), end_of(nodes, "a", "x1")
     pairs = pairs.join(x.hint("merge"), "k1").join(y.hint("merge"), "x1").where("a <> b").where(near_enough(num, den))
-    edges = stored(links(docs, stored(pairs.select("a", "b").distinct(), "jaccard-pairs"), width, num, den), "jaccard-links")
+    pairs = stored(pairs.select("a", "b").distinct(), "jaccard-pairs")
+    edges = stored(links(docs, pairs, width, num, den), "jaccard-links")
     found = stored(labels(nodes, edges), "jaccard-found")
+    forget(pairs)
 
-    entries, skip, take = entries.where("x1 is null").select("sig", "k1"), 0, 0
+    skip, take = 0, 0
     while True:
-        entries = stored(mixed(entries, found), "jaccard-mixed")
+        last, entries = entries, stored(mixed(entries, found), "jaccard-mixed")
+        forget(last)
         rest = stored(across(entries, found, num, den, skip, take), "jaccard-rest")
-        pairs = rest.where("a is not null").distinct()
+        pairs = stored(rest.where("a is not null").distinct(), "jaccard-pairs")
         if not pairs.isEmpty():
-            edges = stored(edges.unionAll(links(docs, stored(pairs, "jaccard-pairs"), width, num, den)), "jaccard-links")
+            old = edges, found
+            edges = stored(edges.unionAll(links(docs, pairs, width, num, den)), "jaccard-links")
             found = stored(labels(nodes, edges), "jaccard-found")
-        if rest.where("a is null").isEmpty():  # no tile has further pairs
+            forget(*old)
+        done = rest.where("a is null").isEmpty()  # no tile has further pairs
+        forget(rest, pairs)
+        if done:
             break
         skip, take = skip + take, max(1, take * 16)
+    forget(entries, edges, nodes)
     joined = members.join(found.select("k1", "k2", "component").hint("merge"), ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
@@ -362,7 +370,8 @@ def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (sig, k1) of blocks with several components."""
+    """The rows (sig, k1, x1) of blocks with several components; pairs (x1) aren't among them."""
+    entries = entries.where("x1 is null")
     of = found.groupBy("k1").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
     several = entries.join(of.hint("merge"), "k1").groupBy("sig").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 < c2").select("sig")
     return entries.join(several.hint("merge"), "sig").distinct()
@@ -389,9 +398,10 @@ def across(entries: DataFrame, found: DataFrame, num: int, den: int, skip: int,
         bits = np.stack(columns[8:], axis=1).view(np.uint64)
         left = np.flatnonzero(side == 0)
         right = left if i[0] == j[0] else np.flatnonzero(side == 1)
-        best: list[tuple] = []
-        for begin in range(0, len(left), 256):
-            r = left[begin : begin + 256]
+        kept = np.zeros((5, 0), np.int64)
+        place = np.zeros(0, np.int64)
+        for begin in range(0, len(left), 128):
+            r = left[begin : begin + 128]
             differ = np.zeros((len(r), len(right)), np.int64)
             for w in range(4):
                 differ += np.bitwise_count(bits[r, w, None] ^ bits[None, right, w])
@@ -400,18 +410,20 @@ def across(entries: DataFrame, found: DataFrame, num: int, den: int, skip: int,
             if right is left:
                 fine &= right[None, :] > r[:, None]
             x, y = np.nonzero(fine)
-            best.append((differ[x, y], r[x], right[y]))
-        differ, x, y = (np.concatenate(c) for c in zip(*best))
-        low, high = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
-        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        if not take:  # each pair once for either of its components
-            low, high, differ, a, b = np.concatenate([low, high]), np.zeros(2 * len(a), np.int64), np.tile(differ, 2), np.tile(a, 2), np.tile(b, 2)
-            low[len(low) // 2 :] = np.maximum(component[x], component[y])
-        order = np.lexsort((b, a, differ, high, low))
-        low, high, a, b = low[order], high[order], a[order], b[order]
-        new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(a) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        place = np.arange(len(a)) - begin[np.cumsum(new) - 1]
+            differ, x, y = differ[x, y], r[x], right[y]
+            low, high = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+            new = np.stack([low, high, differ, np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
+            if not take:  # each pair once for either of its components
+                new = np.concatenate([new, new], axis=1)
+                new[0, len(x) :] = high
+                new[1] = 0
+            kept = np.concatenate([kept, new], axis=1)
+            kept = kept[:, np.lexsort(kept[::-1])]
+            first = np.concatenate([[True], (kept[0, 1:] != kept[0, :-1]) | (kept[1, 1:] != kept[1, :-1])]) if kept.shape[1] else np.zeros(0, bool)
+            place = np.arange(kept.shape[1]) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            # one more than is wanted tells that there are more
+            kept, place = kept[:, place <= skip + max(1, take)], place[place <= skip + max(1, take)]
+        a, b = kept[3], kept[4]
         now = (place >= skip) & (place < skip + max(1, take))
         chosen = {p for p in zip(a[now].tolist(), b[now].tolist()) if p not in sent}
         if len(sent) < 1_000_000:  # pairs are made distinct later, too
