@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts may be long, so batches are kept short.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep JVM-side Arrow batches small; only lowers the setting."""
+    """Keep JVM-side Arrow batches small, in rows and in bytes; only lowers the settings."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None or not 0 < int(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def work_dir(spark: SparkSession, what: str) -> str:

@@ -10,11 +10,11 @@ for all as blocks of its own, too, as many as every partner must meet.
 
 The product is taken in rounds; each counts the overlaps of chosen rows, column block after column block, and drops a pair as soon as the
 columns left can't reach ceil(t / (1 + t) (|x| + |y|)). Before that, pairs are dropped whose sizes are too far apart (t |x| <= |y| <= |x| / t)
-or whose sets differ in more than D of 256 parities.
+or whose sets differ in more than D of 512 parities.
 1. neighbours: in each block, sorted by size, a row meets the one before it and its parent in a tree of FAN_OUT children a node. Of a row's
    pairs the one that comes most often is multiplied. Its links already join large groups of near copies.
 2. the rest: in blocks whose rows are of several components so far, pairs of rows across components: first of each component the
-   nearest by parities to another one, then of each pair of components the nearest, the 16 next, 256 next, until none is left. A pair within a component adds nothing to it, so
+   nearest by parities to another one, then of each pair of components the 16 nearest, 256 next, until none is left. A pair within a component adds nothing to it, so
    no link between components is lost, and a group of near copies costs rows and not pairs.
 """
 
@@ -26,21 +26,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textblock as tb
-from .common import arrow_schema, drop_path, forget, short_batches, stored, work_dir
+from .common import arrow_schema, forget, short_batches, stored
 from .components import components
 
-#: Rows of the sorted table that are worked on at once; children of a row in the first round; rows of a side of a block in the later ones.
-BLOCK_ROWS, FAN_OUT, SIDE_ROWS = 1 << 18, 64, 1024
+#: Children of a row in the first round; rows of a side of a block in the later ones.
+FAN_OUT, SIDE_ROWS = 64, 1024
+#: Signatures that are packed together; so many classes among them with one signature make it hot; bytes of text whose signatures make a part.
+FLUSH_ROWS, HOT_BLOCK, PART_BYTES = 1 << 20, 32, 1 << 25
 #: Column blocks of the product; pairs of a row from which on they are dealt to several tasks.
 COLUMN_BLOCKS, HOT_ROW = 8, 256
 #: Bits of the filter of sets that are sent on: 16 a set, these at most (beyond, more sets are sent than needed).
 BLOOM_LEAST, BLOOM_MOST = 20, 30
 GROWTH = 1.5
+_zstd = pa.Codec("zstd", 1)
 
 
 def _key(shingles: np.ndarray) -> tuple[int, int]:
@@ -108,21 +112,87 @@ def signatures(s: np.ndarray, ranges: Ranges) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-FIRST = "sig long, n int, k1 long, k2 long, doc_id long, p0 long, p1 long, p2 long, p3 long"
-
-
-def classes_and_signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One reading of the texts: a row per document (its set's size, key and parities; sig is null), and a row per block of its set."""
+PARITIES = [f"p{i}" for i in range(8)]
+MEMBERS = "doc_id long, n int, k1 long, k2 long, " + ", ".join(f"{p} long" for p in PARITIES)
+PACKED = "part int, blocks binary, " + MEMBERS
+#: Stands for classes that hold a signature in other parts.
+ELSEWHERE = np.uint32(0xFFFFFFFF)
+
+
+def pack(sig: np.ndarray, row: np.ndarray, k1: np.ndarray, n: np.ndarray) -> bytes:
+    """Signatures in order, each with the place of its class in k1 and n, or ELSEWHERE."""
+    step = np.diff(sig, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T)  # the upper bytes of small steps are zeros
+    head = np.array([len(sig), len(k1)], np.int64)
+    raw = b"".join(x.tobytes() for x in (head, planes, np.ascontiguousarray(row.view(np.uint8).reshape(-1, 4).T), k1, n))
+    return len(raw).to_bytes(4, "little") + _zstd.compress(raw, asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, k1, n) of the rows of pack(); n is -1 where the class is elsewhere."""
+    size = int.from_bytes(data[:4], "little")
+    raw = _zstd.decompress(data[4:], size, asbytes=True)
+    count, classes = np.frombuffer(raw, np.int64, 2)
+    at = 16
+    sig = np.cumsum(np.frombuffer(raw, np.uint8, 8 * count, at).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+    at += 8 * count
+    row = np.frombuffer(raw, np.uint8, 4 * count, at).reshape(4, -1).T.copy().view(np.uint32).ravel()
+    at += 4 * count
+    k1 = np.append(np.frombuffer(raw, np.int64, classes, at), 0)
+    n = np.append(np.frombuffer(raw, np.int32, classes, at + 8 * classes), -1).astype(np.int64)
+    place = np.minimum(row, np.uint32(classes)).astype(np.int64)
+    return sig, k1[place], n[place]
+
+
+def parts_of(sig: np.ndarray, row: np.ndarray, k1: np.ndarray, n: np.ndarray, parts: int, salt: int):
+    """(part, pack()) of some classes' signatures. A part has a range of signatures; those that many of the classes hold go to another part that
+    salt chooses, and their own part is only told of them. A task that runs again must choose as before, so salt is made of its number."""
+    order = np.argsort(sig, kind="stable")
+    sig, row = sig[order], row[order]
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    times = np.diff(np.append(begin, len(sig)))
+    part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    hot = np.repeat(times >= HOT_BLOCK, times)
+    if hot.any():
+        away = (tb.mix(sig[hot] + np.uint64(salt)) % np.uint64(parts)).astype(np.int64)
+        told = begin[times >= HOT_BLOCK]
+        sig, row, part = np.concatenate([sig[~hot], sig[told], sig[hot], sig[told]]), np.concatenate([row[~hot], np.full(len(told), ELSEWHERE), row[hot], np.full(len(told), ELSEWHERE)]), np.concatenate([part[~hot], part[told], away, away[np.searchsorted(sig[hot], sig[told])]])
+        order = np.lexsort((row, sig, part))
+        sig, row, part = sig[order], row[order], part[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        used, place = np.unique(row[a:b], return_inverse=True)
+        place = place.astype(np.uint32)
+        if used[-1] == ELSEWHERE:
+            used = used[:-1]
+            place[place == len(used)] = ELSEWHERE
+        yield int(part[a]), pack(sig[a:b], place, k1[used], n[used])
+
+
+def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, parts: int) -> DataFrame:
+    """One reading of the texts: a row per document (MEMBERS: its set's size, key and parities), and packed signatures of its set by parts."""
     short_batches(docs.sparkSession)
-    out = arrow_schema(docs.sparkSession, FIRST)
+    out = arrow_schema(docs.sparkSession, PACKED)
 
     def run(batches):
-        ranges, seen = Ranges(num, den), set()
+        ranges, seen, task = Ranges(num, den), set(), TaskContext.get().partitionId()
+        held, size, flushes = [], 0, 0
+
+        def flush():
+            nonlocal held, size, flushes
+            sigs, keys, sizes = zip(*held)
+            row = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in sigs])
+            salt = (task << 20) + flushes + 1
+            packed = parts_of(np.concatenate(sigs), row, np.array(keys, np.int64), np.array(sizes, np.int32), parts, salt)
+            held, size, flushes = [], 0, flushes + 1
+            for part, data in packed:
+                yield pa.record_batch([pa.array([part], pa.int32()), pa.array([data], pa.binary()), *(pa.nulls(1, f.type) for f in list(out)[2:])], schema=out)
+
         for batch in batches:
-            n, k1, k2, parity, sigs = [], [], [], [], []
+            n, k1, k2, parity = [], [], [], []
             known = batch.column(0).is_valid().to_pylist()
             for row, s in enumerate(sets_of(batch.column(1), width)):
-                parity.append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1))
+                parity.append(np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1))
                 key = _key(s) if len(s) else (0, 0)
                 n.append(len(s))
                 k1.append(key[0])
@@ -132,62 +202,77 @@ def classes_and_signatures(docs: DataFrame, width: int, num: int, den: int) -> D
                         seen.add(key)
                     x = signatures(s, ranges)
                     if len(x):
-                        sigs.append((x.view(np.int64), np.full(len(x), len(s), np.int32), np.full(len(x), key[0])))
-            bits = np.array(parity, np.uint8).reshape(-1, 32).view(np.int64)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([none, pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), batch.column(0).cast(pa.int64()), *(pa.array(bits[:, i]) for i in range(4))], schema=out)
-            if sigs:
-                sig, size, key1 = (np.concatenate(x) for x in zip(*sigs))
-                none = pa.nulls(len(sig), pa.int64())
-                yield pa.record_batch([pa.array(sig), pa.array(size), pa.array(key1), *[none] * 6], schema=out)
+                        held.append((x, key[0], len(s)))
+                        size += len(x)
+                        if size >= FLUSH_ROWS:
+                            yield from flush()
+            bits = np.array(parity, np.uint8).reshape(-1, 64).view(np.int64)
+            ids = batch.column(0).cast(pa.int64())
+            part = (tb.mix(np.array(k2, np.int64).view(np.uint64) + np.arange(len(k2), dtype=np.uint64)) % np.uint64(parts)).astype(np.int32)
+            yield pa.record_batch([pa.array(part), pa.nulls(len(n), pa.binary()), ids, pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(bits[:, i]) for i in range(8))], schema=out)
+        if held:
+            yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIRST)
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
-ENTRIES = "sig long, k1 long, x1 long"
+ENTRIES = "sig long, c long, x long, " + MEMBERS
 
 
-def neighbours(sorted_rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Streams rows (sig, n, k1) sorted so, a block at a time. Rows with x1 are pairs of classes (round 1), the others the rows of blocks that more
-    than one class may be in."""
-    short_batches(sorted_rows.sparkSession)
-    out = arrow_schema(sorted_rows.sparkSession, ENTRIES)
+def neighbours(packed: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each part the pairs of classes (c, x by k1) of round 1, then the rows (sig, c) of blocks that more than one class is in. Rows of
+    MEMBERS are passed on."""
+    short_batches(packed.sparkSession)
+    out = arrow_schema(packed.sparkSession, ENTRIES)
+    member_types = [f.type for f in list(out)[3:]]
 
-    def block(columns: list[np.ndarray]):
-        sig, n, k1 = columns
-        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1])])
-        sig, n, k1 = sig[keep], n[keep].astype(np.int64), k1[keep]
+    def rows(sig, c, x):
+        for i in range(0, len(c), 50_000):
+            some = slice(i, i + 50_000)
+            columns = [pa.nulls(len(c[some]), pa.int64()) if v is None else pa.array(v[some]) for v in (sig, c, x)]
+            yield pa.record_batch([*columns, *(pa.nulls(len(c[some]), t) for t in member_types)], schema=out)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            blocks = batch.column(1)
+            member = batch.filter(blocks.is_null())
+            if member.num_rows:
+                yield pa.record_batch([*(pa.nulls(member.num_rows, pa.int64()) for _ in range(3)), *member.columns[2:]], schema=out)
+            held += [unpack(x.as_buffer().to_pybytes()) for x in blocks.drop_null()]
+        if not held:
+            return
+        sig, k1, n = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((k1, n, sig))
+        sig, k1, n = sig[order], k1[order], n[order]
+        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1]) | (n[1:] != n[:-1])])
+        sig, k1, n = sig[keep].view(np.int64), k1[keep], n[keep]
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
         group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
         shared = (np.diff(np.append(begin, len(sig))) > 1)[group]
-        shared |= (group == 0) | (group == group[-1])  # these may go on in another block
+        here = shared & (n >= 0)
+        sig, k1, n = sig[here], k1[here], n[here]
+        if not len(sig):
+            return
+        yield from rows(sig, k1, None)
+        new = np.concatenate([[True], sig[1:] != sig[:-1]])
+        group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
         at = np.arange(len(sig))
         place = at - begin[group]
         parent, step = place.copy(), FAN_OUT
         while len(low := np.flatnonzero((parent == place) & (place > 0))):
             parent[low] -= place[low] % step
             step *= FAN_OUT
-        a = np.concatenate([at[place > 0], at[(place > 0) & (parent < place - 1)]])
-        b = np.concatenate([at[place > 0] - 1, (begin[group] + parent)[(place > 0) & (parent < place - 1)]])
+        far = (place > 0) & (parent < place - 1)
+        a = np.concatenate([at[place > 0], at[far]])
+        b = np.concatenate([at[place > 0] - 1, (begin[group] + parent)[far]])
         fine = n[b] * den >= n[a] * num  # sorted by size: b is the smaller one
         if fine.any():
-            found = np.unique(np.column_stack([k1[a[fine]], k1[b[fine]]]), axis=0)
-            yield pa.record_batch([pa.nulls(len(found), pa.int64()), *(pa.array(x) for x in np.ascontiguousarray(found.T))], schema=out)
-        yield pa.record_batch([pa.array(sig[shared]), pa.array(k1[shared]), pa.nulls(int(shared.sum()), pa.int64())], schema=out)
+            found, times = np.unique(np.column_stack([k1[a[fine]], k1[b[fine]]]), axis=0, return_counts=True)
+            yield from rows(times, np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]))
 
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                n += batch.num_rows
-            if n >= BLOCK_ROWS:
-                yield from block([np.concatenate(x) for x in zip(*held)])
-                held, n = [], 0
-        if held:
-            yield from block([np.concatenate(x) for x in zip(*held)])
-
-    return sorted_rows.mapInArrow(run, ENTRIES)
+    return packed.mapInArrow(run, ENTRIES)
 
 
 def _spot(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -224,7 +309,13 @@ def sets_for(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int) -> Dat
                 continue
             spot = _spot(batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), bits)
             batch = batch.filter(pa.array((sent.value[spot >> 3] >> (7 - (spot & 7)) & 1).astype(bool)))
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets_of(batch.column(1), width)], pa.binary())], schema=out)
+            ids, held, size, first = batch.column(0).cast(pa.int64()), [], 0, 0
+            for i, s in enumerate(sets_of(batch.column(1), width)):
+                held.append(s.tobytes())
+                size += len(held[-1])
+                if size >= 1 << 22 or i == batch.num_rows - 1:  # long texts have long sets
+                    yield pa.record_batch([ids[first : i + 1], pa.array(held, pa.binary())], schema=out)
+                    held, size, first = [], 0, i + 1
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, SETS)
 
@@ -306,23 +397,21 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     other columns are not read.
     """
     spark = docs.sparkSession
-    path = work_dir(spark, "jaccard-first")
-    classes_and_signatures(docs, width, num, den).write.option("compression", "zstd").parquet(path)
-    first = spark.read.schema(FIRST).parquet(path)
-    members = stored(first.where("sig is null").drop("sig"), "jaccard-members")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = first.where("sig is not null").select("sig", "n", "k1")
-    entries = stored(neighbours(rows.repartitionByRange(parts, "sig", "n", "k1").sortWithinPartitions("sig", "n", "k1"), num, den), "jaccard-entries")
-    drop_path(spark, path)  # nothing reads it from here on
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    first = stored(neighbours(classes_and_blocks(docs, width, num, den, parts).repartitionById(parts, "part"), num, den), "jaccard-first")
+    members = stored(first.where("c is null").drop("sig", "c", "x"), "jaccard-members")
 
     # a class is known by its smallest doc_id
-    parities = [F.first(f"p{i}").alias(f"p{i}") for i in range(4)]
+    parities = [F.first(p).alias(p) for p in PARITIES]
     nodes = stored(members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *parities), "jaccard-nodes")
 
-    pairs = entries.where("x1 is not null").groupBy("k1", "x1").count()
     # of the pairs of a class the one that meets most often
+    pairs = first.where("x is not null").groupBy(F.col("c").alias("k1"), F.col("x").alias("x1")).agg(F.sum("sig").alias("count"))
     best = Window.partitionBy("k1").orderBy(F.col("count").desc(), "x1")
     pairs = pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("k1", "x1")
+    entries = first.where("c is not null and x is null").select("sig", F.col("c").alias("k1"))
+    entries.stored_at = first.stored_at
     x, y = end_of(nodes, "b", "k1"), end_of(nodes, "a", "x1")
     pairs = pairs.join(x.hint("merge"), "k1").join(y.hint("merge"), "x1").where("a <> b").where(near_enough(num, den))
     pairs = stored(pairs.select("a", "b").distinct(), "jaccard-pairs")
@@ -345,7 +434,7 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
         forget(rest, pairs)
         if done:
             break
-        skip, take = skip + take, max(1, take * 16)
+        skip, take = skip + take, max(16, take * 16)
     forget(entries, edges, nodes)
     joined = members.join(found.select("k1", "k2", "component").hint("merge"), ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -354,12 +443,12 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
 
 def end_of(nodes: DataFrame, name: str, key: str) -> DataFrame:
     """nodes as one end of a pair: number, size and parities with the end's name."""
-    return nodes.select(F.col("k1").alias(key), F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(f"p{i}").alias(f"{name}_p{i}") for i in range(4)))
+    return nodes.select(F.col("k1").alias(key), F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(p).alias(f"{name}_{p}") for p in PARITIES))
 
 
 def near_enough(num: int, den: int):
-    """The sizes allow it, and two sets differ in as many shingles at least as their 256 parities do."""
-    differ = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(4))
+    """The sizes allow it, and two sets differ in as many shingles at least as their 512 parities do."""
+    differ = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in PARITIES)
     return F.expr(f"least(a_n, b_n) * {den}L >= greatest(a_n, b_n) * {num}L and ({differ}) * {num + den}L <= (a_n + b_n) * {den - num}L")
 
 
@@ -370,8 +459,7 @@ def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (sig, k1, x1) of blocks with several components; pairs (x1) aren't among them."""
-    entries = entries.where("x1 is null")
+    """The rows (sig, k1) of blocks with several components."""
     of = found.groupBy("k1").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
     several = entries.join(of.hint("merge"), "k1").groupBy("sig").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).where("c1 < c2").select("sig")
     return entries.join(several.hint("merge"), "sig").distinct()
@@ -382,12 +470,12 @@ def across(entries: DataFrame, found: DataFrame, num: int, den: int, skip: int,
     """Pairs (a, b) of classes in one block and of different components that pass the bounds: of each pair of components in a block those at places skip
     to skip + take by how near their parities are; a row of nulls tells of more than that. With take 0: of each component the nearest to another."""
     spark = entries.sparkSession
-    rows = entries.join(found.select("k1", "component", "node", "n", "p0", "p1", "p2", "p3").hint("merge"), "k1").drop("k1")
+    rows = entries.join(found.select("k1", "component", "node", "n", *PARITIES).hint("merge"), "k1").drop("k1")
     sides = entries.groupBy("sig").agg(F.ceil(F.count("*") / SIDE_ROWS).cast("int").alias("s"))
     rows = rows.join(sides.hint("merge"), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
     # a large block is cut into sides; each pair of sides is a tile of its own
     tiles = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    tiles = tiles.select("sig", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), F.when(F.col("own") <= F.col("t"), 0).otherwise(1).alias("side"), "component", "node", "n", "p0", "p1", "p2", "p3")
+    tiles = tiles.select("sig", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), F.when(F.col("own") <= F.col("t"), 0).otherwise(1).alias("side"), "component", "node", "n", *PARITIES)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     short_batches(spark)
@@ -403,7 +491,7 @@ def across(entries: DataFrame, found: DataFrame, num: int, den: int, skip: int,
         for begin in range(0, len(left), 128):
             r = left[begin : begin + 128]
             differ = np.zeros((len(r), len(right)), np.int64)
-            for w in range(4):
+            for w in range(len(PARITIES)):
                 differ += np.bitwise_count(bits[r, w, None] ^ bits[None, right, w])
             total = n[r, None] + n[None, right]
             fine = (differ * (num + den) <= total * (den - num)) & (np.minimum(n[r, None], n[None, right]) * den >= np.maximum(n[r, None], n[None, right]) * num) & (component[r, None] != component[None, right])
