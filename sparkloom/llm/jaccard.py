@@ -10,7 +10,7 @@ for all as blocks of its own, too, as many as every partner must meet.
 
 The product is taken in rounds; each counts the overlaps of chosen rows, column block after column block, and drops a pair as soon as the
 columns left can't reach ceil(t / (1 + t) (|x| + |y|)). Before that, pairs are dropped whose sizes are too far apart (t |x| <= |y| <= |x| / t)
-or whose sets differ in more than D of 512 parities.
+or whose sets differ in more than D parities, of which a set has as many as shingles at least.
 1. neighbours: in each block, sorted by size, a row meets the one before it and its parent in a tree of FAN_OUT children a node. Of a row's
    pairs the one that comes most often is multiplied. Its links already join large groups of near copies.
 2. the rest: in blocks whose rows are of several components so far, pairs of rows across components: first of each component the
@@ -43,7 +43,7 @@ FLUSH_ROWS, HOT_BLOCK, PART_BYTES = 1 << 20, 32, 1 << 25
 COLUMN_BLOCKS, HOT_ROW = 8, 256
 #: Bits of the filter of sets that are sent on: 16 a set, these at most (beyond, more sets are sent than needed).
 BLOOM_LEAST, BLOOM_MOST = 20, 30
-GROWTH = 1.5
+GROWTH, LEAST_PARITIES = 1.5, 256
 _zstd = pa.Codec("zstd", 1)
 
 
@@ -112,8 +112,7 @@ def signatures(s: np.ndarray, ranges: Ranges) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-PARITIES = [f"p{i}" for i in range(8)]
-MEMBERS = "doc_id long, n int, k1 long, k2 long, " + ", ".join(f"{p} long" for p in PARITIES)
+MEMBERS = "doc_id long, n int, k1 long, k2 long, parity binary"
 PACKED = "part int, blocks binary, " + MEMBERS
 #: Stands for classes that hold a signature in other parts.
 ELSEWHERE = np.uint32(0xFFFFFFFF)
@@ -169,6 +168,33 @@ def parts_of(sig: np.ndarray, row: np.ndarray, k1: np.ndarray, n: np.ndarray, pa
         yield int(part[a]), pack(sig[a:b], place, k1[used], n[used])
 
 
+def parity_of(s: np.ndarray) -> bytes:
+    """Parities of a set's columns by their lowest bits: a power of two of them, one a column at least."""
+    m = max(LEAST_PARITIES, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def folded(parities: list[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each, all of the least size among them: the halves of longer ones are added."""
+    size = min(map(len, parities))
+    out = np.empty((len(parities), size), np.uint8)
+    for i, x in enumerate(parities):
+        row = np.frombuffer(x, np.uint8)
+        out[i] = np.bitwise_xor.reduce(row.reshape(-1, size), axis=0)
+    return out.view(np.uint64)
+
+
+def unlike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many parities each row of left differs from each of right."""
+    if left.shape[1] <= 16:
+        return sum(np.bitwise_count(left[:, w, None] ^ right[None, :, w]).astype(np.int64) for w in range(left.shape[1]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for w in range(0, left.shape[1], 64):
+        a, b = (np.unpackbits(np.ascontiguousarray(x[:, w : w + 64]).view(np.uint8), axis=1).astype(np.float32) for x in (left, right))
+        out += a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.rint(out).astype(np.int64)
+
+
 def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, parts: int) -> DataFrame:
     """One reading of the texts: a row per document (MEMBERS: its set's size, key and parities), and packed signatures of its set by parts."""
     short_batches(docs.sparkSession)
@@ -192,7 +218,7 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, parts: i
             n, k1, k2, parity = [], [], [], []
             known = batch.column(0).is_valid().to_pylist()
             for row, s in enumerate(sets_of(batch.column(1), width)):
-                parity.append(np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1))
+                parity.append(parity_of(s))
                 key = _key(s) if len(s) else (0, 0)
                 n.append(len(s))
                 k1.append(key[0])
@@ -206,10 +232,9 @@ def classes_and_blocks(docs: DataFrame, width: int, num: int, den: int, parts: i
                         size += len(x)
                         if size >= FLUSH_ROWS:
                             yield from flush()
-            bits = np.array(parity, np.uint8).reshape(-1, 64).view(np.int64)
             ids = batch.column(0).cast(pa.int64())
             part = (tb.mix(np.array(k2, np.int64).view(np.uint64) + np.arange(len(k2), dtype=np.uint64)) % np.uint64(parts)).astype(np.int32)
-            yield pa.record_batch([pa.array(part), pa.nulls(len(n), pa.binary()), ids, pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(bits[:, i]) for i in range(8))], schema=out)
+            yield pa.record_batch([pa.array(part), pa.nulls(len(n), pa.binary()), ids, pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(parity, pa.binary())], schema=out)
         if held:
             yield from flush()
 
@@ -403,8 +428,7 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     members = stored(first.where("c is null").drop("sig", "c", "x"), "jaccard-members")
 
     # a class is known by its smallest doc_id
-    parities = [F.first(p).alias(p) for p in PARITIES]
-    nodes = stored(members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *parities), "jaccard-nodes")
+    nodes = stored(members.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("parity").alias("parity")), "jaccard-nodes")
 
     # of the pairs of a class the one that meets most often
     pairs = first.where("x is not null").groupBy(F.col("c").alias("k1"), F.col("x").alias("x1")).agg(F.sum("sig").alias("count"))
@@ -413,8 +437,8 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     entries = first.where("c is not null and x is null").select("sig", F.col("c").alias("k1"))
     entries.stored_at = first.stored_at
     x, y = end_of(nodes, "b", "k1"), end_of(nodes, "a", "x1")
-    pairs = pairs.join(x.hint("merge"), "k1").join(y.hint("merge"), "x1").where("a <> b").where(near_enough(num, den))
-    pairs = stored(pairs.select("a", "b").distinct(), "jaccard-pairs")
+    pairs = near_enough(pairs.join(x.hint("merge"), "k1").join(y.hint("merge"), "x1").where("a <> b"), num, den)
+    pairs = stored(pairs.distinct(), "jaccard-pairs")
     edges = stored(links(docs, pairs, width, num, den), "jaccard-links")
     found = stored(labels(nodes, edges), "jaccard-found")
     forget(pairs)
@@ -443,13 +467,21 @@ def link_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
 
 def end_of(nodes: DataFrame, name: str, key: str) -> DataFrame:
     """nodes as one end of a pair: number, size and parities with the end's name."""
-    return nodes.select(F.col("k1").alias(key), F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(p).alias(f"{name}_{p}") for p in PARITIES))
+    return nodes.select(F.col("k1").alias(key), F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_parity"))
+
+
+def near_enough(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow it; two sets differ in as many shingles at least as their parities do."""
+    fits = f"least(a_n, b_n) * {den}L >= greatest(a_n, b_n) * {num}L"
+    out = arrow_schema(pairs.sparkSession, "a long, b long")
 
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            fine = [int(unlike(two[:1], two[1:])[0, 0]) * (num + den) <= (n[i] + m[i]) * (den - num) for i in range(len(a)) for two in [folded([x[i], y[i]])]]
+            yield pa.record_batch([batch.column(0), batch.column(1)], schema=out).filter(pa.array(fine, pa.bool_()))
 
-def near_enough(num: int, den: int):
-    """The sizes allow it, and two sets differ in as many shingles at least as their 512 parities do."""
-    differ = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in PARITIES)
-    return F.expr(f"least(a_n, b_n) * {den}L >= greatest(a_n, b_n) * {num}L and ({differ}) * {num + den}L <= (a_n + b_n) * {den - num}L")
+    return pairs.where(fits).select("a", "b", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(run, "a long, b long")
 
 
 def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -470,12 +502,12 @@ def across(entries: DataFrame, found: DataFrame, num: int, den: int, skip: int,
     """Pairs (a, b) of classes in one block and of different components that pass the bounds: of each pair of components in a block those at places skip
     to skip + take by how near their parities are; a row of nulls tells of more than that. With take 0: of each component the nearest to another."""
     spark = entries.sparkSession
-    rows = entries.join(found.select("k1", "component", "node", "n", *PARITIES).hint("merge"), "k1").drop("k1")
+    rows = entries.join(found.select("k1", "component", "node", "n", "parity").hint("merge"), "k1").drop("k1")
     sides = entries.groupBy("sig").agg(F.ceil(F.count("*") / SIDE_ROWS).cast("int").alias("s"))
     rows = rows.join(sides.hint("merge"), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
     # a large block is cut into sides; each pair of sides is a tile of its own
     tiles = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    tiles = tiles.select("sig", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), F.when(F.col("own") <= F.col("t"), 0).otherwise(1).alias("side"), "component", "node", "n", *PARITIES)
+    tiles = tiles.select("sig", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), F.when(F.col("own") <= F.col("t"), 0).otherwise(1).alias("side"), "component", "node", "n", "parity")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     short_batches(spark)
@@ -483,16 +515,14 @@ def across(entries: DataFrame, found: DataFrame, num: int, den: int, skip: int,
 
     def tile(columns: list[np.ndarray], sent: set) -> tuple[list, bool]:
         i, j, side, component, node, n = (x.astype(np.int64) for x in columns[2:8])
-        bits = np.stack(columns[8:], axis=1).view(np.uint64)
+        bits = folded(columns[8].tolist())
         left = np.flatnonzero(side == 0)
         right = left if i[0] == j[0] else np.flatnonzero(side == 1)
         kept = np.zeros((5, 0), np.int64)
         place = np.zeros(0, np.int64)
         for begin in range(0, len(left), 128):
             r = left[begin : begin + 128]
-            differ = np.zeros((len(r), len(right)), np.int64)
-            for w in range(len(PARITIES)):
-                differ += np.bitwise_count(bits[r, w, None] ^ bits[None, right, w])
+            differ = unlike(bits[r], bits[right])
             total = n[r, None] + n[None, right]
             fine = (differ * (num + den) <= total * (den - num)) & (np.minimum(n[r, None], n[None, right]) * den >= np.maximum(n[r, None], n[None, right]) * num) & (component[r, None] != component[None, right])
             if right is left:
