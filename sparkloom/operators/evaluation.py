@@ -54,22 +54,3 @@ def leakage(results: DataFrame, owners: DataFrame) -> DataFrame:
     """Results (q_id, scope, chunk_id) whose chunk (chunk_id, scope) belongs to another scope, counted by scope asked."""
     own = owners.select("chunk_id", F.col("scope").alias("owner"))
     return results.join(own, "chunk_id").groupBy("scope").agg(F.count("*").alias("results"), F.count(F.when(F.col("owner") != F.col("scope"), 1)).alias("leaked"))
-
-
-def gate(before: dict[str, float], after: dict[str, float], tolerance: float = 0.05) -> list[str]:
-    """What forbids a release: refusals got worse, anything leaked, another metric fell by more than the tolerance."""
-    reasons = []
-    for name, value in before.items():
-        now = after.get(name, 0.0)
-        if name == "refusal" and now < value:
-            reasons.append("refusal accuracy fell")
-        elif name == "leaked" and now > 0:
-            reasons.append("chunks leaked")
-        elif name not in ("refusal", "leaked") and value - now > tolerance:
-            reasons.append(f"{name} fell by more than {tolerance}")
-    return reasons
-
-
-def ratio(part: Column, whole: Column) -> Column:
-    """Null where there is nothing to divide by."""
-    return F.round(F.try_divide(part, whole), 3)

@@ -7,6 +7,8 @@ and every order ends with the id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 RRF_K, FLOOR, TOP_K, POOL = 60, 0.35, 8, 20
+#: Vectors of a scope are dealt to so many parts; questions go to all of them.
+PARTS = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,7 +41,10 @@ def dense(questions: DataFrame, vectors: DataFrame, k: int = POOL) -> DataFrame:
     norm = lambda x: F.sqrt(dot(F.col(x), F.col(x)))
     asked = questions.select("q_id", "scope", F.col("embedding").alias("q"), norm("embedding").alias("q_norm"))
     # lengths are worked out once for a vector, not for each pair
-    pairs = vectors.withColumn("norm", norm("embedding")).join(asked, "scope")
+    # a scope may hold most vectors: it is cut by chunk, and the few questions meet each part
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    held = vectors.withColumn("norm", norm("embedding")).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
+    pairs = held.join(asked.withColumn("part", parts), ["scope", "part"])
     norms = F.col("norm") * F.col("q_norm")
     cosine_ = F.when((F.size("embedding") == F.size("q")) & (norms > 0), dot(F.col("embedding"), F.col("q")) / norms)
     scored = pairs.select("q_id", "chunk_id", F.round(F.coalesce(cosine_, F.lit(0.0)), 6).alias("similarity"))
@@ -68,16 +75,36 @@ def fuse(by_vector: DataFrame, by_words: DataFrame, k: int = RRF_K) -> DataFrame
     return both.withColumn("rrf", F.round(part("v_rank") + part("l_rank"), 8)).withColumn("source", source)
 
 
+def pooled(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int = POOL) -> DataFrame:
+    """The best fused rows of each question with their similarity: that of the dense channel, worked out only for rows that words alone found; without a vector it is 0."""
+    best = ranked(fuse(dense(questions, vectors), lexical(questions, chunks)), "rrf", "rank", pool)
+    by_words = best.where("similarity is null").select("q_id", "chunk_id")
+    asked = questions.select("q_id", F.col("embedding").alias("q")).dropDuplicates(["q_id"])
+    more = by_words.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(asked, "q_id").select("q_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("late"))
+    return best.join(more, ["q_id", "chunk_id"], "left").withColumn("similarity", F.coalesce("similarity", "late", F.lit(0.0))).drop("late")
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, floor: float = FLOOR, top_k: int = TOP_K) -> DataFrame:
-    """Fuse, pool, gate on similarity, cut. Similarity is worked out for lexical hits too; without a vector it is 0."""
-    fused = fuse(dense(questions, vectors).drop("similarity"), lexical(questions, chunks))
-    pool = ranked(fused, "rrf", "pool_rank", POOL)
-    asked = questions.select("q_id", F.col("embedding").alias("q"))
-    scored = pool.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(asked, "q_id")
-    scored = scored.withColumn("similarity", F.round(F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), 6)).where(F.col("similarity") >= floor)
+    """Fuse, pool, gate on similarity, cut. questions: a row for each scope that a question may search."""
+    scored = pooled(questions, chunks, vectors).where(F.col("similarity") >= floor).drop("rank")
     return ranked(scored, "rrf", "rank", top_k).select("q_id", "rank", "chunk_id", "similarity", "rrf", "source")
 
 
+def retrieve_sections(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, reranker: Callable[[DataFrame], DataFrame], places: DataFrame, floor: float = FLOOR, top_k: int = TOP_K, pool: int = POOL, most_tokens: int = 3 * 512) -> DataFrame:
+    """The whole chain: fuse, pool, rerank, gate, parents, cut.
+
+    reranker adds score to the pool's rows (q_id, chunk_id, …): a question with any missing score keeps the fused order. places (chunk_id, doc_id, chunk_index, section, token_count): two or more
+    admitted chunks of one run of a section become one row, if the run has no more than most_tokens. An empty scope has no rows.
+    """
+    from .sections import assemble_parents
+
+    rows = rerank(reranker(pooled(questions, chunks, vectors, pool)))
+    admitted = rows.where(F.col("similarity") >= floor).drop("rank").withColumnRenamed("new_rank", "rank").join(places.select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
+    whole = assemble_parents(admitted.select("q_id", "rank", "chunk_id", "doc_id", "chunk_index", "similarity"), places, most_tokens)
+    cut = whole.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).where(F.col("place") <= top_k)
+    return cut.join(places.select("doc_id", "chunk_index", "chunk_id"), ["doc_id", "chunk_index"]).select("q_id", "place", "chunk_id", "similarity", "members")
+
+
 def rerank(pool: DataFrame, score: str = "score") -> DataFrame:
     """Rows of each question by score, then by their former rank; a question with any missing score keeps its order."""
     whole = F.count(score).over(Window.partitionBy("q_id")) == F.count("*").over(Window.partitionBy("q_id"))

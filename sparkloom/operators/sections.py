@@ -9,10 +9,15 @@ from pyspark.sql.window import Window
 
 
 def section_runs(chunks: DataFrame, key: str = "section") -> DataFrame:
-    """chunks (doc_id, chunk_index, key) with run: a new one begins whenever the key changes in chunk order."""
-    order = Window.partitionBy("doc_id").orderBy("chunk_index")
-    changed = F.when(F.col(key).eqNullSafe(F.lag(key).over(order)) & (F.col("chunk_index") > F.min("chunk_index").over(Window.partitionBy("doc_id"))), 0).otherwise(1)
-    return chunks.withColumn("_new", changed).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """chunks (doc_id, chunk_index, key, and page and kind where there are) with run: a new one begins whenever the key or the page changes in chunk order.
+    Figures are in no run (null) and part none."""
+    page = F.col("page") if "page" in chunks.columns else F.lit(0)
+    text = F.col("kind").eqNullSafe("figure") == F.lit(False) if "kind" in chunks.columns else F.lit(True)
+    # figures are ordered by themselves, so that the rows around one are neighbours
+    order = Window.partitionBy("doc_id", "_text").orderBy("chunk_index")
+    rows = chunks.withColumn("_text", text).withColumn("_key", F.struct(page, F.col(key)))
+    rows = rows.withColumn("_new", F.when(F.col("_key").eqNullSafe(F.lag("_key").over(order)), 0).otherwise(1))
+    return rows.withColumn("run", F.when(F.col("_text"), F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_new", "_key", "_text")
 
 
 def choose_chunks(chunks: DataFrame, most: int = 8) -> DataFrame:
@@ -69,18 +74,29 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
-def triage(chars: Column, columns: Column, items: Column, area_percent: Column, images: Column, vector_ops: Column) -> Column:
-    """The route of a page by its signals: the first reason to parse it, else text."""
-    return (
-        F.when(chars < 60, "no-text").when(columns >= 2, "columns").when(items / F.greatest(area_percent, F.lit(1)) >= 10, "dense").when((images >= 1) | (vector_ops >= 6), "figures").otherwise("text")
-    )
+def merged(contents: list[str], separator: str = "\n\n") -> str:
+    """The texts of a run's chunks as one: a chunk that begins with the last whole pieces of the one before goes on without them; the longest such tail counts, never the whole chunk."""
+    out, last = "", None
+    for text in contents:
+        tails = [separator.join(p[k:]) for p in [(last or "").split(separator)] for k in range(1, len(p))]
+        seam = next((t for t in tails if t and text.startswith(t + separator)), None)
+        out = text if last is None else out + (text[len(seam) :] if seam is not None else separator + text)
+        last = text
+    return out
 
 
-def body_size(lines: DataFrame) -> DataFrame:
-    """The font size (to a quarter) that most characters of a document have; ties to the smaller size."""
-    sized = lines.select("doc_id", (F.round(F.col("size") * 4) / 4).alias("size"), F.col("chars")).groupBy("doc_id", "size").agg(F.sum("chars").alias("chars"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("chars").desc(), "size")
-    return sized.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "size", "chars")
+def merged_runs(chunks: DataFrame, most: int = 1000) -> DataFrame:
+    """doc_id, run, content of the runs of chunks (doc_id, chunk_index, section, content). A run that a parent can be made of has few chunks: longer ones than `most` aren't merged, as no parent
+    may have so many, and give no row."""
+    runs = section_runs(chunks).where("run is not null")
+    small = runs.groupBy("doc_id", "run").count().where(F.col("count") <= most).drop("count")
+    lists = runs.join(small, ["doc_id", "run"]).groupBy("doc_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]).alias("contents"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([merged(x) for x in batch.column(2).to_pylist()], pa.string())], names=["doc_id", "run", "content"])
+
+    return lists.select("doc_id", "run", "contents").mapInArrow(run, "doc_id long, run long, content string")
 
 
 def fixed_windows(hits: DataFrame, seconds: int, most: int) -> DataFrame:

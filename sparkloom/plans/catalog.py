@@ -268,11 +268,6 @@ def chunk_documents(spark, d):
     return L.chunk(read(spark, d, "documents"))
 
 
-def page_triage(spark, d):
-    route = S.triage(F.col("l_quantity") * 20, F.col("l_linenumber") % 3, F.col("l_partkey") % 400, F.col("l_quantity"), F.col("l_suppkey") % 2, F.col("l_linenumber"))
-    return read(spark, d, "lineitem").select(route.alias("route")).groupBy("route").agg(F.count("*").alias("pages"))
-
-
 def box_iou(spark, d):
     box = lambda x, y, w: F.struct(x.alias("xmin"), y.alias("ymin"), (x + w).alias("xmax"), (y + w).alias("ymax"))
     a = box(F.col("l_discount"), F.col("l_tax"), F.lit(0.5))
@@ -280,10 +275,6 @@ def box_iou(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.iou(a, b), 6).alias("iou"))
 
 
-def body_font_size(spark, d):
-    return S.body_size(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 0.9).alias("size"), F.col("l_quantity").cast("long").alias("chars")))
-
-
 def fixed_window_limit(spark, d):
     return S.fixed_windows(read(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id")), 3600 * 24, 3)
 
@@ -296,6 +287,6 @@ QUERIES = {
         owners_with_docs, fragmented_owners, storage_use, estimate_tokens, detect_heading, normalise_title, cited_indices, dense_topk, lexical_rank, rrf_fusion,
         hybrid_retrieve, rerank_permutation, accumulate_searches, effective_floor, section_runs, choose_document_chunks, parent_assembly, previous_user_turn,
         last_turns, eval_metrics, eval_by_slice, gate_separation, judge_agreement, judge_aggregate, kb_leakage, html_title, html_sections, markdown_sections,
-        chunk_documents, page_triage, box_iou, body_font_size, fixed_window_limit,
+        chunk_documents, box_iou, fixed_window_limit,
     )
 }

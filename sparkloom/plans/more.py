@@ -83,7 +83,7 @@ SELECT key, id, row_number() OVER (PARTITION BY key, b ORDER BY ts, id) <= 3 AS
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _LEXICAL = f"""
 WITH q AS (
-  SELECT DISTINCT item_id AS q_id, unnest(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS term FROM benchmark b JOIN embeddings ON vec_id = item_id WHERE item_id < 8),
+  SELECT DISTINCT item_id AS q_id, unnest(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS term FROM benchmark b JOIN embeddings ON vec_id = item_id),
 d AS (
   SELECT chunk_id, term, count(*) AS n FROM (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE lang = 'en') GROUP BY 1, 2),
 s AS (SELECT q_id, chunk_id, round(sum(n)::DOUBLE * 0.1::DOUBLE, 6) AS lexical_rank FROM q JOIN d USING (term) WHERE term NOT IN ({_STOP}) GROUP BY 1, 2)

@@ -101,14 +101,8 @@ SELECT t.threshold, count(*) AS answerable, count(*) FILTER (WHERE o_totalprice
     "kb_leakage": "SELECT l_orderkey % 5 AS scope, count(*) AS results, count(*) FILTER (WHERE p_partkey % 5 <> l_orderkey % 5) AS leaked FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
     "html_title": r"""
 SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages""",
-    "page_triage": """
-SELECT CASE WHEN l_quantity * 20 < 60 THEN 'no-text' WHEN l_linenumber % 3 >= 2 THEN 'columns' WHEN (l_partkey % 400) / greatest(l_quantity, 1) >= 10 THEN 'dense'
-  WHEN l_suppkey % 2 >= 1 OR l_linenumber >= 6 THEN 'figures' ELSE 'text' END AS route, count(*) AS pages FROM lineitem GROUP BY 1""",
-    "body_font_size": """
-WITH s AS (SELECT l_orderkey AS doc_id, round(l_linenumber * 0.9::DOUBLE * 4) / 4 AS size, sum(l_quantity::BIGINT)::BIGINT AS chars FROM lineitem GROUP BY 1, 2)
-SELECT doc_id, size, chars FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) = 1""",
     "dense_topk": """
-WITH q AS (SELECT item_id AS q_id, e.embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings e ON vec_id = item_id WHERE item_id < 8),
+WITH q AS (SELECT item_id AS q_id, e.embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings e ON vec_id = item_id),
 s AS (SELECT q_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], qe), 6) AS similarity FROM q, embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'en')
 SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, chunk_id)::INTEGER AS v_rank FROM s QUALIFY v_rank <= 20""",
 }

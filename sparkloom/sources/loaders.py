@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.text import detect_heading
 
 Section = list[tuple[str, str]]
 
@@ -22,6 +26,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Open elements without an end tag that a start tag ends.
 ENDED_BY = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 BLOCKS = {"p": "Text", "blockquote": "Text", "dd": "Text", "dt": "Text", "li": "List-item"}
+HEADING_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 DEPTH = 3
 
 
@@ -55,106 +60,105 @@ def _flat(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+def walk(node, inside: Callable[[list], bool]):
+    """Texts (str), and nodes as they begin, in document order; a node's children only if inside(node). No recursion: pages may nest deeply."""
+    pending = [iter(node[1])]
+    while pending:
+        child = next(pending[-1], None)
+        if child is None:
+            pending.pop()
+        else:
+            yield child
+            if not isinstance(child, str) and inside(child):
+                pending.append(iter(child[1]))
+
+
 def _text(node) -> str:
-    return node if isinstance(node, str) else "" if node[0] in DROPPED else "".join(map(_text, node[1]))
+    return "".join(x for x in walk(node, lambda n: n[0] not in DROPPED) if isinstance(x, str))
 
 
 def _find(node, tags: set[str]):
-    for child in node[1]:
-        if not isinstance(child, str) and child[0] not in DROPPED:
-            if child[0] in tags:
-                yield child
-            yield from _find(child, tags)
+    return (x for x in walk(node, lambda n: n[0] not in DROPPED) if not isinstance(x, str) and x[0] in tags)
+
+
+def _element(node) -> tuple[str, str] | None:
+    """What a node is as a whole; None if its children are looked at one by one."""
+    tag = node[0]
+    if tag in HEADING_TAGS:
+        return "Section-header", _flat(_text(node))
+    if tag in BLOCKS:
+        return BLOCKS[tag], _flat(_text(node))
+    if tag == "pre":
+        return "Table", _text(node).strip()
+    if tag == "table":
+        cells = ([_flat(_text(c)) for c in _find(row, {"td", "th"})] for row in _find(node, {"tr"}))
+        return "Table", "\n".join(filter(None, map(" | ".join, cells)))
+    return None
+
+
+def sectioned(found: Iterable[tuple[str, str, int]]) -> list[Section]:
+    """(type, text, heading level or 0) in order, as sections: one begins at each heading down to DEPTH. Empty texts are left out."""
+    sections: list[Section] = [[]]
+    for kind, text, level in found:
+        if text:
+            if 0 < level <= DEPTH and sections[-1]:
+                sections.append([])
+            sections[-1].append((kind, text))
+    return sections
 
 
 def html_sections(html: str) -> list[Section]:
-    """Sections that begin at headings of level 1 to 3; tables and preformatted text stay whole."""
+    """Sections that begin at headings of level 1 to 3; tables and preformatted text stay whole. Null and empty pages have one empty section."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     body = next((x for tag in ("main", "article", "body") for x in _find(tree.root, {tag})), tree.root)
-    sections: list[Section] = [[]]
+    parts = walk(body, lambda n: n[0] not in DROPPED and _element(n) is None)
 
-    def add(kind: str, text: str) -> None:
-        if text:
-            sections[-1].append((kind, text))
+    def content():
+        for x in parts:
+            if isinstance(x, str):
+                yield "Text", _flat(x), 0
+            elif x[0] not in DROPPED and (e := _element(x)):
+                yield *e, int(x[0][1]) if x[0] in HEADING_TAGS else 0
+
+    return sectioned(content())
 
-    def visit(node) -> None:
-        for child in node[1]:
-            if isinstance(child, str):
-                add("Text", _flat(child))
-                continue
-            tag = child[0]
-            if tag in DROPPED:
-                continue
-            if re.fullmatch("h[1-6]", tag):
-                title = _flat(_text(child))
-                if title and int(tag[1]) <= DEPTH and sections[-1]:
-                    sections.append([])
-                add("Section-header", title)
-            elif tag in BLOCKS:
-                add(BLOCKS[tag], _flat(_text(child)))
-            elif tag == "pre":
-                add("Table", _text(child).strip())
-            elif tag == "table":
-                rows = (" | ".join(_flat(_text(c)) for c in _find(r, {"td", "th"})) for r in _find(child, {"tr"}))
-                add("Table", "\n".join(filter(None, rows)))
-            else:
-                visit(child)
-
-    visit(body)
-    return sections
+
+#: What a line of Markdown is, by the first form that fits the whole line.
+_LINE = re.compile(r"\s*(?P<fence>```|~~~).*|(?P<marks>#{1,6})\s+(?P<title>.*?)\s*#*|(?P<rule>\s*\|[\s:|-]+\|)|(?P<row>\s*\|.*\|)|\s*(?:[-*+]|\d+[.)])\s+(?P<item>.*)|(?P<blank>\s*)|(?P<words>.*)")
 
 
 def markdown_sections(text: str) -> list[Section]:
     """As html_sections(), by lines: fences and pipe tables stay whole, list items stand alone, other lines join to paragraphs."""
-    sections: list[Section] = [[]]
-    lines: list[str] = []
-    rows: list[str] = []
-    fence: list[str] | None = None
-
-    def close() -> None:
-        if lines:
-            sections[-1].append(("Text", " ".join(lines)))
-        if rows:
-            sections[-1].append(("Table", "\n".join(rows)))
-        lines.clear()
-        rows.clear()
-
-    for line in (x.rstrip() for x in re.split(r"\r?\n", text or "")):
-        mark = re.match(r"\s*(```|~~~)", line)
-        if fence is not None:
-            if mark:
-                sections[-1].append(("Table", "\n".join(fence)))
-                fence = None
-            else:
-                fence.append(line)
-        elif mark:
-            close()
-            fence = []
-        elif m := re.fullmatch(r"(#{1,6})\s+(.*?)\s*#*", line):
-            close()
-            if len(m[1]) <= DEPTH and sections[-1]:
-                sections.append([])
-            sections[-1].append(("Section-header", m[2]))
-        elif re.fullmatch(r"\s*\|.*\|", line):
-            if lines:
-                close()
-            if not re.fullmatch(r"\s*\|[\s:|-]+\|", line):
-                rows.append(line.strip())
-        elif m := re.fullmatch(r"\s*(?:[-*+]|\d+[.)])\s+(.*)", line):
-            close()
-            sections[-1].append(("List-item", m[1]))
-        elif not line.strip():
-            close()
-        else:
-            if rows:
-                close()
-            lines.append(line.strip())
-    if fence is not None:
-        sections[-1].append(("Table", "\n".join(fence)))
-    close()
-    return sections
+    lines = [line.rstrip() for line in re.split(r"\r?\n", text or "")]
+    read = [_LINE.fullmatch(line) for line in lines]
+    # the lines after an odd number of fences are code
+    fences = list(accumulate(int(m["fence"] is not None) for m in read))
+
+    def kind(i: int) -> tuple:
+        m = read[i]
+        if fences[i] % 2 and m["fence"] is None:
+            return "code", fences[i]
+        name = "row" if m["rule"] is not None else m.lastgroup
+        return (name, None) if name in ("row", "words") else (name, i)
+
+    def content():
+        for (name, _), run in groupby(range(len(lines)), kind):
+            run = list(run)
+            m = read[run[0]]
+            if name == "code":
+                yield "Table", "\n".join(lines[i] for i in run), 0
+            elif name == "row":
+                yield "Table", "\n".join(lines[i].strip() for i in run if read[i]["rule"] is None), 0
+            elif name == "words":
+                yield "Text", " ".join(lines[i].strip() for i in run), 0
+            elif name == "item":
+                yield "List-item", m["item"], 0
+            elif name == "title":
+                yield "Section-header", m["title"], len(m["marks"])
+
+    return sectioned(content())
 
 
 def elements(df: DataFrame, key: str, column: str, sections: Callable[[str], list[Section]]) -> DataFrame:
@@ -232,8 +236,66 @@ def chunk(df: DataFrame, key: str = "doc_id", column: str = "text", budget: int
     return df.select(key, column).mapInArrow(run, schema)
 
 
+def packed(rows: DataFrame, keys: list[str], budget: int, overlap: int, whole: Iterable[str] = ()) -> DataFrame:
+    """rows (keys, type, text) cut to the budget each for itself: keys, part, content, token_count; texts of the types in `whole` stay in one piece."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", part int, content string, token_count int"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out, whole = to_arrow_schema(StructType.fromDDL(schema)), frozenset(whole)
+
+    def run(batches):
+        for batch in batches:
+            *key, types, texts = (c.to_pylist() for c in batch.columns)
+            found = []
+            for k, t, x in zip(zip(*key), types, texts):
+                parts = [(x, estimate(x))] if t in whole and x and x.strip() else pack(x or "", budget, overlap)
+                found += [(*k, i, *p) for i, p in enumerate(parts)]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [()] * len(out), out)], schema=out)
+
+    return rows.select(*keys, "type", "text").mapInArrow(run, schema)
+
+
+def numbered(chunks: DataFrame, *order: str) -> DataFrame:
+    """chunk_index over a document, from 0."""
+    return chunks.withColumn("chunk_index", (F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1).cast("int"))
+
+
+def page_chunks(pages: DataFrame, budget: int = 512, overlap: int = 64) -> DataFrame:
+    """pages (doc_id, page, text) as chunks: never across a page, each with its page's heading. Pages without text have none."""
+    rows = packed(pages.withColumn("type", F.lit("Text")), ["doc_id", "page"], budget, overlap)
+    headed = rows.join(pages.select("doc_id", "page", detect_heading(F.col("text")).alias("heading")), ["doc_id", "page"])
+    return numbered(headed, "page", "part").select("doc_id", "chunk_index", "page", "heading", "content", "token_count")
+
+
+def element_chunks(found: DataFrame, budget: int = 512, overlap: int = 64) -> DataFrame:
+    """Elements (doc_id, page, place, type, text, heading, caption) as chunks: tables and pictures whole, other text cut within its element."""
+    rows = packed(found, ["doc_id", "page", "place", "heading", "caption", "type"], budget, overlap, ("Table", "Picture"))
+    kind = F.when(F.col("type") == "Table", "table").when(F.col("type") == "Picture", "figure").otherwise("text")
+    return numbered(rows.withColumn("kind", kind), "page", "place", "part").select("doc_id", "chunk_index", "page", "kind", "heading", "caption", "content", "token_count")
+
+
+def section_chunks(found: DataFrame, key: str, budget: int = 512, overlap: int = 64) -> DataFrame:
+    """Sections' elements (key, section, position, type, text) as chunks; the number of a section among those with text counts as page, and its heading is the last one before."""
+    rows = found.where(F.trim("text") != "").withColumnRenamed(key, "doc_id")
+    at = Window.partitionBy("doc_id").orderBy("section")
+    rows = rows.withColumn("page", F.dense_rank().over(at))
+    before = Window.partitionBy("doc_id", "section").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    headed = rows.withColumn("heading", F.last(F.when(F.col("type") == "Section-header", F.trim(F.regexp_replace("text", "^#+\\s*", ""))), ignorenulls=True).over(before))
+    content = headed.where("type <> 'Section-header'").withColumn("place", F.col("position")).withColumn("caption", F.lit(None).cast("string"))
+    return element_chunks(content, budget, overlap).drop("caption")
+
+
+def as_text(data):
+    """Bytes as text: null if they hold a NUL, or if more than a hundredth of the text is replacement characters; a byte order mark goes."""
+    text = F.decode(data, "UTF-8")
+    bad = F.length(text) - F.length(F.replace(text, F.lit("\ufffd"), F.lit("")))
+    return F.when(~F.contains(F.hex(data), F.lit("00")) | (F.length(F.replace(text, F.lit("\x00"), F.lit(""))) == F.length(text)), F.when(bad <= F.length(text) / 100, F.regexp_replace(text, "^\ufeff", "")))
+
+
 def format_of(data, name=None):
-    """The format of bytes by their content: PDF, DOCX, HTML, else Markdown for text, else null."""
+    """The format of bytes by their content: PDF, DOCX, HTML, else Markdown for text, else null (also for null)."""
     head = F.decode(F.substring(data, 1, 4096), "ISO-8859-1")
     return (
         F.when(head.startswith("%PDF-"), "pdf").when(head.startswith("PK\x03\x04"), "docx").when(head.rlike(r"(?i)<(!doctype html|html|head|body)[\s>]"), "html").when(~head.contains("\x00"), "markdown")

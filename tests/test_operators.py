@@ -3,11 +3,12 @@
 import duckdb
 import pytest
 
-from sparkloom.plans import catalog, more, oracle
+from sparkloom.plans import catalog, more, oracle, rules, rules_sql, texts
 from sparkloom.sources import loaders as L
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.QUERIES | more.QUERIES, oracle.ORACLE_SQL | more.ORACLE_SQL
+QUERIES = catalog.QUERIES | more.QUERIES | rules.QUERIES | texts.QUERIES
+SQL = oracle.ORACLE_SQL | more.ORACLE_SQL | rules_sql.ORACLE_SQL | texts.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -40,8 +41,17 @@ def test_html():
 
 
 def test_markdown():
-    text = "# A\none\ntwo\n\n- x\n| a | b |\n|---|---|\n| 1 | 2 |\n```\ncode\n```\n#### deep\n## B ##"
-    assert L.markdown_sections(text) == [[("Section-header", "A"), ("Text", "one two"), ("List-item", "x"), ("Table", "| a | b |\n| 1 | 2 |"), ("Table", "code"), ("Section-header", "deep")], [("Section-header", "B")]]
+    text = "intro line\n1. first\n2) second\n\n| k | v |\n| :-: | --- |\n| x | y |\nafter the table\n### Three\n~~~ py\na = 1\n\n# no heading\n~~~\n##### small #####\nlast\n```\nopen"
+    assert L.markdown_sections(text) == [
+        [("Text", "intro line"), ("List-item", "first"), ("List-item", "second"), ("Table", "| k | v |\n| x | y |"), ("Text", "after the table")],
+        [("Section-header", "Three"), ("Table", "a = 1\n\n# no heading"), ("Section-header", "small"), ("Text", "last"), ("Table", "open")],
+    ]
+    assert L.markdown_sections(None) == [[]] == L.markdown_sections("")
+
+
+def test_deeply_nested_html():
+    assert L.html_sections("<div>" * 20_000 + "deep" + "</div>" * 20_000) == [[("Text", "deep")]]
+    assert L.html_sections(None) == [[]]
 
 
 def test_packing():
