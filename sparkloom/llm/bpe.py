@@ -22,10 +22,11 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, short_batches
+from .common import arrow_schema, held, short_batches
 
-#: Fixed value of the vocabulary format: the split pattern, here for ASCII texts alone.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\s0-9a-z]+")
+#: Fixed value of the vocabulary format: the split pattern, used here for Latin texts alone, whose letters are the same in all Unicode versions.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+LATIN = "\u024f"
 
 
 def byte_alphabet() -> list[str]:
@@ -100,7 +101,7 @@ class Automaton:
         """Arcs of one word, given in the byte alphabet."""
         n, delta, size, trie = len(symbols), self.delta, self.size, self.trie
         ends = [-1] * (n + 1)  # the arc that ends each prefix
-        if len(delta) > 2_000_000:
+        if len(delta) > 500_000:
             delta.clear()
         for j in range(n):
             state, node = ends[j], trie
@@ -129,14 +130,14 @@ class Automaton:
 
 
 class WordIds(dict):
-    """Ids (as bytes) of a pre-split word, which is ASCII or already in the byte alphabet; holds at most `most` words."""
+    """Ids (as bytes) of a pre-split word, plain or already in the byte alphabet; holds at most `most` words."""
 
-    def __init__(self, automaton: Automaton, most: int = 600_000) -> None:
-        self.automaton, self.most = automaton, most
+    def __init__(self, automaton: Automaton, plain: bool, most: int = 150_000) -> None:
+        self.automaton, self.plain, self.most = automaton, plain, most
         self.alphabet = byte_alphabet()
 
     def __missing__(self, word: str) -> bytes:
-        symbols = "".join(map(self.alphabet.__getitem__, word.encode())) if word.isascii() else word
+        symbols = "".join(map(self.alphabet.__getitem__, word.encode())) if self.plain else word
         ids = np.array(self.automaton.encode(symbols), "<u4").tobytes()
         if len(self) >= self.most:
             self.clear()
@@ -154,22 +155,22 @@ class Tokenizer:
         model = spec["model"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        self.words = WordIds(self.automaton)
+        self.words, self.symbol_words = WordIds(self.automaton, True), WordIds(self.automaton, False)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = list(self.automaton.labels)
         for text, i in self.special.items():
             self.labels += [""] * (i + 1 - len(self.labels))
             self.labels[i] = text
-        # texts that are not ASCII are normalised and split by the file's own rules, in the Unicode version of its library
+        # texts that are not ASCII are normalised, and those beyond Latin split, by the file's own rules in the Unicode version of its library
         rules = tokenizers.Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalise, self.split_words = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def _plain(self, text: str) -> bytes:
-        words = self.words
-        if text.isascii():
-            return b"".join(map(words.__getitem__, _WORD.findall(text.lower())))
-        return b"".join([words[word] for word, _ in self.split_words(self.normalise(text))])
+        text = text.lower() if text.isascii() else self.normalise(text)
+        if text.isascii() or max(text) <= LATIN:
+            return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
+        return b"".join([self.symbol_words[word] for word, _ in self.split_words(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -185,13 +186,8 @@ class Tokenizer:
         return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[str, Tokenizer] = {}
-
-
 def load(path: str) -> Tokenizer:
-    if path not in _loaded:
-        _loaded[path] = Tokenizer(path)
-    return _loaded[path]
+    return held(f"bpe {path}", lambda: Tokenizer(path))
 
 
 def default_path() -> str:

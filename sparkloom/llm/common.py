@@ -78,6 +78,21 @@ def map_rows(df: DataFrame, schema: str, function, *columns: str) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def held(name: str, make):
+    """A large object of a Python worker, made when it is first asked for. A worker serves one operator after another: it holds one such object at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    _held.clear()
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -38,7 +38,7 @@ from .components import components
 #: Children of a row in the first round; rows of a side of a block in the later ones.
 FAN_OUT, SIDE_ROWS = 64, 1024
 #: Signatures that are packed together; so many classes among them with one signature make it hot; bytes of text whose signatures make a part.
-FLUSH_ROWS, HOT_BLOCK, PART_BYTES = 1 << 20, 32, 1 << 25
+FLUSH_ROWS, HOT_BLOCK, PART_BYTES = 1 << 19, 32, 1 << 23
 #: Column blocks of the product; pairs of a row from which on they are dealt to several tasks.
 COLUMN_BLOCKS, HOT_ROW = 8, 256
 #: Bits of the filter of sets that are sent on: 16 a set, these at most (beyond, more sets are sent than needed).

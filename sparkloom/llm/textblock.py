@@ -13,6 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from .common import release
+
 BLOCK_BYTES = 1 << 20
 _M = (1 << 64) - 1
 _MULT = 0x9E3779B97F4A7C15 | 3  # odd, so that it has an inverse modulo 2^64
@@ -67,6 +69,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets) of the blocks of a string column; null counts as empty."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
