@@ -1,6 +1,10 @@
 """Operators against DuckDB over the smallest tables, and loaders on small fixtures."""
 
+import numbers
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from sparkloom.plans import catalog, more, oracle, rules, rules_sql, texts
@@ -12,9 +16,18 @@ SQL = oracle.ORACLE_SQL | more.ORACLE_SQL | rules_sql.ORACLE_SQL | texts.ORACLE_
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def cell(x):
+    """Comparable however pandas holds a column with nulls."""
+    if isinstance(x, (bool, np.bool_)):
+        return str(bool(x))
+    if isinstance(x, numbers.Number) and not pd.isna(x):
+        return round(float(x), 6)
+    return str(x) if isinstance(x, str) or not pd.isna(x) else "null"
+
+
 def rows(frame):
     columns = sorted(frame.columns)
-    return columns, sorted(str(tuple("null" if x is None or x != x else round(x, 6) if isinstance(x, float) else str(x) for x in r)) for r in frame[columns].itertuples(index=False))
+    return columns, sorted(str(tuple(map(cell, r))) for r in frame[columns].itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
