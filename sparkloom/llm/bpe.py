@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,19 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_schema, held, short_batches
 
-#: Fixed value of the vocabulary format: the split pattern, used here for Latin texts alone, whose letters are the same in all Unicode versions.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = "\u024f"
 
 
+def latin_words() -> re.Pattern:
+    """The split pattern of the vocabulary format (a fixed value) for Latin texts alone, whose letters and numbers are the same in all Unicode versions."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(ord(LATIN) + 1) if regex.fullmatch(kind, chr(c)))
+    letters, numbers, spaces = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
+_WORD = latin_words()
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
