@@ -54,9 +54,13 @@ def cited_indices(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))
 
 
+#: Fixed value: how secrets look.
+SECRETS = r"\b(nvapi-[A-Za-z0-9_-]{8,}|sk-[A-Za-z0-9_-]{8,}|sk_[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]{8,})"
+
+
 def redact(text: Column) -> Column:
     """Values that look like API keys or bearer tokens become [redacted]; long texts are cut."""
-    clean = F.regexp_replace(text, r"\b(nvapi-[A-Za-z0-9_-]{8,}|sk-[A-Za-z0-9_-]{8,}|sk_[A-Za-z0-9_-]{8,}|Bearer\s+[A-Za-z0-9._-]{8,})", "[redacted]")
+    clean = F.regexp_replace(text, SECRETS, "[redacted]")
     over = F.length(clean) - 4000
     return F.when(over > 0, F.concat(F.substring(clean, 1, 4000), F.lit("… ("), over.cast("string"), F.lit(" more characters)"))).otherwise(clean)
 

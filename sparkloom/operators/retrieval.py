@@ -51,11 +51,6 @@ def dense(questions: DataFrame, vectors: DataFrame, k: int = POOL) -> DataFrame:
     return ranked(scored, "similarity", "v_rank", k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, scope, term, n: how often each term occurs."""
-    return chunks.select("chunk_id", "scope", F.explode(T.all_terms(F.col("content"))).alias("term")).groupBy("chunk_id", "scope", "term").agg(F.count("*").alias("n"))
-
-
 def lexical(questions: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
     """q_id, chunk_id, lexical_rank, l_rank: 0.1 for each position of a chunk that holds a term of the question."""
     asked = questions.select("q_id", "scope", F.explode(T.terms(F.col("text"))).alias("term"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import text as X
 from ..operators import scores as E
 from ..operators import tenancy as T
 from .catalog import read
@@ -39,7 +40,7 @@ def doc_snippets(spark, d):
 
 def indexed_texts(spark, d):
     heading = F.when(F.col("p_size") % 2 == 0, F.col("p_type"))
-    return read(spark, d, "part").select("p_partkey", R.indexed_text(heading, F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.col("p_name")).alias("text"), R.passage(F.col("p_name"), F.col("p_size"), F.col("p_type")).alias("passage"))
+    return read(spark, d, "part").select("p_partkey", R.indexed_text(heading, F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.col("p_name")).alias("text"), R.passage(F.col("p_name"), F.col("p_size"), F.col("p_type")).alias("passage"), X.embedding_text(F.concat("p_name", F.lit("--v_2")), heading, F.lit(None).cast("string"), F.col("p_brand")).alias("embedded"))
 
 
 def repaired_tables(spark, d):

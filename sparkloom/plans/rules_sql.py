@@ -52,7 +52,8 @@ s AS (SELECT *, length(b) - strpos(reverse(b), ' ') + 1 AS start FROM (SELECT *,
 SELECT p_partkey, CASE WHEN pos < 80 THEN CASE WHEN length(t) > 160 THEN rtrim(left(t, 160)) || '…' ELSE t END
   ELSE '…' || rtrim(substr(t, start + 1, 160)) || CASE WHEN start + 160 < length(t) THEN '…' ELSE '' END END AS snippet FROM s""",
     "indexed_texts": r"""
-SELECT p_partkey, concat_ws(' ', CASE WHEN p_size % 2 = 0 THEN p_type END, CASE WHEN p_size % 3 = 0 THEN p_brand END, p_name) AS text, p_name || ', page ' || p_size || ':' || chr(10) || p_type AS passage FROM part""",
+SELECT p_partkey, concat_ws(' ', CASE WHEN p_size % 2 = 0 THEN p_type END, CASE WHEN p_size % 3 = 0 THEN p_brand END, p_name) AS text, p_name || ', page ' || p_size || ':' || chr(10) || p_type AS passage,
+  concat_ws(' — ', p_name || ' v 2', CASE WHEN p_size % 2 = 0 THEN p_type END) || chr(10) || p_brand AS embedded FROM part""",
     "repaired_tables": r"""
 SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN rtrim(p_name) WHEN p_size % 5 = 3 THEN '\begin{tabular}' || chr(10) || p_name || 'a & b' || chr(10) || '\end{tabular}'
     WHEN p_size % 5 IN (0, 4) THEN '\begin{tabular}' || chr(10) || p_name || '\end{tabular}' ELSE '\begin{tabular}' || chr(10) || rtrim(p_name) || chr(10) || '\end{tabular}' END AS text,
