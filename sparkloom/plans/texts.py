@@ -215,6 +215,19 @@ rows AS (SELECT q_id, min(place) AS best, CASE WHEN parent THEN first ELSE chunk
 SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY best)::INTEGER AS place, chunk AS chunk_id, similarity, members FROM rows QUALIFY place <= 8""",
 }
 
+ORACLE_SQL["stream_logs"] = "SELECT 'system' AS category, count(*) AS n, max(event_id) AS last_id FROM events"
+# no kind of event matches a pattern of log messages; the stream's rows are counted
+_CHAIN = ORACLE_SQL["retrieve_chain"].replace("unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang", "'en' AS lang")
+ORACLE_SQL["hybrid_retrieve"] = (
+    _CHAIN[: _CHAIN.index("fused AS (")]
+    + """fused AS (
+  SELECT q_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + vr.r), 0) + coalesce(1.0::DOUBLE / (60 + lr.r), 0), 8) AS rrf,
+    CASE WHEN lr.r IS NULL THEN 'vector' WHEN vr.r IS NULL THEN 'lexical' ELSE 'both' END AS source FROM vr FULL JOIN lr USING (q_id, chunk_id)),
+pool AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id) <= 20),
+seen AS (SELECT pool.*, coalesce((SELECT max(similarity) FROM v WHERE v.q_id = pool.q_id AND v.chunk_id = pool.chunk_id), 0) AS similarity FROM pool)
+SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id)::INTEGER AS rank, chunk_id, similarity, rrf, source FROM seen WHERE similarity >= 0 QUALIFY rank <= 8"""
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
