@@ -50,8 +50,13 @@ WITH p AS (SELECT event_id, event_type FROM events WHERE event_id < 500 ORDER BY
 SELECT event_id AS id, event_type AS level, (SELECT count(*) > 50 FROM p) AS has_older FROM p ORDER BY event_id DESC LIMIT 50""",
     "log_level_counts": """
 SELECT level, count(event_id) AS n FROM (VALUES ('debug'), ('error'), ('view'), ('click')) v(level) LEFT JOIN events ON event_type = level GROUP BY 1""",
-    "categorise_logs": "SELECT 'ingestion' AS category, count(*) AS n FROM events",
-    "redact_logs": "SELECT event_id AS id, '[redacted] document ' || event_type || ' by ' || user_id AS message FROM events",
+    "categorise_logs": """
+SELECT event_type AS level, CASE WHEN user_id % 20 = 0 THEN 'settings' WHEN event_id % 8 < 6 THEN ['agent', 'inference', 'retrieval', 'ingestion', 'auth', 'settings'][event_id % 8 + 1] WHEN event_id % 8 = 6 THEN 'system'
+  WHEN user_id % 2 = 0 THEN 'retrieval' ELSE 'ingestion' END AS category, count(*) AS n FROM events GROUP BY 1, 2""",
+    "redact_logs": """
+WITH m AS (SELECT event_id AS id, 'document ' || event_type || ' by ' || user_id AS m FROM events)
+SELECT id, CASE id % 5 WHEN 0 THEN '[redacted] ' || m WHEN 1 THEN 'key=[redacted] ' || m WHEN 2 THEN 'sk_short ' || id || ' ' || m WHEN 3 THEN '([redacted]) ' || m
+  ELSE repeat('long ', 800) || '… (' || (6 + length(m)) || ' more characters)' END AS message FROM m""",
     "scoped_documents": "SELECT doc_id, source FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')",
     "kb_document_counts": "SELECT v.source, count(doc_id) AS documents FROM (VALUES ('src0'), ('src1'), ('absent')) v(source) LEFT JOIN documents d ON d.source = v.source GROUP BY 1",
     "doc_chunk_counts": "SELECT o_orderkey, count(l_linenumber) AS chunks, count(DISTINCT l_suppkey) AS pages FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
