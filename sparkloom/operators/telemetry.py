@@ -100,3 +100,24 @@ def tail_page(logs: DataFrame, before: int, size: int) -> DataFrame:
 def level_counts(logs: DataFrame, levels: list[str]) -> DataFrame:
     every = logs.sparkSession.createDataFrame([(x,) for x in levels], "level string")
     return every.join(logs.groupBy("level").count(), "level", "left").select("level", F.coalesce("count", F.lit(0)).alias("n"))
+
+
+def outcomes(runs: DataFrame, *by: str) -> DataFrame:
+    """Of runs (status, duration_ms, ttft_ms, tokens): answered, refused and failed ones (cancelled ones failed), median and 95th percentile of the duration, median time to
+    the first token of those that had one, and tokens; null measures are left out, no tokens are 0."""
+    is_ = lambda *states: F.count(F.when(F.col("status").isin(*states), 1))
+    middle = lambda c, q: F.round(F.percentile(c, q), 6)
+    return runs.groupBy(*by).agg(
+        F.count("*").alias("runs"), is_("ok").alias("answered"), is_("refused").alias("refused"), is_("error", "cancelled").alias("failed"), middle("duration_ms", 0.5).alias("median_ms"), middle("duration_ms", 0.95).alias("p95_ms"),
+        middle("ttft_ms", 0.5).alias("ttft_ms"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+    )
+
+
+def tail_after(logs: DataFrame, after: int, n: int) -> DataFrame:
+    """The next n rows after an id, oldest first."""
+    return logs.where(F.col("id") > after).orderBy("id").limit(n)
+
+
+def tail_newest(logs: DataFrame, n: int) -> DataFrame:
+    """The newest n rows, newest first."""
+    return logs.orderBy(F.col("id").desc()).limit(n)

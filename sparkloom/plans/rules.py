@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import scores as E
+from ..operators import telemetry as O
 from ..operators import tenancy as T
 from .catalog import read
 
@@ -285,6 +286,21 @@ def page_routes(spark, d):
     return line.select("l_orderkey", "l_linenumber", route.alias("route")).groupBy("l_orderkey", "route").agg(F.count("*").alias("pages"), F.count(F.when(F.col("route") != "clean-text", 1)).alias("crackable"))
 
 
+# telemetry
+
+
+def run_outcomes(spark, d):
+    status = F.element_at(F.create_map(*map(F.lit, ("view", "ok", "purchase", "ok", "click", "refused", "error", "error", "signup", "cancelled"))), F.col("event_type"))
+    runs = read(spark, d, "events").select(F.to_date("ts").alias("day"), status.alias("status"), F.col("value").alias("duration_ms"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 4).alias("ttft_ms"), F.when(F.col("event_id") % 2 > 0, F.col("user_id")).alias("tokens"))
+    return O.outcomes(runs.withColumn("day", F.col("day").cast("string")), "day")
+
+
+def log_tail(spark, d):
+    """The page after an id, and the newest page."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("level"))
+    return O.tail_after(rows, 500, 50).withColumn("page", F.lit("after")).unionAll(O.tail_newest(rows, 50).withColumn("page", F.lit("newest")))
+
+
 # evaluation
 
 
@@ -347,6 +363,6 @@ QUERIES = {
     for f in (
         search_keys, fenced_texts, formatted, doc_snippets, indexed_texts, repaired_tables, box_rules, citation_boxes, loader_formats, upload_checks, address_checks, retrieved_rows, listed_documents, citation_lookup, users_with_roles, backfilled_bases, conversation_scope,
         attached_vectors, activation_guard, section_pages, whole_document, document_list, newest_runs, latest_versions, cascade_delete, index_differences, run_details, span_trees, span_annotations, ingestion_kpis, stranded_documents, citations, grouped_citations, best_similarities,
-        question_intents, question_scopes, evidence_routes, page_routes, multi_hop_scores, summary_scores, latency_summary, judge_rows, answer_expectations, parent_outcomes, answer_precision, faithfulness, release_gate, leaked_chunks, section_passes,
+        question_intents, question_scopes, evidence_routes, page_routes, run_outcomes, log_tail, multi_hop_scores, summary_scores, latency_summary, judge_rows, answer_expectations, parent_outcomes, answer_precision, faithfulness, release_gate, leaked_chunks, section_passes,
     )
 }

@@ -172,4 +172,10 @@ SELECT document_id % 40 AS q_id, count(*) FILTER (WHERE b IS NULL) AS leaked FRO
 WITH {_CHUNKS}, r AS (SELECT document_id % 300 AS q_id, chunk_id, page, chunk_index FROM chunks),
 alone AS (SELECT a.q_id, a.chunk_id FROM r a WHERE a.page >= 2 AND EXISTS (FROM r b WHERE b.q_id = a.q_id AND b.chunk_id = a.chunk_id + 1 AND b.page < 2))
 SELECT q_id, bool_or(page >= 2 AND page = 2 + q_id % 2 AND (q_id, chunk_id) NOT IN (SELECT (q_id, chunk_id) FROM alone)) AS passed FROM r GROUP BY 1""",
+    "run_outcomes": """
+SELECT ts::DATE::VARCHAR AS day, count(*) AS runs, count(*) FILTER (WHERE event_type IN ('view', 'purchase')) AS answered, count(*) FILTER (WHERE event_type = 'click') AS refused, count(*) FILTER (WHERE event_type IN ('error', 'signup')) AS failed,
+  round(quantile_cont(value, 0.5), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(CASE WHEN event_id % 3 > 0 THEN value / 4 END, 0.5), 6) AS ttft_ms,
+  coalesce(sum(CASE WHEN event_id % 2 > 0 THEN user_id END), 0)::BIGINT AS tokens FROM events GROUP BY 1""",
+    "log_tail": """
+(SELECT event_id AS id, event_type AS level, 'after' AS page FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 50) UNION ALL (SELECT event_id, event_type, 'newest' FROM events ORDER BY event_id DESC LIMIT 50)""",
 }
