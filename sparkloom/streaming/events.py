@@ -69,6 +69,11 @@ def log_rows(events: DataFrame, category: Column) -> DataFrame:
     return events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("time"), category.alias("category"))
 
 
+def tail_after(events: DataFrame, after: int) -> DataFrame:
+    """The events after an id, as they arrive; ones without an id are never after it."""
+    return events.where(F.col("event_id") > after)
+
+
 def rate_limit(hits: DataFrame, seconds: int, most: int) -> DataFrame:
     """hits (key, ts, id) with allowed: at most `most` in a window that begins with a key's first hit and lasts so many seconds.
 
