@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblock as tb
@@ -27,19 +27,21 @@ GAP = 64
 #: Phrases that are searched, and sent to the executors, at once.
 SLICE_PHRASES = 50_000
 
-INDEX = "shard long, docs binary, sizes binary, terms binary, counts binary, positions binary"
+INDEX = "shard long, docs binary, known binary, sizes binary, terms binary, counts binary, positions binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """A row for each shard: doc ids and word counts (64-bit), distinct terms (sorted 64-bit hashes), their counts and, by term, the
-    positions (32-bit). Documents are the rows of docs (doc_id, text); null text has no words, and a row without doc_id is left out."""
+    """A row for each shard: doc ids (64-bit), whether each is known (a byte), word counts (64-bit), distinct terms (sorted 64-bit hashes), their
+    counts and, by term, the positions (32-bit). Documents are the rows of docs (doc_id, text); null text has no words, a null doc_id is unknown: the 64-bit hash
+    of its text stands there."""
     short_batches(docs.sparkSession)
     out = arrow_schema(docs.sparkSession, INDEX)
 
     def run(batches):
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, data, offsets in tb.blocks(batch.column(1)):
                 words = tb.words(data, offsets, tb.NOT_ALNUM)
                 n = len(offsets) - 1
@@ -48,16 +50,21 @@ def build_index(docs: DataFrame) -> DataFrame:
                 positions = np.arange(len(words.hash)) + np.repeat(base, sizes)
                 order = np.argsort(words.hash, kind="stable")
                 terms, counts = np.unique(words.hash[order], return_counts=True)
-                rows = [ids[first : first + n], sizes.astype(np.int64), terms, counts.astype(np.uint32), positions[order].astype(np.uint32)]
+                rows = [ids[first : first + n], known[first : first + n], sizes.astype(np.int64), terms, counts.astype(np.uint32), positions[order].astype(np.uint32)]
                 yield pa.record_batch([pa.array([shard], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in rows)], schema=out)
                 shard += 1
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, INDEX)
+    return docs.select("doc_id", "text", key_of()).mapInArrow(run, INDEX)
+
+
+def key_of() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
 class Shard:
     def __init__(self, row: dict) -> None:
         self.docs = np.frombuffer(row["docs"], np.int64)
+        self.unknown = ~np.frombuffer(row["known"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.counts = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
@@ -142,7 +149,7 @@ def phrases_of(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return items.where("item_id is not null").select("item_id", "text").mapInArrow(run, PHRASES)
 
 
-MATCHES = "shard long, row int, doc_id long, n_words long, covered binary, n_hit long, items array<long>"
+MATCHES = "shard long, row int, doc_id long, n_words long, covered binary, n_hit long, items array<long>, key long"
 
 
 def search(index: DataFrame, phrases: dict[bytes, list[int]], slop: int = 0) -> DataFrame:
@@ -173,8 +180,9 @@ def search(index: DataFrame, phrases: dict[bytes, list[int]], slop: int = 0) ->
                     ranges[d] = merged(low[own] - shard.base[d], high[own] + 1 - shard.base[d])
                     for k in np.unique(number[own]).tolist():
                         items[d].update(owners[k])
-                columns = ([row["shard"]] * n, list(range(n)), shard.docs, shard.sizes, ranges, list(map(length, ranges)), [sorted(x) for x in items])
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, out)], schema=out)
+                ids = pa.array(shard.docs, pa.int64(), mask=shard.unknown)
+                columns = ([row["shard"]] * n, list(range(n)), ids, shard.sizes, ranges, list(map(length, ranges)), [sorted(x) for x in items], shard.docs)
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, out)], schema=out)
 
     return index.mapInArrow(run, MATCHES)
 
@@ -200,7 +208,7 @@ def united(found: list[DataFrame]) -> DataFrame:
     for more in found[1:]:
         rows = rows.unionAll(more)
     out = arrow_schema(rows.sparkSession, MATCHES)
-    rows = rows.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("covered").alias("covered"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    rows = rows.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("covered").alias("covered"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.first("key").alias("key"))
 
     def run(batches):
         for batch in batches:
@@ -208,7 +216,7 @@ def united(found: list[DataFrame]) -> DataFrame:
             for lists in batch.column(4).to_pylist():
                 pairs = np.frombuffer(b"".join(lists), "<u4").reshape(-1, 2).astype(np.int64)
                 ranges.append(merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else b"")
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(ranges, pa.binary()), pa.array(list(map(length, ranges)), pa.int64()), batch.column(5).cast(out.field(6).type)], schema=out)
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(ranges, pa.binary()), pa.array(list(map(length, ranges)), pa.int64()), batch.column(5).cast(out.field(6).type), batch.column(6)], schema=out)
 
     return rows.mapInArrow(run, MATCHES)
 
@@ -232,11 +240,11 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs (doc_id, text), against items (item_id, text).
 
-    Null and empty texts have no words and no hits; items without words match nothing. Rows without doc_id count as without words, repeated
+    Null and empty texts have no words and no hits; items without words match nothing. Rows without doc_id are searched like others, repeated
     rows give repeated rows, and items with one id count once. Empty tables give an empty result or no hits; other columns are
     not read.
     """
-    return digests(matches(docs, items, width), docs)
+    return digests(matches(docs, items, width))
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 0) -> DataFrame:
@@ -246,14 +254,15 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 0
     return found[0] if len(found) == 1 else united(found)
 
 
-def digests(found: DataFrame, docs: DataFrame) -> DataFrame:
+def digests(found: DataFrame) -> DataFrame:
     names = F.sort_array(F.transform("items", lambda x: x.cast("string")))
     out = found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"))
-    nobody = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"))
-    return out.unionByName(nobody).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs in which no window of an item occurs; rows without doc_id stay."""
-    hit = matches(docs, items, width).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs in which no window of an item occurs, and no window in a row of the same doc_id. A row without doc_id goes by the 64-bit hash of its text."""
+    known, key = "decontamination: known", "decontamination: key"
+    hit = matches(docs, items, width).where("n_hit > 0").select(F.col("doc_id").isNotNull().alias(known), F.col("key").alias(key)).distinct()
+    keyed = docs.withColumns({known: F.col("doc_id").isNotNull(), key: key_of()})
+    return keyed.join(hit, [known, key], "left_anti").select(*docs.columns)

@@ -97,6 +97,16 @@ def test_decontamination(spark, docs):
     assert decontamination.decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_rows_without_id(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "one two three"), (2, "four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "x one two three"), (None, "fine"), (None, None), (42, "four five"), (43, "four six"), (43, "one two three")], "doc_id long, text string")
+    for slice_ in (50_000, 1):
+        monkeypatch.setattr(decontamination.phrase_slices, "__defaults__", (decontamination.WIDTH, slice_))
+        found = sorted(((r.doc_id, r.n_words, r.n_hit) for r in decontamination.decontaminate(docs, items).collect()), key=repr)
+        assert found == sorted([(None, 4, 3), (None, 1, 0), (None, 0, 0), (42, 2, 2), (43, 2, 0), (43, 3, 3)], key=repr)
+        assert sorted(map(tuple, decontamination.clean(docs, items).collect()), key=repr) == sorted([(None, "fine"), (None, None)], key=repr)
+
+
 def test_slices_of_phrases_unite(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, "cat sat"), (2, "sat on the"), (3, "looked at")], "item_id long, text string")
     whole = sorted(map(tuple, decontamination.decontaminate(docs.where("doc_id is not null"), items).collect()))
