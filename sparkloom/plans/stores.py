@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import render as N
 from ..operators import stores as T
 from ..operators import telemetry as O
+from ..sources import files as D
+from ..sources import loaders as L
 from ..streaming import events as V
 from .catalog import read
 
@@ -219,6 +221,11 @@ def stream_tail(spark, d):
     return V.appended(V.tail_after(stream, 500), "tail").select("event_id", "event_type")
 
 
+def docx_sections(spark, d):
+    files = D.docx_files(read(spark, d, "documents"), "doc_id", "text")
+    return L.elements(files, "doc_id", "data", D.docx_sections)
+
+
 _STORED = "stored AS (SELECT l_orderkey AS document_id, l_linenumber AS n, 1 AS version, max(l_quantity) AS body, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)"
 _INCOMING = f"{_STORED}, incoming AS (SELECT document_id, n + 6 AS n, 2 AS version, body + 100 AS body, s FROM stored WHERE document_id % 3 = 0 AND n < 3)"
 _PAGES = f"{_STORED}, pages AS (SELECT document_id, n AS page, CASE WHEN s % 4 = 0 THEN 'failed' WHEN s % 4 < 3 THEN 'text' END AS outcome, s % 3 = 0 AS is_text, coalesce(s % 5 = 1, false) AS cached FROM stored)"
@@ -324,6 +331,11 @@ SELECT event_id AS id, event_type AS level, 'c' || user_id % 5 AS category FROM
 SELECT level, coalesce(n, 0) AS n FROM (VALUES ('click'), ('error'), ('view'), ('trace')) AS v(level)
 LEFT JOIN (SELECT event_type AS level, count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-19' AND TIMESTAMP '2024-01-20' GROUP BY 1) USING (level)""",
     "global_counts": "SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem",
+    "docx_sections": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+h AS (SELECT *, len(regexp_extract(line, '^(#{1,6}) ', 1)) AS level, trim(regexp_replace(regexp_replace(line, '^#{1,6} ', ''), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text FROM l),
+s AS (SELECT *, count(*) FILTER (level BETWEEN 1 AND 3 AND NOT first) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1 AS first FROM h WHERE text <> ''))
+SELECT doc_id, section::INTEGER AS section, (row_number() OVER (PARTITION BY doc_id, section ORDER BY i) - 1)::INTEGER AS position, CASE WHEN level > 0 THEN 'Section-header' ELSE 'Text' END AS type, text FROM s""",
     "stream_tail": "SELECT event_id, event_type FROM events WHERE event_id > 500",
 }
 
@@ -332,6 +344,6 @@ QUERIES = {
     for f in (
         hash_embeddings, stream_frames, document_texts, context_blocks, highlights, vector_literals, padded_batches, tool_calls, settings, replaced_chunks, inserted_vectors, upserted_pages, cache_misses, retained_logs,
         moved_documents, deleted_bases, generation_faults, swapped_generations, checked_vectors, indexing_gaps, page_budgets, figure_lookup, figure_readings, fallback_searches, replayed_plans, log_filtering, recent_level_counts,
-        global_counts, stream_tail,
+        global_counts, stream_tail, docx_sections,
     )
 }

@@ -1,12 +1,17 @@
 """Changing tables, rendered texts, tool calls and filters on small fixtures and odd rows."""
 
 import datetime
+import io
+import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import render as N
 from sparkloom.operators import stores as T
+from sparkloom.sources import files as D
+from sparkloom.sources import loaders as L
 
 
 def rows(df, *columns):
@@ -134,3 +139,44 @@ def test_layout_replaces_partitions_and_prunes(spark, tmp_path):
     assert rows(back.groupBy("day").count(), "count") == [(25,), (25,), (25,), (3,)]
     plan = back.where((F.col("day") == day) & (F.col("id") > 5))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThan(id,5)" in plan
+
+
+def docx(body):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as file:
+        file.writestr(D.PART, f'<w:document xmlns:w="{D.W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_word_files():
+    p = lambda text, inner="": f"<w:p><w:pPr>{inner}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+    cell = lambda *ps: f"<w:tc>{''.join(map(p, ps))}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a', 'b')}{cell('')}</w:tr><w:tr>{cell('c')}{cell('d')}</w:tr></w:tbl>"
+    body = p("Lead") + p("First", '<w:pStyle w:val="Heading2"/>') + p("one", "<w:numPr/>") + table + p("Deep", '<w:pStyle w:val="heading 4"/>')
+    body += "<w:p><w:r><w:t>x</w:t><w:tab/><w:t>y</w:t></w:r><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p>" + p("Next", '<w:pStyle w:val="Title"/>')
+    want = [[("Text", "Lead")], [("Section-header", "First"), ("List-item", "one"), ("Table", "a b | \nc | d"), ("Section-header", "Deep"), ("Text", "x y")], [("Section-header", "Next")]]
+    assert D.docx_sections(docx(body)) == want
+    whole = docx(body)
+    for bad in (None, b"", b"PK\x03\x04", whole[:-40], docx("<w:p>"), docx("")):
+        assert D.docx_sections(bad) == [[]]
+    long = "w" * 50 + "\n"
+    assert len(D.docx_sections(D.as_docx(long * 50_000))[0]) == 50_000
+    assert D.docx_sections(D.as_docx("# A <b>&\n\x00\x0bz\n\n## B")) == [[("Section-header", "A <b>&"), ("Text", "\ufffd\ufffdz")], [("Section-header", "B")]]
+
+
+def test_word_files_in_a_table(spark):
+    texts = spark.createDataFrame([(1, "# T\nbody", 9), (2, None, 9), (3, "", 9), (None, "x", 9)], "id long, text string, data int")
+    files = D.docx_files(texts, "id", "text")
+    assert rows(L.elements(files, "id", "data", D.docx_sections)) == sorted([(1, 0, 0, "Section-header", "T"), (1, 0, 1, "Text", "body"), (None, 0, 0, "Text", "x")], key=repr)
+    assert L.elements(D.docx_files(texts.limit(0), "id", "text"), "id", "data", D.docx_sections).count() == 0
+
+
+def test_evaluation_files(spark, tmp_path):
+    for i, grade in enumerate([{"reviewed": True, "completeness": 3, "claims": [{"sentence": 1, "text": "a", "faithfulness": 4}]}, {"reviewed": False, "completeness": 1, "claims": []}, None]):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"question_id": str(i), "answer": "x", "more": 1, "grade": grade}, indent=1))
+    (tmp_path / "notes.txt").write_text("no JSON")
+    assert rows(D.graded_answers(spark, str(tmp_path)), "question_id") == [("0",)]
+    assert rows(D.graded_answers(spark, str(tmp_path), drafts=True), "question_id") == [("0",), ("1",)]
+    D.write_results(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
+    D.write_results(spark.createDataFrame([(2, None)], "a int, b string").coalesce(1), str(tmp_path / "out"))
+    assert [x for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines()] == ['{"a":2,"b":null}']
