@@ -34,7 +34,7 @@ def cache_misses(wanted: DataFrame, cached: DataFrame, keys: list[str]) -> DataF
 
 
 def retained(rows: DataFrame, when: str, now: Column, days: int) -> DataFrame:
-    """Rows no older than so many days before now; rows without a time stay. On a table partitioned by date only the partition at the edge is read for it."""
+    """Rows no older than so many days before now; rows without a time stay. The condition reaches the scan."""
     return rows.where(F.col(when).isNull() | (F.col(when) >= now - F.expr(f"INTERVAL {int(days)} DAYS")))
 
 
