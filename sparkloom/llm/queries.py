@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontamination, jaccard, line_dedup, pii, quality, release, token_counts, toxicity, warc
+from . import ann, bpe, decontamination, jaccard, line_dedup, pii, quality, release, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -57,7 +57,11 @@ def op11_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release.release(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_token_counts, op4_decontamination, op5_ann, op6_line_dedup, op7_warc, op8_toxicity, op9_pii, op10_quality, op11_release)}
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_token_counts, op4_decontamination, op5_ann, op6_line_dedup, op7_warc, op8_toxicity, op9_pii, op10_quality, op11_release, op12_simhash)}
 
 ORACLE_SQL = {
     "op2_jaccard_join": r"""
