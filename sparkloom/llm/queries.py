@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontamination, jaccard, line_dedup, pii, quality, release, simhash, token_counts, toxicity, warc
+from . import ann, bpe, decontamination, divergence, jaccard, line_dedup, pii, quality, release, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_token_counts, op4_decontamination, op5_ann, op6_line_dedup, op7_warc, op8_toxicity, op9_pii, op10_quality, op11_release, op12_simhash)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard_join, op3_token_counts, op4_decontamination, op5_ann, op6_line_dedup, op7_warc, op8_toxicity, op9_pii, op10_quality, op11_release, op12_simhash, op13_divergence)}
 
 ORACLE_SQL = {
     "op2_jaccard_join": r"""
@@ -107,6 +111,29 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s F
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS df FROM w GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2 HAVING sum(df) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT g.lang, g.source, k.term, k.n AS in_lang, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+sums AS (SELECT lang, source, sum(n) AS total FROM grid GROUP BY 1, 2),
+p AS (
+  SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (sums.total + v.v))::HUGEINT AS p, (1 + 1000000000::HUGEINT * (in_lang + 1) // (v.total + v.v))::HUGEINT AS q
+  FROM grid JOIN sums USING (lang, source) JOIN v USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200
 """,
     "op6_line_dedup": r"""
 WITH l AS (
