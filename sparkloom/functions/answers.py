@@ -1,73 +1,80 @@
-"""Text of answers and model replies: sentences, unsupported ones, unlabelled numbers, scores and verdicts in replies.
+"""Text of answers and model replies: sentences, unsupported ones, unlabelled numbers, verdicts and scores in replies.
 
-These read a text from left to right with context, so they run in Python over Arrow batches, one row at a time with no state between rows.
+All are column expressions but rerank_scores, which looks for whole JSON objects inside a reply's prose and runs in Python over Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-#: A sentence: up to its stops with the quotes that close it, if white space, a citation or the end follows, and the citations after them; or up to a line's end.
-_SENTENCE = re.compile(r"""(?:[^\n.!?]++|[.!?]+["')”’*`]*(?![.!?"')”’*`\s\[]|\Z))*(?:[.!?]+["')”’*`]*(?:[ \t]*\[\d+\])*|\n+|\Z)""")
-_CITED = re.compile(r"\[(\d+)\]")
+from .text import cited_indices
+
+_CLOSERS = "\"')”’*`"
+#: A sentence: up to its stops with the quotes that close it, if white space, a citation or the end follows, and the citations after them; or up to a
+#: line's end; and the blank lines behind it. Repeats are possessive: they never need to give back, and long texts need no deep stack.
+_SENTENCE = rf"(?:[^\n.!?]++|[.!?]+[{_CLOSERS}]*(?![.!?{_CLOSERS}\s\[]|\z))*+(?:[.!?]+[{_CLOSERS}]*(?:[ \t]*\[\d+\])*+|\n+|\z)(?:[ \t\r\f\x0B]*(?:\n+|\z))*+"
 _NUMBER = r"\d+(?:[.,]\d+)?"
 #: Hedges that go with a number, and words after which a number is a name.
-_CLAIMED = re.compile(rf"\b(?:(?:about|approximately|around|roughly|nearly|some)\s+)?({_NUMBER})\b", re.I)
-_REFERENCE = re.compile(r"(figure|fig\.|table|page|section|appendix|part)\s*\Z", re.I)
+_HEDGES = "about|approximately|around|roughly|nearly|some"
+_NAMES = r"figure|fig\.|table|page|section|appendix|part"
+_CLAIM = rf"\b(?:(?:{_HEDGES})\s+)?{_NUMBER}\b"
+#: Parts of a reading: a number that is a name, a number that is claimed, a word with digits, any other character.
+_PARTS = rf"(?is)(?:{_NAMES})\s*{_CLAIM}|{_CLAIM}|[a-z_]*\d\w*|."
 SCORE_MOST = 10
 
 
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text, which join to it again; white space between them goes with the one before. Null and blank texts have none."""
-    out: list[str] = []
-    for m in _SENTENCE.finditer(text or ""):
-        if not m[0].strip() and out:
-            out[-1] += m[0]
-        elif m[0]:
-            out.append(m[0])
-    return [x for x in out if x.strip()]
-
-
-def cited(text: str) -> list[int]:
-    """Distinct citation numbers, in order."""
-    return list(dict.fromkeys(int(n) for n in _CITED.findall(text)))
+def found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def numbered(text: str | None) -> str:
-    """One numbered sentence a line, as a verifier reads an answer."""
-    return "\n".join(f"S{i}: {x.strip()}" for i, x in enumerate(sentences(text), 1))
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def without_unsupported(text: str | None, unsupported: list[int] | None) -> tuple[str, list[int], int, bool]:
-    """The text without the sentences of these numbers, the citations that went, how many sentences did, and whether no answer is left: nothing, or
-    only prose where there were citations. With no numbers the text stays as it is."""
-    text, bad = text or "", set(unsupported or ())
-    if not bad:
-        return text, [], 0, not text.strip()
-    parts = sentences(text)
-    gone, kept = [x for i, x in enumerate(parts, 1) if i in bad], [x for i, x in enumerate(parts, 1) if i not in bad]
-    left = "".join(kept).strip()
-    return left, sorted({n for x in gone for n in cited(x)}), len(gone), not left or (bool(cited(text)) and not any(map(cited, kept)))
+def blank(text: Column) -> Column:
+    return stripped(text) == ""
 
 
-def without_unlabelled(reading: str | None, printed: str | None) -> tuple[str, int]:
-    """Numbers of a figure's reading that aren't printed on it become a mark; references such as "page 7" stay. Also how many did."""
-    known = {n.replace(",", "") for n in re.findall(_NUMBER, printed or "")}
-    reading, n = reading or "", 0
+def sentences(text: Column) -> Column:
+    """The sentences of a text, which join to it again but for blank lines before the first. Null and blank texts have none."""
+    return F.filter(found(F.coalesce(text, F.lit("")), _SENTENCE), lambda x: ~blank(x))
 
-    def mark(m: re.Match) -> str:
-        nonlocal n
-        if m[1].replace(",", "") in known or _REFERENCE.search(reading[max(0, m.start() - 12) : m.start()]):
-            return m[0]
-        n += 1
-        return "[unlabelled]"
 
-    return _CLAIMED.sub(mark, reading), n
+def numbered(text: Column) -> Column:
+    """One numbered sentence a line, as a verifier reads an answer."""
+    return F.array_join(F.transform(sentences(text), lambda x, i: F.concat(F.lit("S"), i + 1, F.lit(": "), stripped(x))), "\n")
+
+
+def without_unsupported(text: Column, unsupported: Column) -> Column:
+    """A struct: left, the text without the sentences of these numbers; gone, the citations of those; sentences, how many there were; empty, whether
+    no answer is left: nothing, or only prose where there were citations. With no numbers (or null) the text stays as it is."""
+    text, bad = F.coalesce(text, F.lit("")), F.coalesce(unsupported, F.array().cast("array<int>"))
+    every = sentences(text)
+    split = lambda keep: F.filter(every, lambda x, i: F.array_contains(bad, i + 1) != F.lit(keep))
+    kept, dropped = F.array_join(split(True), ""), split(False)
+    nothing = blank(kept) | ((F.size(cited_indices(text)) > 0) & (F.size(cited_indices(kept)) == 0))
+    none = F.size(bad) == 0
+    return F.struct(
+        F.when(none, text).otherwise(stripped(kept)).alias("left"),
+        F.when(none, F.array().cast("array<int>")).otherwise(F.array_sort(cited_indices(F.array_join(dropped, "")))).alias("gone"),
+        F.when(none, 0).otherwise(F.size(dropped)).alias("sentences"),
+        F.when(none, blank(text)).otherwise(nothing).alias("empty"),
+    )
+
+
+def without_unlabelled(reading: Column, printed: Column) -> Column:
+    """A struct: reading, in which claimed numbers that aren't printed on the figure are a mark (names such as "page 7" stay), and redacted, how many are.
+    Thousands may be written with a comma or without."""
+    plain = lambda x: F.replace(x, F.lit(","), F.lit(""))
+    known = F.transform(found(F.coalesce(printed, F.lit("")), _NUMBER), plain)
+    marked = lambda x: x.rlike(rf"(?i)^(?:(?:{_HEDGES})\s+)?{_NUMBER}$") & ~F.array_contains(known, plain(F.regexp_extract(x, rf"{_NUMBER}$", 0)))
+    parts = found(F.coalesce(reading, F.lit("")), _PARTS)
+    return F.struct(F.array_join(F.transform(parts, lambda x: F.when(marked(x), "[unlabelled]").otherwise(x)), "").alias("reading"), F.size(F.filter(parts, marked)).alias("redacted"))
 
 
 def objects(reply: str | None) -> Iterator[dict]:
@@ -103,14 +110,11 @@ def rerank_scores(reply: str | None, n: int) -> list[float] | None:
     return None
 
 
-def verdict(reply: str | None) -> list[int] | None:
+def verdict(reply: Column) -> Column:
     """Numbers of unsupported sentences in a reply (positive whole ones, each once); null where there is no verdict, which isn't the same as none unsupported."""
-    m = re.search(r"\{.*\}", reply or "", re.S)
-    try:
-        rows = json.loads(m[0]).get("unsupported") if m else None
-    except ValueError:
-        return None
-    return list(dict.fromkeys(int(x) for x in map(_number, rows) if x > 0 and x == int(x))) if isinstance(rows, list) else None
+    rows = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "unsupported array<string>")["unsupported"]
+    numbers = F.transform(rows, lambda x: x.try_cast("double"))
+    return F.array_distinct(F.transform(F.filter(numbers, lambda x: (x > 0) & (x == F.floor(x))), lambda x: x.cast("int")))
 
 
 def mapped(df: DataFrame, keys: str, columns: list[str], schema: str, function: Callable) -> DataFrame:

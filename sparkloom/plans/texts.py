@@ -101,20 +101,21 @@ def replies(spark, d):
 
 
 def answer_sentences(spark, d):
-    return A.mapped(replies(spark, d), "p_partkey", ["text"], "place int, sentence string", lambda x: list(enumerate(A.sentences(x), 1)))
+    return replies(spark, d).select("p_partkey", F.posexplode(A.sentences(F.col("text"))).alias("i", "sentence")).select("p_partkey", (F.col("i") + 1).alias("place"), "sentence")
 
 
-def stripped_answers(spark, d):
-    def strip(text, reply):
-        left, gone, n, empty = A.without_unsupported(text, A.verdict(reply))
-        return [(left, ",".join(map(str, gone)), n, empty)]
+def verifier_requests(spark, d):
+    return replies(spark, d).select("p_partkey", A.numbered(F.col("text")).alias("request"))
+
 
-    return A.mapped(replies(spark, d), "p_partkey", ["text", "reply"], "left string, gone string, sentences int, empty boolean", strip)
+def stripped_answers(spark, d):
+    out = replies(spark, d).select("p_partkey", A.without_unsupported(F.col("text"), A.verdict(F.col("reply"))).alias("s"))
+    return out.select("p_partkey", "s.left", F.array_join(F.col("s.gone").cast("array<string>"), ",").alias("gone"), "s.sentences", "s.empty")
 
 
 def unlabelled_numbers(spark, d):
     rows = replies(spark, d).join(read(spark, d, "part").select("p_partkey", F.concat(F.lit("axis 0 10 20 2."), F.col("p_size") % 9).alias("printed")), "p_partkey")
-    return A.mapped(rows, "p_partkey", ["text", "printed"], "reading string, redacted int", lambda x, y: [A.without_unlabelled(x, y)])
+    return rows.select("p_partkey", A.without_unlabelled(F.col("text"), F.col("printed")).alias("s")).select("p_partkey", "s.reading", "s.redacted")
 
 
 def reply_scores(spark, d):
@@ -215,6 +216,52 @@ rows AS (SELECT q_id, min(place) AS best, CASE WHEN parent THEN first ELSE chunk
 SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY best)::INTEGER AS place, chunk AS chunk_id, similarity, members FROM rows QUALIFY place <= 8""",
 }
 
+#: Elements of one text stand at most twice on these pages, so a repeat is one that overlaps the other.
+ORACLE_SQL["normalised_pages"] = f"""
+WITH {_ITEMS},
+b AS (
+  SELECT doc_id, idx, ['Text', 'Table', 'Caption', 'Section-header', 'Page-footer', 'Picture', 'Text'][idx] AS type, greatest(0, least(1, x / 600)) AS x0, greatest(0, least(1, (810 - y - h) / 800)) AS y0,
+    greatest(0, least(1, (x + w) / 600)) AS x1, greatest(0, least(1, (810 - y) / 800)) AS y1 FROM i WHERE w > 0 AND h > 0),
+e AS (SELECT *, type || ' ' || doc_id % 3 AS text, (x1 - x0) * (y1 - y0) AS area FROM b WHERE x0 < x1 AND y0 < y1),
+o AS (
+  SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.doc_id = e.doc_id AND f.text = e.text AND f.idx < e.idx AND least(e.x1, f.x1) > greatest(e.x0, f.x0) AND least(e.y1, f.y1) > greatest(e.y0, f.y0)
+    AND (least(e.x1, f.x1) - greatest(e.x0, f.x0)) * (least(e.y1, f.y1) - greatest(e.y0, f.y0)) / (e.area + f.area - (least(e.x1, f.x1) - greatest(e.x0, f.x0)) * (least(e.y1, f.y1) - greatest(e.y0, f.y0))) >= 0.3::DOUBLE)),
+c1 AS (SELECT *, x1 - x0 > 0.6::DOUBLE AS wide, (x0 + x1) / 2 AS mid FROM o),
+c2 AS (SELECT *, CASE WHEN NOT wide AND mid - lag(mid) OVER (PARTITION BY doc_id, wide ORDER BY mid, idx) > 0.15::DOUBLE THEN 1 ELSE 0 END AS far, sum(wide::INT) OVER (PARTITION BY doc_id ORDER BY y0, x0, idx) AS band FROM c1),
+c3 AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, wide ORDER BY mid, idx) AS col FROM c2),
+c4 AS (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, band, wide, col ORDER BY y0, idx) > 0.005::DOUBLE THEN 1 ELSE 0 END AS low FROM c3),
+c5 AS (SELECT *, sum(low) OVER (PARTITION BY doc_id, band, wide, col ORDER BY y0, idx) AS line FROM c4),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY band, wide DESC, col, line, x0, idx) AS place FROM c5),
+pairs AS (
+  SELECT c.doc_id, c.place AS cp, a.place AS ap, c.text AS caption, coalesce((least(c.x1, a.x1) - greatest(c.x0, a.x0)) / least(c.x1 - c.x0, a.x1 - a.x0), 0) >= 0.5::DOUBLE AS near,
+    greatest(0, a.y0 - c.y1, c.y0 - a.y1) AS gap, sqrt(pow((c.x0 + c.x1 - a.x0 - a.x1) / 2, 2) + pow((c.y0 + c.y1 - a.y0 - a.y1) / 2, 2)) AS far
+  FROM r c JOIN r a USING (doc_id) WHERE c.type = 'Caption' AND a.type IN ('Table', 'Picture')),
+to_ AS (SELECT *, CASE WHEN near THEN gap ELSE far END AS dist FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id, cp ORDER BY NOT near, dist, ap) = 1),
+bound AS (SELECT doc_id, ap AS place, min_by(caption, cp) AS caption FROM to_ WHERE dist <= 0.25::DOUBLE GROUP BY 1, 2),
+h AS (SELECT r.*, last_value(CASE WHEN type = 'Section-header' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place) AS heading FROM r)
+SELECT doc_id, 1 AS page, (row_number() OVER (PARTITION BY doc_id ORDER BY h.place) - 1)::INTEGER AS place, type, text, heading, caption
+FROM h LEFT JOIN bound USING (doc_id, place)
+WHERE type NOT IN ('Section-header', 'Page-footer') AND NOT (type = 'Caption' AND EXISTS (SELECT 1 FROM bound z WHERE z.doc_id = h.doc_id AND z.caption = h.text))"""
+_SENTENCES = """r AS (
+  SELECT p_partkey, p_size, [p_name || ' costs 2.' || p_size || '.', ' It is ' || p_type || '! [1]', ' See ' || p_brand || '.[2][3]' || chr(10) || chr(10), 'Is it?"', ' About ' || p_size || ' are left [4].', ' Page 7 says so'] AS s,
+    CASE WHEN p_size % 5 > 0 THEN [p_size % 6, 2, 3] ELSE [] END AS bad FROM part)"""
+ORACLE_SQL |= {
+    "answer_sentences": f"WITH {_SENTENCES} SELECT p_partkey, generate_subscripts(s, 1)::INTEGER AS place, unnest(s) AS sentence FROM r",
+    "verifier_requests": f"WITH {_SENTENCES} SELECT p_partkey, string_agg('S' || i || ': ' || trim(replace(x, chr(10), '')), chr(10) ORDER BY i) AS request FROM (SELECT p_partkey, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM r) GROUP BY 1",
+    "stripped_answers": f"""
+WITH {_SENTENCES}, x AS (SELECT *, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM r), y AS (SELECT *, list_contains(bad, i) AS out FROM x)
+SELECT p_partkey, CASE WHEN len(any_value(bad)) = 0 THEN string_agg(x, '' ORDER BY i) ELSE trim(coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE NOT out), ''), ' ' || chr(10)) END AS left,
+  coalesce(string_agg(CASE i WHEN 2 THEN '1' WHEN 3 THEN '2,3' ELSE '4' END, ',' ORDER BY i) FILTER (WHERE out AND i IN (2, 3, 5)), '') AS gone,
+  count(*) FILTER (WHERE out)::INTEGER AS sentences, count(*) FILTER (WHERE NOT out AND i IN (2, 3, 5)) = 0 AS empty FROM y GROUP BY 1""",
+    "unlabelled_numbers": rf"""
+WITH {_SENTENCES},
+t AS (
+  SELECT p_partkey, ['0', '10', '20', '2.' || p_size % 9] AS known,
+    regexp_extract_all(array_to_string(s, ''), '(?is)page 7|\b(?:about )?[0-9]+(?:[.][0-9]+)?\b|.') AS parts FROM r),
+m AS (SELECT p_partkey, list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '^([Aa]bout )?[0-9]') AND NOT list_contains(known, regexp_extract(x, '[0-9.]+$')) THEN '[unlabelled]' ELSE x END) AS p FROM t)
+SELECT p_partkey, array_to_string(p, '') AS reading, len(list_filter(p, lambda x: x = '[unlabelled]'))::INTEGER AS redacted FROM m""",
+    "reply_scores": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN '0.4,' || (least(p_size, 10) / 10)::DOUBLE END AS scores FROM part",
+}
 ORACLE_SQL["stream_logs"] = "SELECT 'system' AS category, count(*) AS n, max(event_id) AS last_id FROM events"
 # no kind of event matches a pattern of log messages; the stream's rows are counted
 _CHAIN = ORACLE_SQL["retrieve_chain"].replace("unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang", "'en' AS lang")
@@ -231,6 +278,6 @@ SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id)::
 QUERIES = {
     f.__name__: f
     for f in (
-        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, page_chunks, html_chunks, byte_formats, answer_sentences, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain,
+        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain,
     )
 }

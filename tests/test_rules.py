@@ -28,59 +28,82 @@ from sparkloom.sources import loaders as L
         ("  ", []),
     ],
 )
-def test_sentences(text, parts):
-    assert A.sentences(text) == parts
+def test_sentences(spark, text, parts):
+    assert values(spark, [(text,)], A.sentences(F.col("_1"))) == [parts]
 
 
-def test_sentences_join_to_the_text():
+def values(spark, rows, column):
+    kinds = ", ".join(f"_{i} {'array<int>' if isinstance(x, list) else 'string'}" for i, x in enumerate(rows[0], 1))
+    return [r[0] for r in spark.createDataFrame(rows, kinds).select(column).collect()]
+
+
+def test_sentences_join_to_the_text(spark):
     rng = random.Random(2)
-    for _ in range(5000):
-        text = "a" + "".join(rng.choice(["a", "b ", ".", "!", "?", " ", "\n", "[1]", "[", '"', ")", "2.5"]) for _ in range(rng.randint(0, 25)))
-        assert "".join(A.sentences(text)) == text
-    assert len(A.sentences("x. " * 200_000)) == 200_000
+    texts = ["a" + "".join(rng.choice(["a", "b ", ".", "!", "?", " ", "\n", "[1]", "[", '"', ")", "2.5"]) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    assert ["".join(x) for x in values(spark, [(t,) for t in texts], A.sentences(F.col("_1")))] == texts
+    assert values(spark, [("x. " * 200_000,), ("a.b" * 200_000,)], F.size(A.sentences(F.col("_1")))) == [200_000, 1]
 
 
-def test_unsupported_sentences_go():
+def test_unsupported_sentences_go(spark):
     text = "Leave is 20 days. [1] It carries over. [2] Ask HR."
-    assert A.without_unsupported(text, [2]) == ("Leave is 20 days. [1] Ask HR.", [2], 1, False)
-    assert A.without_unsupported(text, [1, 2]) == ("Ask HR.", [1, 2], 2, True)
-    assert A.without_unsupported(text, []) == (text, [], 0, False) and A.without_unsupported(None, [1])[3]
-    assert A.numbered("A. B!") == "S1: A.\nS2: B!"
+    rows = [(text, [2]), (text, [1, 2]), (text, []), (None, [1]), ("A. [1]", [1])]
+    got = [tuple(x) for x in values(spark, rows, A.without_unsupported(F.col("_1"), F.col("_2")))]
+    assert got == [("Leave is 20 days. [1] Ask HR.", [2], 1, False), ("Ask HR.", [1, 2], 2, True), (text, [], 0, False), ("", [], 0, True), ("", [1], 1, True)]
+    assert values(spark, [("A. B!",)], A.numbered(F.col("_1"))) == ["S1: A.\nS2: B!"]
 
 
-def test_numbers_that_are_not_printed():
-    assert A.without_unlabelled("Q3 is about 90, Q2 1,200; see page 7 and Figure 3.2", "Q2 1200") == ("Q3 is [unlabelled], Q2 1,200; see page 7 and Figure 3.2", 1)
+def test_numbers_that_are_not_printed(spark):
+    rows = [("Q3 is about 90, Q2 1,200; see page 7 and Figure 3.2", "Q2 1200"), ("Roughly 5 of x7, fig. 2: 3.14.15\n8", "8 15"), ("", None), (None, "1"), ("page about 7, 1,200", "1,200")]
+    got = [tuple(x) for x in values(spark, rows, A.without_unlabelled(F.col("_1"), F.col("_2")))]
+    assert got == [("Q3 is [unlabelled], Q2 1,200; see page 7 and Figure 3.2", 1), ("[unlabelled] of x7, fig. 2: [unlabelled].15\n8", 2), ("", 0), ("", 0), ("page about 7, 1,200", 0)]
 
 
-def test_replies():
+def test_replies(spark):
     assert A.rerank_scores('ids {"scores": []} then {"scores": [{"id": 2, "score": 15}, {"id": "1", "score": "5"}]}', 2) == [0.5, 1.0]
     for bad in ('{"scores": [{"id": 1, "score": 1}, {"id": 1, "score": 2}]}', '{"scores": [{"id": 1, "score": 1}]}', '{"scores": [{"id": 1, "score": "x"}, {"id": 2, "score": 2}]}', "none", None):
         assert A.rerank_scores(bad, 2) is None
-    assert A.verdict('so {"unsupported": [2, "3", 2, -1, 1.5, "x"]}') == [2, 3] and A.verdict("no") is None and A.verdict('{"unsupported": []}') == []
+    replies = [('so {"unsupported": [2, "3", 2, -1, 1.5, "x"]}',), ("no",), ('{"unsupported": []}',), ('{"unsupported": 3}',), ('{"unsupported": [1',), (None,)]
+    assert values(spark, replies, A.verdict(F.col("_1"))) == [[2, 3], None, [], None, None, None]
+
 
+ELEMENT = "doc_id int, page int, idx int, type string, text string, box struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 
-def box(*b):
-    return tuple(map(float, b))
 
+def page_of(spark, elements, page=1):
+    """elements: (type, text, sides of the box in hundredths)"""
+    return spark.createDataFrame([(1, page, i, kind, text, None if sides is None else tuple(x / 100 for x in sides)) for i, (kind, text, sides) in enumerate(elements)], ELEMENT)
 
-def test_page_in_reading_order():
+
+def test_page_in_reading_order(spark):
     page = [
-        ("Text", "right top", box(0.55, 0.2, 0.95, 0.3)), ("Text", "left low", box(0.05, 0.5, 0.45, 0.6)), ("Title", "# Banner", box(0.05, 0.05, 0.95, 0.1)), ("Text", "left top", box(0.05, 0.2, 0.45, 0.3)), ("Page-footer", "page 1", box(0.05, 0.95, 0.95, 0.98)),
-        ("Text", "left  top", box(0.05, 0.2, 0.45, 0.31)), ("Text", "upside down", box(0.5, 0.9, 0.4, 0.8)),
+        ("Text", "right top", (55, 20, 95, 30)), ("Text", "left low", (5, 50, 45, 60)), ("Title", "# Banner", (5, 5, 95, 10)), ("Text", "left top", (5, 20, 45, 30)), ("Page-footer", "page 1", (5, 95, 95, 98)),
+        ("Text", "left  top", (5, 20, 45, 31)), ("Text", "upside down", (50, 90, 40, 80)), ("Text", "nowhere", None), ("Text", " ", (5, 5, 9, 9)),
     ]
-    assert [(t, h) for _, t, _, h, _ in P.normalised(page)] == [("left top", "Banner"), ("left low", "Banner"), ("right top", "Banner")]
+    got = P.normalise_pages(page_of(spark, page)).orderBy("place").collect()
+    assert [(r.place, r.text, r.heading) for r in got] == [(0, "left top", "Banner"), (1, "left low", "Banner"), (2, "right top", "Banner")]
+
+
+def test_full_width_elements_cut_the_page_into_bands(spark):
+    page = [("Text", "d", (55, 70, 95, 80)), ("Text", "a", (5, 10, 45, 20)), ("Text", "wide", (5, 50, 95, 55)), ("Text", "c", (5, 72, 45, 80)), ("Text", "b", (55, 5, 95, 20)), ("Text", "e2", (80, 85.4, 90, 90)), ("Text", "e1", (60, 85.7, 75, 90))]
+    got = P.in_reading_order(page_of(spark, page)).orderBy("place").collect()
+    assert [r.text for r in got] == ["a", "b", "wide", "c", "d", "e1", "e2"] and [r.place for r in got] == list(range(1, 8))
 
 
-def test_captions_bind_to_what_is_next_to_them():
-    page = [("Table", "\\begin{tabular} a \\end{tab", box(0.1, 0.1, 0.9, 0.3)), ("Caption", "Table 1", box(0.1, 0.31, 0.9, 0.34)), ("Picture", "bars", box(0.1, 0.5, 0.9, 0.8)), ("Caption", "Figure 2", box(0.1, 0.45, 0.9, 0.49)), ("Caption", "far away", box(0.1, 0.98, 0.2, 0.99))]
-    out = {k: (t, c) for k, t, _, _, c in P.normalised(page)}
-    assert out["Table"] == ("\\begin{tabular} a\n\\end{tabular}", "Table 1") and out["Picture"][1] == "Figure 2" and out["Caption"][0] == "far away"
+def test_captions_bind_to_what_is_next_to_them(spark):
+    page = [("Table", "\\begin{tabular} a \\end{tab", (10, 10, 90, 30)), ("Caption", "Table 1", (10, 31, 90, 34)), ("Picture", "bars", (10, 50, 90, 80)), ("Caption", "Figure 2 ", (10, 45, 90, 49)), ("Caption", "far away", (10, 98, 20, 99)), ("Section-header", "##", (10, 36, 30, 38))]
+    out = {r.type: r for r in P.normalise_pages(page_of(spark, page)).collect()}
+    assert out["Table"].text == "\\begin{tabular} a\n\\end{tabular}" and out["Table"].caption == "Table 1" and out["Picture"].caption == "Figure 2"
+    # the caption below the picture comes second, and isn't said anywhere else
+    assert out["Caption"].text == "far away" and out["Picture"].heading is None
 
 
-def test_repeats_prefer_usable_boxes():
-    bad, good = box(0.5, 0.5, 0.1, 0.9), box(0.1, 0.1, 0.4, 0.2)
-    assert P.deduped([("Text", "A", bad), ("Text", "*a*", good)]) == [("Text", "*a*", good)]
-    assert len(P.deduped([("Text", "continued", good), ("Text", "continued", box(0.6, 0.8, 0.9, 0.9))])) == 2
+def test_repeats_prefer_usable_boxes(spark):
+    bad, good = (50, 50, 10, 90), (10, 10, 40, 20)
+    texts = lambda *e: sorted(r.text for r in P.once(page_of(spark, e)).collect())
+    assert texts(("Text", "A", bad), ("Text", "*a*", good)) == ["*a*"] and texts(("Text", "A", bad), ("Text", "a", bad)) == ["A"]
+    assert texts(("Text", "continued", good), ("Text", "continued", (60, 80, 90, 90))) == ["continued"] * 2
+    # of a chain of overlaps, only what overlaps one that stays goes
+    assert len(texts(*(("Text", "x", (10, 10 + 5 * k, 40, 20 + 5 * k)) for k in range(5)))) == 3
 
 
 def test_runs_go_on_around_figures(spark):
