@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, forget, plain_text, short_batches, stored
+from .textblock import blocks, byte_set, mix, words
 
 LEAST, SCALE, TOP = 3, 10**9, 200
 DEPTH, WIDTH = 4, 21
@@ -34,6 +35,8 @@ SLICE, HELD = 16, 200_000
 #: Bytes of a text that are split into terms at once; parts that a group with very many terms is dealt into.
 PIECE, PARTS = 1 << 18, 64
 
+#: ASCII but letters.
+_OTHERS = byte_set((0, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 #: Letters of ASCII in lower case, other ASCII as a blank, bytes of other characters as they are.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -50,13 +53,27 @@ def terms_of(text: bytes, size: int = PIECE):
         begin = end
 
 
-def places(language: bytes, terms: list[bytes], depth: int, width: int) -> np.ndarray:
-    """Counter numbers (depth x terms) of the terms of a language in each row of the sketch."""
-    seed = xxhash.xxh64_intdigest(language) & 0xFFFFFFFF
-    h = np.array([xxhash.xxh64_intdigest(t, seed) for t in terms], np.uint64)
-    first, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    row = np.arange(depth, dtype=np.uint64)[:, None]
-    return (((first + row * step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
+#: Bits of a term's hash that the sketch goes by, and rows of a block that they leave room for; terms that share them count as one.
+KEY = 42
+
+
+def keys(language: np.ndarray | int, hashes: np.ndarray) -> np.ndarray:
+    """What the sketch knows of terms: KEY bits of their and their language's hash."""
+    return mix(hashes ^ np.asarray(language, np.uint64)) >> np.uint64(64 - KEY)
+
+
+def language_hash(language: str) -> int:
+    return xxhash.xxh64_intdigest(language)
+
+
+def term_hashes(terms: list[bytes]) -> np.ndarray:
+    joined = np.frombuffer(b" ".join(terms), np.uint8)
+    return words(joined, np.array([0, len(joined)]), _OTHERS).hash
+
+
+def places(key: np.ndarray, row: int, width: int) -> np.ndarray:
+    """Counter numbers of keys in a row of the sketch."""
+    return (mix(key + np.uint64((row + 1) << KEY)) >> np.uint64(64 - width)).astype(np.int64)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -74,26 +91,29 @@ def sketch(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, width: int =
     out = arrow_schema(spark, schema)
 
     def count(batches):
-        counters, seen = np.zeros((depth, 1 << width), np.uint8), {}
+        counters, seen, held = np.zeros((depth, 1 << width), np.uint8), [], 0
 
         def add():
-            for language, counts in seen.items():
-                number = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), least)
-                for row, at in zip(counters, places(language.encode(), list(counts), depth, width)):
-                    # counters stop at `least`, which the sums of several stopped ones can't miss
-                    at, first = np.unique(at, return_inverse=True)
-                    row[at] = np.minimum(row[at] + np.bincount(first, number).astype(np.int64), least)
+            key, number = np.unique(np.concatenate(seen), return_counts=True)
+            for k, row in enumerate(counters):
+                # counters stop at `least`, which the sums of several stopped ones can't miss
+                row[:] = np.minimum(row + np.bincount(places(key, k, width), np.minimum(number, least), 1 << width), least)
             seen.clear()
 
         for batch in batches:
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                distinct = set()
-                for terms in terms_of(text.as_py()):
-                    distinct.update(terms)
-                seen.setdefault(language, Counter()).update(distinct)
-            if sum(map(len, seen.values())) > HELD:
-                add()
-        add()
+            language = np.array([language_hash(x) for x in batch.column(0).to_pylist()], np.uint64)
+            for first, data, offsets in blocks(batch.column(1)):
+                found = words(data, offsets, _OTHERS)
+                row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(found.first))
+                # each document counts once: rows of a block are fewer than 2^(64 - KEY)
+                one = np.unique(row << np.uint64(KEY) | keys(language[first:][row.astype(np.int64)], found.hash))
+                seen.append(one & np.uint64((1 << KEY) - 1))
+                held += len(one)
+                if held > 4 * HELD:
+                    add()
+                    held = 0
+        if seen:
+            add()
         flat = counters.reshape(-1)
         for k in range(len(flat) // size):
             part = flat[k * size : (k + 1) * size]
@@ -142,8 +162,11 @@ def counted(docs: DataFrame, bits: np.ndarray | None, depth: int = DEPTH, width:
             for (language, source), (n, df) in groups.items():
                 terms = list(n)
                 if bits is not None and terms:
-                    at = places(language.encode(), terms, depth, width)
-                    fine = np.all([row[a >> 3] >> (7 - (a & 7)).astype(np.uint8) & 1 for row, a in zip(bits, at)], axis=0)
+                    key = keys(language_hash(language), term_hashes(terms))
+                    fine = np.ones(len(terms), bool)
+                    for k, row in enumerate(bits):
+                        at = places(key, k, width)
+                        fine &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
                     terms = [t for t, ok in zip(terms, fine.tolist()) if ok]
                 for k in range(0, len(terms), 1 << 15):
                     some = terms[k : k + (1 << 15)]
@@ -180,17 +203,17 @@ def gap(p, q):
 def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
     """lang, source, part ('pair': item is another source; 'term': item is a kept term), item, value, rank."""
     groups = _columns(docs).select("lang", "source").distinct()
-    raw = stored(counted(docs, sketch(docs, least, depth, width), depth, width), "divergence-counts")
-    whole = raw.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("df").alias("df")).where(F.col("df") >= least).drop("df")
-    whole = stored(whole, "divergence-terms")
-    kept = stored(raw.join(whole, ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"), "divergence-kept")
-    sizes = whole.groupBy("lang").agg(F.count("*").alias("v"), F.sum("in_lang").alias("lang_total"))
+    exact = counted(docs, sketch(docs, least, depth, width), depth, width)
+    # a term's rows are one a source; their sums are the language's
+    term = W.partitionBy("lang", "term")
+    exact = exact.select("lang", "source", "term", "n", F.sum("n").over(term).alias("in_lang"), F.sum("df").over(term).alias("df"), (F.row_number().over(term.orderBy("source")) == 1).alias("first"))
+    kept = stored(exact.where(F.col("df") >= least).drop("df"), "divergence-kept")
+    sizes = kept.groupBy("lang").agg(F.count(F.when(F.col("first"), 1)).alias("v"), F.sum("n").alias("lang_total"))
     mine = kept.groupBy("lang", "source").agg(F.count("*").alias("held"), F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     groups = groups.join(mine, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", *(zero(c) for c in ("held", "total", "v", "lang_total")))
     groups = groups.withColumn("base", F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("v"))).otherwise(1))
     groups = stored(groups, "divergence-groups")
-    forget(raw, whole)
     # a source may hold most of a language's terms: its terms are dealt out with copies of its totals
     part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
     dealt = groups.select("lang", "source", "total", "v", "lang_total", "base", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))

@@ -77,7 +77,8 @@ def test_sketch_never_rules_out_a_frequent_term(spark):
         ruled_out = 0
         for lang, counts in frequency.items():
             terms = list(counts)
-            at = divergence.places(lang.encode(), [t.encode() for t in terms], 3, width) if terms else np.zeros((3, 0), int)
+            key = divergence.keys(divergence.language_hash(lang), divergence.term_hashes([t.encode() for t in terms])) if terms else np.zeros(0, np.uint64)
+            at = np.array([divergence.places(key, k, width) for k in range(3)])
             fine = [all(row[a >> 3] >> (7 - (a & 7)) & 1 for row, a in zip(bits, column)) for column in at.T]
             assert all(ok for t, ok in zip(terms, fine) if counts[t] >= 9)
             ruled_out += sum(not ok for ok in fine)
