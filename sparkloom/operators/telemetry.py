@@ -1,7 +1,7 @@
 """Run and span telemetry: aggregates, buckets, histograms, costs, log search.
 
 runs: id, started_at, status, mode, duration_ms. spans: run_id, key, step, model, status, duration_ms, tokens, error, started_at.
-All are one pass with map-side aggregation, except where a percentile needs its values.
+All are one pass with map-side aggregation; percentiles come from `selection`, which never holds a large group's values in one buffer.
 """
 
 from __future__ import annotations
@@ -9,26 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import percentiles
+
 
 def between(df: DataFrame, start: str, end: str, column: str = "started_at") -> DataFrame:
     return df.where((F.col(column) >= F.lit(start).cast("timestamp_ntz")) & (F.col(column) < F.lit(end).cast("timestamp_ntz")))
 
 
-def percentile(column: str, share: float, where: Column) -> Column:
-    return F.round(F.percentile(F.when(where, F.col(column)), F.lit(share)), 6)
+def with_percentiles(found: DataFrame, rows: DataFrame, by: list[str], wanted: dict, digits: int = 6) -> DataFrame:
+    """found (a row a group) with the percentiles of rows, rounded; null keys meet, too."""
+    of = percentiles(rows, by, wanted).select(F.struct(*by).alias("_g") if by else F.lit(0).alias("_g"), *(F.round(name, digits).alias(name) for name in wanted))
+    return found.withColumn("_g", F.struct(*by) if by else F.lit(0)).join(of, "_g", "left").drop("_g")
 
 
 def kpis(runs: DataFrame) -> DataFrame:
     """Counts, error share (null without runs), percentiles and mean of the durations of runs that did not fail."""
     fine = F.col("status") != "error"
-    return runs.agg(
+    took = F.when(fine, F.col("duration_ms"))
+    found = runs.agg(
         F.count("*").alias("runs"),
         F.count(F.when(~fine, 1)).alias("errors"),
         F.round(F.try_divide(F.count(F.when(~fine, 1)), F.count("*")), 6).alias("error_rate"),
-        percentile("duration_ms", 0.5, fine).alias("p50"),
-        percentile("duration_ms", 0.95, fine).alias("p95"),
-        F.round(F.avg(F.when(fine, F.col("duration_ms"))), 6).alias("mean"),
+        F.round(F.avg(took), 6).alias("mean"),
     )
+    return with_percentiles(found, runs, [], {"p50": (took, 0.5), "p95": (took, 0.95)})
 
 
 def periods(runs: DataFrame, start: str, middle: str, end: str) -> DataFrame:
@@ -41,7 +45,9 @@ def buckets(runs: DataFrame, start: str, seconds: int, n: int) -> DataFrame:
     """Buckets 0 to n - 1 of fixed width from start; empty ones have zero counts and a null percentile."""
     origin = F.unix_micros(F.lit(start).cast("timestamp"))
     number = F.floor((F.unix_micros(F.col("started_at").cast("timestamp")) - origin) / F.lit(seconds * 1_000_000)).cast("long")
-    counted = runs.withColumn("bucket", number).where((F.col("bucket") >= 0) & (F.col("bucket") < n)).groupBy("bucket").agg(F.count("*").alias("runs"), F.count(F.when(F.col("status") == "error", 1)).alias("errors"), F.round(F.percentile("duration_ms", F.lit(0.5)), 6).alias("p50"))
+    inside = runs.withColumn("bucket", number).where((F.col("bucket") >= 0) & (F.col("bucket") < n))
+    counted = inside.groupBy("bucket").agg(F.count("*").alias("runs"), F.count(F.when(F.col("status") == "error", 1)).alias("errors"))
+    counted = with_percentiles(counted, inside, ["bucket"], {"p50": (F.col("duration_ms"), 0.5)})
     empty = runs.sparkSession.range(n).withColumnRenamed("id", "bucket")
     return empty.join(counted, "bucket", "left").select("bucket", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("errors", F.lit(0)).alias("errors"), "p50")
 
@@ -59,7 +65,8 @@ def grouped(runs: DataFrame, column: str) -> DataFrame:
 def step_latency(spans: DataFrame, runs: DataFrame) -> DataFrame:
     """Per step of the given runs' spans: count, mean, 95th percentile, errors."""
     own = spans.join(runs.select(F.col("id").alias("run_id")), "run_id")
-    return own.groupBy("step").agg(F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("mean"), F.round(F.percentile("duration_ms", F.lit(0.95)), 4).alias("p95"), F.count(F.when(F.col("status") == "error", 1)).alias("errors"))
+    found = own.groupBy("step").agg(F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("mean"), F.count(F.when(F.col("status") == "error", 1)).alias("errors"))
+    return with_percentiles(found, own, ["step"], {"p95": (F.col("duration_ms"), 0.95)}, 4)
 
 
 def last_errors(spans: DataFrame, most: int = 10) -> DataFrame:
@@ -106,11 +113,11 @@ def outcomes(runs: DataFrame, *by: str) -> DataFrame:
     """Of runs (status, duration_ms, ttft_ms, tokens): answered, refused and failed ones (cancelled ones failed), median and 95th percentile of the duration, median time to
     the first token of those that had one, and tokens; null measures are left out, no tokens are 0."""
     is_ = lambda *states: F.count(F.when(F.col("status").isin(*states), 1))
-    middle = lambda c, q: F.round(F.percentile(c, q), 6)
-    return runs.groupBy(*by).agg(
-        F.count("*").alias("runs"), is_("ok").alias("answered"), is_("refused").alias("refused"), is_("error", "cancelled").alias("failed"), middle("duration_ms", 0.5).alias("median_ms"), middle("duration_ms", 0.95).alias("p95_ms"),
-        middle("ttft_ms", 0.5).alias("ttft_ms"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+    found = runs.groupBy(*by).agg(
+        F.count("*").alias("runs"), is_("ok").alias("answered"), is_("refused").alias("refused"), is_("error", "cancelled").alias("failed"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
     )
+    took, first = F.col("duration_ms"), F.col("ttft_ms")
+    return with_percentiles(found, runs, list(by), {"median_ms": (took, 0.5), "p95_ms": (took, 0.95), "ttft_ms": (first, 0.5)})
 
 
 def tail_after(logs: DataFrame, after: int, n: int) -> DataFrame:

@@ -6,7 +6,6 @@ its own number, so a batch that runs again after a failure replaces itself.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,16 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new path in spark.checkpoint.dir; in a local session without that setting (tests) one under /tmp, on a cluster an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file:/tmp/sparkloom-shared-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sparkloom/{what}-{uuid.uuid4().hex}"
+from ..sources.shared import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
