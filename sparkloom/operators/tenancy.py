@@ -5,8 +5,11 @@ All joins are declared; Catalyst picks their kind by size. Null keys match nothi
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
@@ -151,20 +154,48 @@ def citation_groups(citations: DataFrame) -> DataFrame:
     return rows.select("q_id", F.row_number().over(order).alias("place"), "document_id", "unit", "page", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
 
 
-def mentioned(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """questions (q_id, text) with the document whose title they name, the longest title if several, null if none.
+#: Titles of a block, each with an automaton of its own, and questions that go through it in one task.
+TITLES, QUESTIONS = 100_000, 50_000
 
-    No pair of a question and a title is tested: a title in a question is one of its runs of characters, so the runs that are as long as some
-    title meet the titles by an equi-join. Titles of under three characters name nothing.
+
+def mentioned(questions: DataFrame, documents: DataFrame, block: int = TITLES) -> DataFrame:
+    """questions (q_id, text) with the document whose title they name, the longest title if several, null if none; of equal titles the smallest document_id.
+
+    Equal titles are one before anything is joined. Distinct ones are dealt into blocks of about `block`; a task builds a multi-pattern automaton over its
+    block and reads each question once, whatever the number of titles. It gives a question's longest title of the block, so a row a question and block
+    is the most that is joined. Titles of under three characters name nothing.
     """
-    keyed = documents.select("document_id", R.title_key(F.col("title")).alias("t")).where(F.length("t") >= 3)
+    titled = documents.select("document_id", R.title_key(F.col("title")).alias("t")).where(F.length("t") >= 3)
+    titled = titled.groupBy("t").agg(F.min("document_id").alias("document_id"))
     asked = questions.select("q_id", R.title_key(F.col("text")).alias("q"))
-    lengths = keyed.select(F.length("t").alias("n")).distinct()
-    runs = asked.crossJoin(F.broadcast(lengths)).where(F.length("q") >= F.col("n"))  # lengths: as many rows as titles have lengths
-    runs = runs.select("q_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring(F.col("q"), i, F.col("n"))))).alias("t"))
-    order = Window.partitionBy("q_id").orderBy(F.length("t").desc(), "document_id")
-    found = runs.join(keyed, "t").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("q_id", "document_id")
-    return questions.join(found, "q_id", "left")
+    blocks = max(1, -(-titled.count() // block))
+    held = titled.select((F.pmod(F.xxhash64("t"), F.lit(blocks))).cast("int").alias("b"), "t", "document_id")
+    # questions are dealt, too; each part of them meets every block
+    parts = max(1, -(-questions.count() // QUESTIONS))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = StructType([questions.schema["q_id"], StructField("t", StringType()), documents.schema["document_id"]])
+    out = to_arrow_schema(schema)
+
+    def longest(titles: pa.Table, asked_: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        if not titles.num_rows or not asked_.num_rows:
+            return out.empty_table()
+        titles = titles.sort_by([("document_id", "descending")])  # of equal lengths the last one counts
+        words = ahocorasick.Automaton()
+        for i, t in enumerate(titles["t"].to_pylist()):
+            words.add_word(t, (len(t), i))
+        words.make_automaton()
+        found = [max((x for _, x in words.iter(q)), default=None) if q else None for q in asked_["q"].to_pylist()]
+        rows = [k for k, x in enumerate(found) if x]
+        at = pa.array([found[k][1] for k in rows], pa.int64())
+        return pa.Table.from_arrays([asked_["q_id"].take(pa.array(rows, pa.int64())), titles["t"].take(at), titles["document_id"].take(at)], schema=out)
+
+    best = held.groupBy("b", "part").cogroup(asked.groupBy("b", "part")).applyInArrow(longest, schema)
+    # of several titles of the longest length the smallest document stands
+    best = best.groupBy("q_id").agg(F.min_by("document_id", F.struct(-F.length("t"), "document_id")).alias("document_id"))
+    return questions.join(best, "q_id", "left")
 
 
 def scope(questions: DataFrame, documents: DataFrame) -> DataFrame:
