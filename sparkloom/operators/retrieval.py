@@ -7,17 +7,20 @@ and every order ends with the id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
 RRF_K, FLOOR, TOP_K, POOL = 60, 0.35, 8, 20
-#: Vectors of a scope are dealt to so many parts; questions go to all of them.
-PARTS = 32
+#: Rows of a block of a scope's vectors or questions.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,18 +40,77 @@ def ranked(df: DataFrame, score: str, name: str, k: int) -> DataFrame:
 
 
 def dense(questions: DataFrame, vectors: DataFrame, k: int = POOL) -> DataFrame:
-    """q_id, chunk_id, similarity, v_rank: exact cosine over the vectors of the question's scope."""
-    norm = lambda x: F.sqrt(dot(F.col(x), F.col(x)))
-    asked = questions.select("q_id", "scope", F.col("embedding").alias("q"), norm("embedding").alias("q_norm"))
-    # lengths are worked out once for a vector, not for each pair
-    # a scope may hold most vectors: it is cut by chunk, and the few questions meet each part
-    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    held = vectors.withColumn("norm", norm("embedding")).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
-    pairs = held.join(asked.withColumn("part", parts), ["scope", "part"])
-    norms = F.col("norm") * F.col("q_norm")
-    cosine_ = F.when((F.size("embedding") == F.size("q")) & (norms > 0), dot(F.col("embedding"), F.col("q")) / norms)
-    scored = pairs.select("q_id", "chunk_id", F.round(F.coalesce(cosine_, F.lit(0.0)), 6).alias("similarity"))
-    return ranked(scored, "similarity", "v_rank", k)
+    """q_id, chunk_id, similarity, v_rank: exact cosine over the vectors of the question's scope; 0 where either is null, zero or of another size.
+
+    Blocks of a scope's vectors meet blocks of its questions: each pair of blocks is one matrix product that keeps the k best of each question, so
+    what is shuffled afterwards is k rows a question and block. Scopes of up to BLOCK vectors are one block; larger ones are cut by chunk.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    held, asked = vectors.select("scope", "chunk_id", "embedding"), questions.select("scope", "q_id", "embedding")
+    held, asked = in_blocks(held, asked, "chunk_id", "part", BLOCK)
+    asked, held = in_blocks(asked, held, "q_id", "q_part", BLOCK)
+    schema = StructType([questions.schema["q_id"], vectors.schema["chunk_id"], StructField("similarity", DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def best(vectors_: pa.Table, questions_: pa.Table) -> pa.Table:
+        v = vectors_.sort_by("chunk_id")  # of equal similarities the smaller id stands first
+        rows, columns, values = [], [], []
+        for q, similarity in cosines(questions_["embedding"], v["embedding"]):
+            similarity = np.floor(similarity * 1e6 + 0.5) / 1e6
+            near = np.arange(len(similarity))
+            if len(near) > k:
+                near = np.flatnonzero(similarity >= np.partition(similarity, -k)[-k])
+            near = near[np.argsort(-similarity[near], kind="stable")[:k]]
+            rows += [q] * len(near)
+            columns.append(near)
+            values.append(similarity[near])
+        if not rows:
+            return out.empty_table()
+        return pa.Table.from_arrays([questions_["q_id"].take(pa.array(rows)), v["chunk_id"].take(pa.array(np.concatenate(columns))), pa.array(np.concatenate(values))], schema=out)
+
+    keys = ["scope", "part", "q_part"]
+    scored = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, schema)
+    return ranked(scored.withColumn("similarity", F.round("similarity", 6)), "similarity", "v_rank", k)
+
+
+def in_blocks(df: DataFrame, other: DataFrame, key: str, name: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """df cut into blocks of about `size` rows of a scope, by key, and other with a copy of each row for each block of its scope."""
+    large = df.groupBy("scope").agg(F.ceil(F.count("*") / size).cast("int").alias("_n")).where("_n > 1")
+    if large.count() <= 1 << 16:  # rows of a scope and a number: a few MB
+        large = F.broadcast(large)
+    number = F.coalesce("_n", F.lit(1))
+    cut = df.join(large, "scope", "left").withColumn(name, F.pmod(F.xxhash64(key), number).cast("int")).drop("_n")
+    copied = other.join(large, "scope", "left").withColumn(name, F.explode(F.sequence(F.lit(0), number - 1))).drop("_n")
+    return cut, copied
+
+
+def cosines(questions: pa.ChunkedArray, vectors: pa.ChunkedArray, step: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of a question, its similarity to each vector), by matrix products of `step` questions."""
+    sides = []
+    for column in (questions, vectors):
+        by_size: dict[int, list] = {}
+        for i, x in enumerate(column.to_numpy()):
+            if x is not None:
+                x = np.asarray(x, np.float64)
+                norm = np.sqrt(x @ x)
+                if np.isfinite(norm) and norm > 0:
+                    by_size.setdefault(len(x), []).append((i, x / norm))
+        sides.append({n: (np.array([i for i, _ in rows]), np.array([x for _, x in rows])) for n, rows in by_size.items()})
+    seen = set()
+    for n, (numbers, matrix) in sides[0].items():
+        at, held = sides[1].get(n, (None, None))
+        for k in range(0, len(numbers), step):
+            product = matrix[k : k + step] @ held.T if held is not None else None
+            for j, q in enumerate(numbers[k : k + step].tolist()):
+                similarity = np.zeros(len(vectors))
+                if held is not None:
+                    similarity[at] = product[j]
+                seen.add(q)
+                yield q, similarity
+    for q in range(len(questions)):
+        if q not in seen:
+            yield q, np.zeros(len(vectors))
 
 
 def lexical(questions: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
@@ -70,18 +132,22 @@ def fuse(by_vector: DataFrame, by_words: DataFrame, k: int = RRF_K) -> DataFrame
     return both.withColumn("rrf", F.round(part("v_rank") + part("l_rank"), 8)).withColumn("source", source)
 
 
-def pooled(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int = POOL) -> DataFrame:
-    """The best fused rows of each question with their similarity: that of the dense channel, worked out only for rows that words alone found; without a vector it is 0."""
-    best = ranked(fuse(dense(questions, vectors), lexical(questions, chunks)), "rrf", "rank", pool)
-    by_words = best.where("similarity is null").select("q_id", "chunk_id")
+def pooled(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int = POOL, by_vector: DataFrame | None = None, by_words: DataFrame | None = None) -> DataFrame:
+    """The best fused rows of each question with their similarity: that of the dense channel, worked out only for rows that words alone found; without a vector it is 0.
+
+    by_vector and by_words: what the stored indexes found (vector_index.search, text_index.search); without them all of the scope is scanned.
+    """
+    by_vector = dense(questions, vectors) if by_vector is None else by_vector
+    best = ranked(fuse(by_vector, lexical(questions, chunks) if by_words is None else by_words), "rrf", "rank", pool)
+    words_only = best.where("similarity is null").select("q_id", "chunk_id")
     asked = questions.select("q_id", F.col("embedding").alias("q")).dropDuplicates(["q_id"])
-    more = by_words.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(asked, "q_id").select("q_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("late"))
+    more = words_only.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(asked, "q_id").select("q_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("late"))
     return best.join(more, ["q_id", "chunk_id"], "left").withColumn("similarity", F.coalesce("similarity", "late", F.lit(0.0))).drop("late")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, floor: float = FLOOR, top_k: int = TOP_K) -> DataFrame:
-    """Fuse, pool, gate on similarity, cut. questions: a row for each scope that a question may search."""
-    scored = pooled(questions, chunks, vectors).where(F.col("similarity") >= floor).drop("rank")
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, floor: float = FLOOR, top_k: int = TOP_K, **found: DataFrame) -> DataFrame:
+    """Fuse, pool, gate on similarity, cut. questions: a row for each scope that a question may search; found: by_vector and by_words of pooled()."""
+    scored = pooled(questions, chunks, vectors, **found).where(F.col("similarity") >= floor).drop("rank")
     return ranked(scored, "rrf", "rank", top_k).select("q_id", "rank", "chunk_id", "similarity", "rrf", "source")
 
 
