@@ -272,9 +272,10 @@ def pool_size(top_k: int, rerank_candidates: int | None) -> int:
     return max(top_k, rerank_candidates) if rerank_candidates else top_k
 
 
-def channel_size(bases: int, top_k: int, pool: int, each: int = 20, ceiling: int = 200) -> int:
+def channel_size(bases: Column, top_k: int, pool: int, each: int = 20, ceiling: int = 200) -> Column:
     """Rows that a channel offers: more for more knowledge bases and for a widened pool, up to a ceiling."""
-    return min(max(each * bases, pool) if pool > top_k else each * bases, ceiling)
+    offered = bases * each
+    return F.least(F.greatest(offered, F.lit(pool)) if pool > top_k else offered, F.lit(ceiling))
 
 
 def model_prices(text: str | None) -> dict[str, float]:

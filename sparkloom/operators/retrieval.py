@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.rules import channel_size, pool_size
 
 RRF_K, FLOOR, TOP_K, POOL = 60, 0.35, 8, 20
 #: Rows of a block of a scope's vectors or questions.
@@ -151,19 +152,31 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, floor:
     return ranked(scored, "rrf", "rank", top_k).select("q_id", "rank", "chunk_id", "similarity", "rrf", "source")
 
 
-def retrieve_sections(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, reranker: Callable[[DataFrame], DataFrame], places: DataFrame, floor: float = FLOOR, top_k: int = TOP_K, pool: int = POOL, most_tokens: int = 3 * 512) -> DataFrame:
-    """The whole chain: fuse, pool, rerank, gate, parents, cut.
+def retrieve_sections(
+    questions: DataFrame, chunks: DataFrame, vectors: DataFrame, reranker: Callable[[DataFrame], DataFrame], places: DataFrame, floor: float = FLOOR, top_k: int = TOP_K, candidates: int | None = POOL, most_tokens: int = 3 * 512, evidence: bool = False
+) -> DataFrame:
+    """The whole chain: fuse, pool, rerank, gate, parents, cut. questions: a row for each scope that a question may search.
 
+    A channel offers more rows the more scopes a question has, and at least the pool's if that is wider than the answer (rules.channel_size).
     reranker adds score to the pool's rows (q_id, chunk_id, …): a question with any missing score keeps the fused order. places (chunk_id, doc_id, chunk_index, section, token_count): two or more
-    admitted chunks of one run of a section become one row, if the run has no more than most_tokens. An empty scope has no rows.
+    admitted chunks of one run of a section become one row, if the run has no more than most_tokens. An empty scope has no rows. With `evidence`, places has what
+    sections.with_evidence() reads, and rows have content, kind, heading, member_ids and boxes.
     """
-    from .sections import assemble_parents
-
-    rows = rerank(reranker(pooled(questions, chunks, vectors, pool)))
+    from . import sections as S
+
+    pool = pool_size(top_k, candidates)
+    bases = questions.groupBy("q_id").agg(F.count("*").alias("bases")).withColumn("offered", channel_size(F.col("bases"), top_k, pool)).select("q_id", "offered")
+    widest = bases.agg(F.max("offered")).first()[0] or pool
+    own = lambda found, rank: found.join(bases, "q_id").where(F.col(rank) <= F.col("offered")).drop("offered")
+    by_vector, by_words = own(dense(questions, vectors, widest), "v_rank"), own(lexical(questions, chunks, widest), "l_rank")
+    rows = rerank(reranker(pooled(questions, chunks, vectors, pool, by_vector, by_words)))
     admitted = rows.where(F.col("similarity") >= floor).drop("rank").withColumnRenamed("new_rank", "rank").join(places.select("chunk_id", "doc_id", "chunk_index"), "chunk_id")
-    whole = assemble_parents(admitted.select("q_id", "rank", "chunk_id", "doc_id", "chunk_index", "similarity"), places, most_tokens)
+    whole = S.parents(admitted.select("q_id", "rank", "chunk_id", "doc_id", "chunk_index", "similarity"), places, most_tokens)
     cut = whole.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).where(F.col("place") <= top_k)
-    return cut.join(places.select("doc_id", "chunk_index", "chunk_id"), ["doc_id", "chunk_index"]).select("q_id", "place", "chunk_id", "similarity", "members")
+    found = ["q_id", "place", "chunk_id", "similarity", "members"]
+    if evidence:
+        cut, found = S.with_evidence(cut, places), [*found, "content", "kind", "heading", "member_ids", "boxes"]
+    return cut.join(places.select("doc_id", "chunk_index", "chunk_id"), ["doc_id", "chunk_index"]).select(*found)
 
 
 def rerank(pool: DataFrame, score: str = "score") -> DataFrame:

@@ -36,20 +36,49 @@ def choose_chunks(chunks: DataFrame, most: int = 8) -> DataFrame:
     return runs.where(keep).select("doc_id", "chunk_index", "run")
 
 
-def assemble_parents(admitted: DataFrame, chunks: DataFrame, most_tokens: int) -> DataFrame:
-    """admitted (q_id, rank, chunk_id, doc_id, chunk_index, similarity): runs of a section with two or more admitted chunks and no more
-    than most_tokens become one row at their best rank, with the first chunk's id, the largest similarity and all members; other
-    rows stay alone."""
+def parents(admitted: DataFrame, chunks: DataFrame, most_tokens: int) -> DataFrame:
+    """admitted (q_id, rank, chunk_id, doc_id, chunk_index, similarity): runs of a section with two or more admitted chunks and no more than most_tokens
+    become one row (parent) at their best rank, with the first chunk's index, the largest similarity and how many were admitted; other rows, figures too,
+    stay alone."""
     runs = section_runs(chunks)
     run_of = runs.select("doc_id", "chunk_index", "run")
     whole = runs.groupBy("doc_id", "run").agg(F.sum("token_count").alias("tokens"), F.min("chunk_index").alias("first_index"))
-    hits = admitted.join(run_of, ["doc_id", "chunk_index"]).join(whole, ["doc_id", "run"])
+    hits = admitted.join(run_of, ["doc_id", "chunk_index"]).join(whole, ["doc_id", "run"], "left")
     grouped = Window.partitionBy("q_id", "doc_id", "run")
-    parent = (F.count("*").over(grouped) >= 2) & (F.col("tokens") <= most_tokens)
-    hits = hits.withColumn("key", F.when(parent, F.concat_ws(":", F.lit("run"), "run")).otherwise(F.concat_ws(":", F.lit("chunk"), "chunk_index")))
-    return hits.groupBy("q_id", "doc_id", "key").agg(
-        F.min("rank").alias("rank"), F.max("similarity").alias("similarity"), F.count("*").alias("members"), F.min(F.when(F.col("key").startswith("run"), F.col("first_index")).otherwise(F.col("chunk_index"))).alias("chunk_index")
-    ).drop("key")
+    parent = F.col("run").isNotNull() & (F.count("*").over(grouped) >= 2) & (F.col("tokens") <= most_tokens)
+    hits = hits.withColumn("parent", F.coalesce(parent, F.lit(False))).withColumn("one", F.when(~F.col("parent"), F.col("chunk_index")))
+    return hits.groupBy("q_id", "doc_id", "run", "parent", "one").agg(
+        F.min("rank").alias("rank"), F.max("similarity").alias("similarity"), F.count("*").alias("members"), F.min(F.when(F.col("parent"), F.col("first_index")).otherwise(F.col("chunk_index"))).alias("chunk_index")
+    ).drop("one")
+
+
+def assemble_parents(admitted: DataFrame, chunks: DataFrame, most_tokens: int) -> DataFrame:
+    return parents(admitted, chunks, most_tokens).drop("run", "parent")
+
+
+def with_evidence(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """rows of parents() with what an answer is given and a citation shows: content (of a parent its whole run as one text), kind (ocr if any of it is),
+    heading, member_ids (a parent's chunks in order, null for a row alone) and boxes, those of all its chunks one after the other, never their union.
+
+    chunks: doc_id, chunk_index, chunk_id, section, page, kind, heading, content, boxes, bbox. Only the chunks of the rows' runs are read on; a parent's run
+    has a bounded number of tokens.
+    """
+    from ..functions.rules import citation_boxes
+
+    runs = section_runs(chunks)
+    wanted = rows.select("doc_id", "chunk_index", "run", "parent").distinct()
+    key = ["doc_id", F.coalesce("run", F.lit(-1)).alias("run"), F.when(F.col("parent"), F.lit(None)).otherwise(F.col("chunk_index")).alias("one")]
+    of = wanted.select(*key, F.col("chunk_index").alias("at"))
+    members = runs.withColumn("run", F.coalesce("run", F.lit(-1))).join(of, ["doc_id", "run"]).where(F.col("one").isNull() | (F.col("one") == F.col("chunk_index")))
+    members = with_seams(members, ["doc_id", "run", "one"])
+    e = F.struct("chunk_index", "chunk_id", "piece", F.coalesce(citation_boxes(F.col("boxes"), F.col("bbox")), F.array().cast(chunks.schema["boxes"].dataType)).alias("boxes"))
+    said = members.groupBy("doc_id", "at", "one").agg(F.array_sort(F.collect_list(e)).alias("e"), F.max(F.col("kind") == "ocr").alias("ocr"), F.min_by("kind", "chunk_index").alias("kind"), F.min_by("heading", "chunk_index").alias("heading"))
+    parent = F.col("one").isNull()
+    said = said.select(
+        "doc_id", F.col("at").alias("chunk_index"), parent.alias("parent"), F.array_join(F.col("e.piece"), "").alias("content"), F.when(~parent, F.col("kind")).when(F.col("ocr"), "ocr").otherwise("text").alias("kind"), "heading",
+        F.when(parent, F.col("e.chunk_id")).alias("member_ids"), F.flatten("e.boxes").alias("boxes"),
+    )
+    return rows.join(said, ["doc_id", "chunk_index", "parent"])
 
 
 def previous_user_turn(turns: DataFrame, most: int = 300) -> DataFrame:
@@ -74,29 +103,29 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
-def merged(contents: list[str], separator: str = "\n\n") -> str:
-    """The texts of a run's chunks as one: a chunk that begins with the last whole pieces of the one before goes on without them; the longest such tail counts, never the whole chunk."""
-    out, last = "", None
-    for text in contents:
-        tails = [separator.join(p[k:]) for p in [(last or "").split(separator)] for k in range(1, len(p))]
-        seam = next((t for t in tails if t and text.startswith(t + separator)), None)
-        out = text if last is None else out + (text[len(seam) :] if seam is not None else separator + text)
-        last = text
-    return out
+PIECE = "\n\n"
 
 
-def merged_runs(chunks: DataFrame, most: int = 1000) -> DataFrame:
-    """doc_id, run, content of the runs of chunks (doc_id, chunk_index, section, content). A run that a parent can be made of has few chunks: longer ones than `most` aren't merged, as no parent
-    may have so many, and give no row."""
-    runs = section_runs(chunks).where("run is not null")
-    small = runs.groupBy("doc_id", "run").count().where(F.col("count") <= most).drop("count")
-    lists = runs.join(small, ["doc_id", "run"]).groupBy("doc_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]).alias("contents"))
+def seam(previous: Column, content: Column) -> Column:
+    """The text that a chunk repeats from the one before: the longest run of whole pieces at its end, never all of it, with which this one begins; null if there is none."""
+    pieces = F.split(previous, PIECE)
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(pieces))), lambda k: F.array_join(F.slice(pieces, k, F.greatest(F.lit(0), F.size(pieces) - k + 1)), PIECE))
+    return F.try_element_at(F.filter(tails, lambda t: (t != "") & F.startswith(content, F.concat(t, F.lit(PIECE)))), F.lit(1))
+
+
+def with_seams(chunks: DataFrame, run: list[str]) -> DataFrame:
+    """chunks with piece: what each adds to the text of its run; the pieces in order are the run's text."""
+    previous = F.lag("content").over(Window.partitionBy(*run).orderBy("chunk_index"))
+    rows = chunks.withColumn("_before", previous).withColumn("_seam", seam(F.col("_before"), F.col("content")))
+    added = F.expr("substring(content, length(_seam) + 1)")
+    first = F.row_number().over(Window.partitionBy(*run).orderBy("chunk_index")) == 1
+    return rows.withColumn("piece", F.when(first, F.coalesce("content", F.lit(""))).when(F.col("_seam").isNotNull(), added).otherwise(F.concat(F.lit(PIECE), F.coalesce("content", F.lit(""))))).drop("_before", "_seam")
 
-    def run(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([merged(x) for x in batch.column(2).to_pylist()], pa.string())], names=["doc_id", "run", "content"])
 
-    return lists.select("doc_id", "run", "contents").mapInArrow(run, "doc_id long, run long, content string")
+def merged_runs(chunks: DataFrame) -> DataFrame:
+    """doc_id, run, content of the runs of chunks (doc_id, chunk_index, section, content), each as one text without what neighbours repeat. A null content is an empty one."""
+    rows = with_seams(section_runs(chunks).where("run is not null"), ["doc_id", "run"])
+    return rows.groupBy("doc_id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "piece"))), lambda x: x["piece"]), "").alias("content"))
 
 
 def fixed_windows(hits: DataFrame, seconds: int, most: int) -> DataFrame:

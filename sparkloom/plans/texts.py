@@ -124,7 +124,7 @@ def reply_scores(spark, d):
 
 
 def merged_sections(spark, d):
-    rows = lines(spark, d).select("doc_id", F.col("idx").alias("chunk_index"), F.col("page").alias("section"), F.concat("text", F.lit("\n\n"), F.lit("tail "), F.floor(F.col("idx") / 2)).alias("content"))
+    rows = lines(spark, d).select("doc_id", F.col("idx").alias("chunk_index"), F.col("page").alias("section"), F.concat(F.lit("tail "), F.floor((F.col("idx") - 1) / 2), F.lit("\n\n"), "text", F.lit("\n\ntail "), F.floor(F.col("idx") / 2)).alias("content"))
     return S.merged_runs(rows)
 
 
@@ -146,6 +146,22 @@ def retrieve_chain(spark, d):
     return R.retrieve_sections(asked(spark, d), chunks(spark, d), vectors(spark, d), lambda pool: pool.withColumn("score", score), places)
 
 
+def retrieve_parents(spark, d):
+    """The chain with its evidence: every document is a chunk of its source, with a box or two; of 17 one is a figure and one was read from a picture."""
+    docs = read(spark, d, "documents")
+    n = F.col("doc_id") % 17
+    side = lambda k: F.round((F.col("doc_id") * k % 50) / 100, 2)
+    box = lambda k: F.struct(side(k).alias("xmin"), side(k + 1).alias("ymin"), (side(k) + 0.25).alias("xmax"), (side(k + 1) + 0.125).alias("ymax"))
+    places = docs.select(
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), F.col("lang").alias("section"), F.col("lang").alias("heading"), F.floor(F.col("n_chars") / 16).alias("token_count"),
+        F.when(n == 3, "figure").when(n == 5, "ocr").otherwise("text").alias("kind"), F.lit(1).alias("page"), F.substring("text", 1, 40).alias("content"), F.when(n > 1, F.array(box(3), box(7))).when(n == 1, F.slice(F.array(box(3)), 1, 0)).alias("boxes"), box(5).alias("bbox"),
+    )
+    score = F.when(F.col("q_id") % 5 != 0, (F.col("chunk_id") % 97 * 31 + F.col("q_id") * 7) % 97 / 97)
+    rows = R.retrieve_sections(asked(spark, d), chunks(spark, d), vectors(spark, d), lambda pool: pool.withColumn("score", score), places, evidence=True)
+    sides = F.array_join(F.transform("boxes", lambda b: F.concat_ws(",", *(F.round(b[k] * 1000).cast("int") for k in ("xmin", "ymin", "xmax", "ymax")))), " ")
+    return rows.select("q_id", "place", "chunk_id", "members", F.md5("content").alias("content_md5"), "kind", "heading", F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("member_ids"), sides.alias("boxes"))
+
+
 _LINES = """l AS (
   SELECT l_orderkey AS doc_id, CASE WHEN max(l_linestatus) = 'O' THEN 1 ELSE 2 END AS page, l_linenumber AS idx, CASE WHEN max(l_suppkey) % 11 > 0 THEN 7.5::DOUBLE + max(l_suppkey) % 4 END AS size,
     CASE WHEN max(l_suppkey) % 13 = 0 THEN 'Figure 2: ' ELSE '' END || 'Line ' || CASE WHEN max(l_suppkey) % 3 = 0 THEN 'of 7' ELSE max(l_returnflag) || ' ' || max(l_partkey) END AS text,
@@ -191,16 +207,16 @@ SELECT doc_id, 1 AS page, 1 + coalesce(c, 0) AS columns, covered FROM (SELECT do
 SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'markdown' WHEN 3 THEN NULL ELSE CASE WHEN regexp_matches(left(html, 4096), '(?i)<(!doctype html|html|head|body)[\s>]') THEN 'html' ELSE 'markdown' END END AS format,
   CASE page_id % 5 WHEN 0 THEN 8 + length(url) WHEN 1 THEN 4 + length(url) WHEN 2 THEN length(url) WHEN 3 THEN NULL ELSE length(html) END AS chars FROM pages""",
     "retrieve_chain": """
-WITH q AS (SELECT item_id AS q_id, unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang, text, embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
+WITH q AS (SELECT item_id AS q_id, CASE WHEN item_id % 2 = 0 THEN 40 ELSE 60 END AS offered, unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang, text, embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
 v AS (
-  SELECT q_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], qe), 6) AS similarity FROM embeddings JOIN documents ON doc_id = vec_id JOIN q USING (lang)),
-vr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, chunk_id) AS r FROM v QUALIFY r <= 20),
-t AS (SELECT DISTINCT q_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM q),
+  SELECT q_id, offered, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], qe), 6) AS similarity FROM embeddings JOIN documents ON doc_id = vec_id JOIN q USING (lang)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, chunk_id) AS r FROM v QUALIFY r <= offered),
+t AS (SELECT DISTINCT q_id, offered, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM q),
 p AS (SELECT chunk_id, lang, term, count(*) AS n FROM (SELECT doc_id AS chunk_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2, 3),
 lx AS (
-  SELECT q_id, chunk_id, round(sum(n)::DOUBLE * 0.1::DOUBLE, 6) AS score FROM t JOIN p USING (lang, term)
-  WHERE term NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'have', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'will', 'with') GROUP BY 1, 2),
-lr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM lx QUALIFY r <= 20),
+  SELECT q_id, offered, chunk_id, round(sum(n)::DOUBLE * 0.1::DOUBLE, 6) AS score FROM t JOIN p USING (lang, term)
+  WHERE term NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'have', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'will', 'with') GROUP BY 1, 2, 3),
+lr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM lx QUALIFY r <= offered),
 fused AS (
   SELECT q_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + vr.r), 0) + coalesce(1.0::DOUBLE / (60 + lr.r), 0), 8) AS rrf FROM vr FULL JOIN lr USING (q_id, chunk_id)),
 pool AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 20),
@@ -242,6 +258,30 @@ h AS (SELECT r.*, last_value(CASE WHEN type = 'Section-header' THEN text END IGN
 SELECT doc_id, 1 AS page, (row_number() OVER (PARTITION BY doc_id ORDER BY h.place) - 1)::INTEGER AS place, type, text, heading, caption
 FROM h LEFT JOIN bound USING (doc_id, place)
 WHERE type NOT IN ('Section-header', 'Page-footer') AND NOT (type = 'Caption' AND EXISTS (SELECT 1 FROM bound z WHERE z.doc_id = h.doc_id AND z.caption = h.text))"""
+ORACLE_SQL["retrieve_parents"] = (
+    ORACLE_SQL["retrieve_chain"][: ORACLE_SQL["retrieve_chain"].index("d AS (SELECT doc_id AS chunk_id")]
+    + """c AS (
+  SELECT doc_id AS chunk_id, source, lang, floor(n_chars / 16) AS tokens, CASE doc_id % 17 WHEN 3 THEN 'figure' WHEN 5 THEN 'ocr' ELSE 'text' END AS kind, left(text, 40) AS content,
+    list_transform(CASE WHEN doc_id % 17 <= 1 THEN [5] WHEN doc_id % 25 > 0 THEN [3, 7] ELSE [3] END, lambda k: concat_ws(',', doc_id * k % 50 * 10, doc_id * (k + 1) % 50 * 10, doc_id * k % 50 * 10 + 250, doc_id * (k + 1) % 50 * 10 + 125)) AS boxes FROM documents),
+d AS (SELECT *, CASE WHEN lang IS DISTINCT FROM lag(lang) OVER (PARTITION BY source ORDER BY chunk_id) THEN 1 ELSE 0 END AS new FROM c WHERE kind <> 'figure'),
+runs AS (SELECT * EXCLUDE (new), sum(new) OVER (PARTITION BY source ORDER BY chunk_id) AS run FROM d UNION ALL SELECT *, NULL FROM c WHERE kind = 'figure'),
+whole AS (
+  SELECT source, run, min(chunk_id) AS first, sum(tokens) AS tokens, string_agg(content, chr(10) || chr(10) ORDER BY chunk_id) AS content, CASE WHEN bool_or(kind = 'ocr') THEN 'ocr' ELSE 'text' END AS kind,
+    string_agg(chunk_id, ',' ORDER BY chunk_id) AS member_ids, string_agg(array_to_string(boxes, ' '), ' ' ORDER BY chunk_id) AS boxes FROM runs WHERE run IS NOT NULL GROUP BY 1, 2),
+hits AS (
+  SELECT q_id, place, r.*, first, whole.content AS w_content, whole.kind AS w_kind, member_ids, whole.boxes AS w_boxes, coalesce(whole.tokens <= 1536 AND count(*) OVER (PARTITION BY q_id, r.source, r.run) >= 2, false) AS parent
+  FROM ordered JOIN runs r USING (chunk_id) LEFT JOIN whole ON whole.source = r.source AND whole.run = r.run WHERE similarity >= 0.35),
+rows AS (
+  SELECT q_id, min(place) AS best, CASE WHEN parent THEN first ELSE chunk_id END AS chunk, count(*) AS members, any_value(CASE WHEN parent THEN w_content ELSE content END) AS content, any_value(CASE WHEN parent THEN w_kind ELSE kind END) AS kind,
+    any_value(lang) AS heading, any_value(CASE WHEN parent THEN member_ids END) AS member_ids, any_value(CASE WHEN parent THEN w_boxes ELSE array_to_string(boxes, ' ') END) AS boxes FROM hits GROUP BY q_id, source, run, parent, chunk)
+SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY best)::INTEGER AS place, chunk AS chunk_id, members, md5(content) AS content_md5, kind, heading, member_ids, boxes FROM rows QUALIFY place <= 8"""
+)
+ORACLE_SQL["merged_sections"] = f"""
+WITH {_LINES},
+c AS (SELECT *, 'tail ' || floor((idx - 1) / 2)::INT AS head, 'tail ' || floor(idx / 2)::INT AS tail FROM l),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN page = lag(page) OVER (PARTITION BY doc_id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM c)),
+s AS (SELECT *, lag(tail) OVER (PARTITION BY doc_id, run ORDER BY idx) AS before FROM r)
+SELECT doc_id, run::BIGINT AS run, string_agg(CASE WHEN before IS NULL THEN head || chr(10) || chr(10) WHEN before = head THEN chr(10) || chr(10) ELSE chr(10) || chr(10) || head || chr(10) || chr(10) END || text || chr(10) || chr(10) || tail, '' ORDER BY idx) AS content FROM s GROUP BY 1, 2"""
 _SENTENCES = """r AS (
   SELECT p_partkey, p_size, [p_name || ' costs 2.' || p_size || '.', ' It is ' || p_type || '! [1]', ' See ' || p_brand || '.[2][3]' || chr(10) || chr(10), 'Is it?"', ' About ' || p_size || ' are left [4].', ' Page 7 says so'] AS s,
     CASE WHEN p_size % 5 > 0 THEN [p_size % 6, 2, 3] ELSE [] END AS bad FROM part)"""
@@ -264,7 +304,7 @@ SELECT p_partkey, array_to_string(p, '') AS reading, len(list_filter(p, lambda x
 }
 ORACLE_SQL["stream_logs"] = "SELECT 'system' AS category, count(*) AS n, max(event_id) AS last_id FROM events"
 # no kind of event matches a pattern of log messages; the stream's rows are counted
-_CHAIN = ORACLE_SQL["retrieve_chain"].replace("unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang", "'en' AS lang")
+_CHAIN = ORACLE_SQL["retrieve_chain"].replace("CASE WHEN item_id % 2 = 0 THEN 40 ELSE 60 END AS offered", "20 AS offered").replace("unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang", "'en' AS lang")
 ORACLE_SQL["hybrid_retrieve"] = (
     _CHAIN[: _CHAIN.index("fused AS (")]
     + """fused AS (
@@ -278,6 +318,6 @@ SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id)::
 QUERIES = {
     f.__name__: f
     for f in (
-        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain,
+        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain, retrieve_parents,
     )
 }

@@ -112,9 +112,35 @@ def test_runs_go_on_around_figures(spark):
     assert [r.run for r in S.section_runs(df).orderBy("chunk_index").collect()] == [1, None, 1, 2, 3, 3]
 
 
-def test_merged_runs():
-    assert S.merged(["a\n\nb", "b\n\nc", "c", "c"]) == "a\n\nb\n\nc\n\nc\n\nc"
-    assert S.merged(["x\n\ny\n\nz", "y\n\nz\n\nw"]) == "x\n\ny\n\nz\n\nw" and S.merged([]) == ""
+def merged(spark, contents):
+    rows = [(1, i, "A", c) for i, c in enumerate(contents)]
+    return [r.content for r in S.merged_runs(spark.createDataFrame(rows, "doc_id int, chunk_index int, section string, content string")).collect()]
+
+
+def test_merged_runs(spark):
+    assert merged(spark, ["a\n\nb", "b\n\nc", "c", "c"]) == ["a\n\nb\n\nc\n\nc\n\nc"]
+    assert merged(spark, ["x\n\ny\n\nz", "y\n\nz\n\nw"]) == ["x\n\ny\n\nz\n\nw"] and merged(spark, []) == []
+    # the longest tail counts; a whole chunk is no seam; nulls are empty; long runs have a row, too
+    assert merged(spark, ["p\n\nq\n\nq", "q\n\nq\n\nr"]) == ["p\n\nq\n\nq\n\nr"] and merged(spark, ["s", "s\n\nt"]) == ["s\n\ns\n\nt"]
+    assert merged(spark, [None, "u", None]) == ["\n\nu\n\n"] and len(merged(spark, ["x"] * 1500)[0]) == 1500 + 2 * 1499
+
+
+def test_parents_have_their_text_and_boxes(spark):
+    box = lambda x: (x, 0.1, x + 0.1, 0.2)
+    kinds = "doc_id int, chunk_index int, chunk_id int, section string, page int, kind string, heading string, content string, token_count int, boxes array<struct<xmin:double,ymin:double,xmax:double,ymax:double>>, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>"
+    chunks = [
+        (1, 0, 10, "A", 1, "text", "A", "one\n\ntwo", 5, [box(0.1)], None), (1, 1, 11, "A", 1, "figure", "A", "bars", 1, None, box(0.6)), (1, 2, 12, "A", 1, "ocr", "A", "two\n\nthree", 5, [], box(0.3)),
+        (1, 3, 13, "A", 2, "text", "A", "next page", 5, None, None), (1, 4, 14, "B", 2, "text", "B", "other", 5, [box(0.5)], None),
+    ]
+    chunks = spark.createDataFrame(chunks, kinds)
+    admitted = spark.createDataFrame([(1, 1, 14, 1, 4, 0.5), (1, 2, 12, 1, 2, 0.4), (1, 3, 11, 1, 1, 0.9), (1, 4, 10, 1, 0, 0.6), (2, 1, 10, 1, 0, 0.7)], "q_id int, rank int, chunk_id int, doc_id int, chunk_index int, similarity double")
+    got = S.with_evidence(S.parents(admitted, chunks, 100), chunks).orderBy("q_id", "rank").collect()
+    assert [(r.q_id, r.rank, r.chunk_index, r.content, r.kind, r.member_ids, [b.xmin for b in r.boxes]) for r in got] == [
+        (1, 1, 4, "other", "text", None, [0.5]), (1, 2, 0, "one\n\ntwo\n\nthree", "ocr", [10, 12], [0.1, 0.3]), (1, 3, 1, "bars", "figure", None, [0.6]), (2, 1, 0, "one\n\ntwo", "text", None, [0.1]),
+    ]
+    assert got[1].similarity == 0.6 and got[1].members == 2
+    # a run that doesn't fit stays in parts
+    assert S.parents(admitted, chunks, 9).where("parent").count() == 0
 
 
 def test_chunks_keep_to_pages_and_elements(spark):
@@ -135,13 +161,14 @@ def test_addresses_and_urls(spark):
         assert (r.got is None) == (r.want is None) and (r.want is None or r.got.startswith(r.want)), r
 
 
-def test_prices_and_pools():
+def test_prices_and_pools(spark):
     assert R.model_prices("a/b=c=2.5, d=0,") == {"a/b=c": 2.5, "d": 0.0} and R.model_prices(None) == {}
     for bad in ("x", "=1", "a=-1", "a=nan", "a=b"):
         with pytest.raises(ValueError):
             R.model_prices(bad)
     assert [R.pool_size(8, None), R.pool_size(8, 20), R.pool_size(30, 20)] == [8, 20, 30]
-    assert [R.channel_size(1, 8, 8), R.channel_size(1, 8, 50), R.channel_size(30, 8, 8)] == [20, 50, 200]
+    sizes = lambda bases, top_k, pool: values(spark, [(str(bases),)], R.channel_size(F.col("_1").cast("int"), top_k, pool))[0]
+    assert [sizes(1, 8, 8), sizes(1, 8, 50), sizes(30, 8, 8), sizes(4, 8, 50)] == [20, 50, 200, 80]
 
 
 def test_writes_are_idempotent(spark):
