@@ -66,6 +66,22 @@ def swapped(control: DataFrame, ready: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).select(*control.columns)
 
 
+def reindexed(chunks: DataFrame, vectors: DataFrame, control: DataFrame, embed) -> tuple[DataFrame, DataFrame]:
+    """One pass of a re-index: (vectors, control) after it.
+
+    chunks: owner_id, chunk_id, text. vectors: owner_id, generation_id, chunk_id, embedding. control: owner_id, generation_id, status. Chunks that a building generation
+    has no vector of are embedded (embed: text -> vector, null if it can't) and added; run again, it adds nothing. A building generation without a missing chunk
+    becomes active and the owner's active one is retired; others stay as they are, and what is read goes on to be the active generation meanwhile.
+    """
+    building = control.where("status = 'building'").select("owner_id", "generation_id")
+    every = chunks.join(building, "owner_id").select("owner_id", "generation_id", "chunk_id", "text")
+    missing = every.join(vectors.select("generation_id", "chunk_id"), ["generation_id", "chunk_id"], "left_anti")
+    made = missing.select("owner_id", "generation_id", "chunk_id", embed(F.col("text")).alias("embedding"))
+    lacking = made.where("embedding is null").select("generation_id").distinct()
+    ready = building.join(lacking, "generation_id", "left_anti").select("generation_id")
+    return vectors.unionByName(made.where("embedding is not null")), swapped(control, ready)
+
+
 def checked_vectors(vectors: DataFrame, dimensions: int, column: str = "embedding") -> DataFrame:
     """vectors; a row of another size fails the job. A null vector is of another size."""
     size = F.coalesce(F.size(column), F.lit(-1))
