@@ -179,15 +179,46 @@ def v4_number(address: Column) -> Column:
     return F.when(address.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), sum((F.element_at(parts, i + 1).cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("long")))
 
 
-def public_v4(address: Column) -> Column:
-    """False for addresses of the special ranges, and for all that is no IPv4 address."""
-    n, blocked = v4_number(address), F.lit(False)
+def _blocked(n: Column) -> Column:
+    found = F.lit(False)
     for block in NOT_PUBLIC:
         base, bits = block.split("/")
         number = sum(int(x) * 256 ** (3 - i) for i, x in enumerate(base.split(".")))
         size = 1 << (32 - int(bits))
-        blocked = blocked | n.between(number // size * size, number // size * size + size - 1)
-    return F.coalesce(~blocked, F.lit(False))
+        found = found | n.between(number // size * size, number // size * size + size - 1)
+    return found
+
+
+def public_v4(address: Column) -> Column:
+    """False for addresses of the special ranges, and for all that is no IPv4 address."""
+    return F.coalesce(~_blocked(v4_number(address)), F.lit(False))
+
+
+def v6_groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers, null for anything else. A dotted tail counts as two groups, a zone is left out."""
+    text = F.lower(F.split_part(address, F.lit("%"), F.lit(1)))
+    tail = F.regexp_extract(text, r":([0-9]+\.[0-9.]+)$", 1)
+    n = v4_number(tail)
+    dotted = F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n % 65536)))
+    text = F.when(tail == "", text).otherwise(dotted)
+    halves = F.split(text, "::", 2)
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    left, right = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    given = F.size(left) + F.size(right)
+    fine = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(F.size(halves) == 2, given <= 7).otherwise(given == 8)
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
+    return F.when(fine, F.transform(every, lambda g: F.conv(g, 16, 10).cast("long")))
+
+
+def public_address(address: Column) -> Column:
+    """Whether an IPv4 or IPv6 address is on the public internet: global unicast but for documentation and 6to4; addresses that hold an IPv4 one (mapped, NAT64) are judged by it."""
+    g = v6_groups(address)
+    at = lambda i: F.get(g, F.lit(i))
+    inner = ~_blocked(at(6) * 65536 + at(7))
+    mapped = (at(0) + at(1) + at(2) + at(3) + at(4) == 0) & (at(5) == 0xFFFF)
+    nat64 = (at(0) == 0x64) & (at(1) == 0xFF9B)
+    unicast = at(0).between(0x2000, 0x3FFF) & ~((at(0) == 0x2001) & (at(1) == 0xDB8)) & (at(0) != 0x2002)
+    return F.coalesce(F.when(v4_number(address).isNotNull(), public_v4(address)).when(mapped | nat64, inner).otherwise(unicast), F.lit(False))
 
 
 def url_error(url: Column, hosts: list[str] | None = None) -> Column:

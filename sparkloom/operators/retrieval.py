@@ -191,5 +191,24 @@ def accumulate(searches: DataFrame) -> DataFrame:
     return searches.groupBy("q_id", "chunk_id").agg(F.max("similarity").alias("similarity"), F.min("search").alias("first_search"))
 
 
+def accumulate_parents(found: DataFrame) -> DataFrame:
+    """found (q_id, chunk_id, similarity, member_ids: a parent's chunks, null or empty for a chunk alone) of several searches, each evidence once: a parent takes in its
+    members, whichever search found them; what is left has the largest similarity that any of it was seen with, best first (place). A parent has the id of its first chunk,
+    which may also come alone, so the two are told apart."""
+    rows = found.withColumn("parent", F.coalesce(F.size("member_ids") > 0, F.lit(False)))
+    inside = rows.where("parent").select("q_id", F.explode("member_ids").alias("chunk_id"), F.col("chunk_id").alias("in_")).groupBy("q_id", "chunk_id").agg(F.min("in_").alias("in_"))
+    rows = rows.join(inside, ["q_id", "chunk_id"], "left").withColumn("of", F.when(F.col("parent"), F.col("chunk_id")).otherwise(F.col("in_")))
+    key = F.struct(F.col("of").isNotNull().alias("parent"), F.coalesce("of", "chunk_id").alias("id"))
+    whole = rows.groupBy("q_id", key.alias("key")).agg(F.max("similarity").alias("similarity"), F.count("*").alias("seen"), F.max_by("member_ids", F.when(F.col("parent"), F.col("similarity"))).alias("member_ids"))
+    out = whole.select("q_id", F.col("key.id").alias("chunk_id"), F.col("key.parent").alias("parent"), "similarity", "seen", "member_ids")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("similarity").desc(), "chunk_id", "parent")))
+
+
+def generation_similarity(pairs: DataFrame, embeddings: DataFrame, generation: str) -> DataFrame:
+    """pairs (q_id, chunk_id, q: a vector) with their cosine similarity in one generation of embeddings (generation_id, chunk_id, embedding); 0 for chunks that it lacks."""
+    mine = embeddings.where(F.col("generation_id") == generation).select("chunk_id", "embedding")
+    return pairs.join(mine, "chunk_id", "left").select("q_id", "chunk_id", F.round(F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), 6).alias("similarity"))
+
+
 def effective_floor(searches: Column, base: float = FLOOR, step: float = 0.02) -> Column:
     return F.round(F.lit(base) + F.lit(step) * F.greatest(F.lit(0), searches - 1), 6)

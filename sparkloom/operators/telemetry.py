@@ -120,6 +120,31 @@ def outcomes(runs: DataFrame, *by: str) -> DataFrame:
     return with_percentiles(found, runs, list(by), {"median_ms": (took, 0.5), "p95_ms": (took, 0.95), "ttft_ms": (first, 0.5)})
 
 
+def outcome_buckets(runs: DataFrame, start: str, seconds: int, n: int) -> DataFrame:
+    """outcomes() of buckets 0 to n - 1 of fixed width from start; empty ones have zero counts and null measures."""
+    number = F.floor((F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.lit(start).cast("timestamp"))) / F.lit(seconds * 1_000_000)).cast("long")
+    found = outcomes(runs.withColumn("bucket", number).where((F.col("bucket") >= 0) & (F.col("bucket") < n)), "bucket")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    counts, measures = ["runs", "answered", "refused", "failed", "tokens"], ["median_ms", "p95_ms", "ttft_ms"]
+    return runs.sparkSession.range(n).withColumnRenamed("id", "bucket").join(found, "bucket", "left").select("bucket", *map(zero, counts), *measures)
+
+
+def endings(runs: DataFrame) -> DataFrame:
+    """How runs (mode, termination) went: `by` mode, of all, and `by` termination, of the agentic ones only, which alone have any; name ('none' for null) and n."""
+    of = lambda df, by: grouped(df.select(F.col(by).alias("name")), "name").select(F.lit(by).alias("by"), "name", "n")
+    return of(runs, "mode").unionAll(of(runs.where("mode = 'agentic'"), "termination"))
+
+
+def cost_summary(spans: DataFrame, prices: DataFrame) -> DataFrame:
+    """A row a model and one for all (model null), most tokens first: tokens, of those priced and unpriced ones, and usd, null where nothing has a price."""
+    used = token_cost(spans, prices).join(prices, "model", "left")
+    priced = F.col("price").isNotNull()
+    sums = [F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.when(priced, F.col("tokens"))), F.lit(0)).alias("priced"), F.coalesce(F.sum(F.when(~priced, F.col("tokens"))), F.lit(0)).alias("unpriced"), F.round(F.sum(F.col("tokens") * F.col("price") / 1e6), 6).alias("usd")]
+    every = used.groupBy("model").agg(*sums).unionByName(used.agg(*sums).where("tokens is not null").withColumn("model", F.lit(None).cast("string")))
+    order = F.struct(F.col("model").isNull().alias("all"), (-F.col("tokens")).alias("most"), "model")
+    return every.orderBy(order)
+
+
 def tail_after(logs: DataFrame, after: int, n: int) -> DataFrame:
     """The next n rows after an id, oldest first."""
     return logs.where(F.col("id") > after).orderBy("id").limit(n)

@@ -302,8 +302,8 @@ m AS (SELECT p_partkey, list_transform(parts, lambda x: CASE WHEN regexp_matches
 SELECT p_partkey, array_to_string(p, '') AS reading, len(list_filter(p, lambda x: x = '[unlabelled]'))::INTEGER AS redacted FROM m""",
     "reply_scores": "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN '0.4,' || (least(p_size, 10) / 10)::DOUBLE END AS scores FROM part",
 }
-ORACLE_SQL["stream_logs"] = "SELECT 'system' AS category, count(*) AS n, max(event_id) AS last_id FROM events"
-# no kind of event matches a pattern of log messages; the stream's rows are counted
+ORACLE_SQL["stream_logs"] = """
+SELECT CASE WHEN event_id % 8 < 6 THEN ['agent', 'inference', 'retrieval', 'ingestion', 'auth', 'settings'][event_id % 8 + 1] WHEN user_id % 2 = 0 THEN 'ingestion' ELSE 'system' END AS category, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1"""
 _CHAIN = ORACLE_SQL["retrieve_chain"].replace("CASE WHEN item_id % 2 = 0 THEN 40 ELSE 60 END AS offered", "20 AS offered").replace("unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang", "'en' AS lang")
 ORACLE_SQL["hybrid_retrieve"] = (
     _CHAIN[: _CHAIN.index("fused AS (")]

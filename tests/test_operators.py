@@ -7,12 +7,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkloom.plans import catalog, control, docs, indexes, more, oracle, rules, rules_sql, texts
+from sparkloom.plans import catalog, control, docs, indexes, more, oracle, rules, rules_sql, texts, views
 from sparkloom.sources import loaders as L
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = catalog.QUERIES | more.QUERIES | rules.QUERIES | texts.QUERIES | indexes.QUERIES | control.QUERIES | docs.QUERIES
-SQL = oracle.ORACLE_SQL | more.ORACLE_SQL | rules_sql.ORACLE_SQL | texts.ORACLE_SQL | indexes.ORACLE_SQL | control.ORACLE_SQL | docs.ORACLE_SQL
+QUERIES = catalog.QUERIES | more.QUERIES | rules.QUERIES | texts.QUERIES | indexes.QUERIES | control.QUERIES | docs.QUERIES | views.QUERIES
+SQL = oracle.ORACLE_SQL | more.ORACLE_SQL | rules_sql.ORACLE_SQL | texts.ORACLE_SQL | indexes.ORACLE_SQL | control.ORACLE_SQL | docs.ORACLE_SQL | views.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
