@@ -194,31 +194,43 @@ def public_v4(address: Column) -> Column:
     return F.coalesce(~_blocked(v4_number(address)), F.lit(False))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def v6_groups(address: Column) -> Column:
     """The eight groups of an IPv6 address as numbers, null for anything else. A dotted tail counts as two groups, a zone is left out."""
-    text = F.lower(F.split_part(address, F.lit("%"), F.lit(1)))
-    tail = F.regexp_extract(text, r":([0-9]+\.[0-9.]+)$", 1)
-    n = v4_number(tail)
-    dotted = F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n % 65536)))
-    text = F.when(tail == "", text).otherwise(dotted)
-    halves = F.split(text, "::", 2)
-    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-    left, right = groups(F.get(halves, F.lit(0))), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    given = F.size(left) + F.size(right)
-    fine = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(F.size(halves) == 2, given <= 7).otherwise(given == 8)
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
-    return F.when(fine, F.transform(every, lambda g: F.conv(g, 16, 10).cast("long")))
+    none = F.array().cast("array<string>")
+    tail = r"^(.*:)([0-9]+\.[0-9.]+)$"
+    hexed = lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n % 65536)))
+    undotted = lambda t: F.when(t.rlike(tail), F.concat(F.regexp_extract(t, tail, 1), bound(v4_number(F.regexp_extract(t, tail, 2)), hexed))).otherwise(t)
+    groups = lambda half: F.when(half == "", none).otherwise(F.split(half, ":"))
+
+    def numbers(sides: Column) -> Column:
+        left, right = sides["left"], sides["right"]
+        given = F.size(left) + F.size(right)
+        fine = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(sides["short"], given <= 7).otherwise(given == 8)
+        every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
+        return F.when(fine, F.transform(every, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    sides = lambda halves: F.struct(groups(F.get(halves, F.lit(0))).alias("left"), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(none).alias("right"), (F.size(halves) == 2).alias("short"))
+    text = bound(F.lower(F.split_part(address, F.lit("%"), F.lit(1))), undotted)
+    return bound(bound(F.split(text, "::", 2), sides), numbers)
 
 
 def public_address(address: Column) -> Column:
     """Whether an IPv4 or IPv6 address is on the public internet: global unicast but for documentation and 6to4; addresses that hold an IPv4 one (mapped, NAT64) are judged by it."""
-    g = v6_groups(address)
-    at = lambda i: F.get(g, F.lit(i))
-    inner = ~_blocked(at(6) * 65536 + at(7))
-    mapped = (at(0) + at(1) + at(2) + at(3) + at(4) == 0) & (at(5) == 0xFFFF)
-    nat64 = (at(0) == 0x64) & (at(1) == 0xFF9B)
-    unicast = at(0).between(0x2000, 0x3FFF) & ~((at(0) == 0x2001) & (at(1) == 0xDB8)) & (at(0) != 0x2002)
-    return F.coalesce(F.when(v4_number(address).isNotNull(), public_v4(address)).when(mapped | nat64, inner).otherwise(unicast), F.lit(False))
+
+    def six(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i))
+        mapped = (at(0) + at(1) + at(2) + at(3) + at(4) == 0) & (at(5) == 0xFFFF)
+        nat64 = (at(0) == 0x64) & (at(1) == 0xFF9B)
+        unicast = at(0).between(0x2000, 0x3FFF) & ~((at(0) == 0x2001) & (at(1) == 0xDB8)) & (at(0) != 0x2002)
+        return F.when(mapped | nat64, bound(at(6) * 65536 + at(7), lambda n: ~_blocked(n))).otherwise(unicast)
+
+    four = bound(v4_number(address), lambda n: F.when(n.isNotNull(), ~_blocked(n)))
+    return F.coalesce(four, bound(v6_groups(address), six), F.lit(False))
 
 
 def url_error(url: Column, hosts: list[str] | None = None) -> Column:
