@@ -208,3 +208,8 @@ def log_filters(query: str, levels: Iterable[str], categories: Iterable[str]) ->
     text = lambda key, most: given.get(key, [""])[0].strip()[:most]
     out = {"levels": listed("levels", levels), "categories": listed("categories", categories), "words": text("q", 200), "request": text("requestId", 100)}
     return {key: value for key, value in out.items() if value}
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text with its keys in order and no spaces, so that equal values have equal texts whatever order they came in; arrays keep theirs, 1 and "1" differ. Null for no JSON."""
+    return F.to_json(F.try_parse_json(text))

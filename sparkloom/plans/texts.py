@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..operators import pages as P
+from ..operators import regions as G
 from ..operators import retrieval as R
 from ..operators import sections as S
 from ..sources import loaders as L
@@ -70,6 +71,25 @@ def normalised_chunks(spark, d):
     return L.element_chunks(normalised_pages(spark, d), 16, 4)
 
 
+def words_on_pages(spark, d):
+    """Every line is a word on its order's page, unlike any other; two lines make a chunk."""
+    word = F.concat(F.lit("w"), (F.col("x") * 7 + F.col("y")).cast("int"), F.lit(" ."), F.col("idx"), F.lit(";"))
+    rows = P.positioned(items(spark, d).withColumn("rotation", F.lit(0.0))).withColumn("str", word)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "str"))), lambda x: x["str"]), "\n")
+    found = rows.groupBy("doc_id", "page", F.floor((F.col("idx") - 1) / 2).cast("int").alias("chunk_index")).agg(text.alias("content"))
+    return rows.select("doc_id", "page", "idx", "str", "box"), found
+
+
+def located_chunks(spark, d):
+    its, found = words_on_pages(spark, d)
+    return G.located(found, its).select("doc_id", "chunk_index", "idx")
+
+
+def chunk_regions(spark, d):
+    its, found = words_on_pages(spark, d)
+    return G.with_boxes(found, its).select("doc_id", "chunk_index", F.size("boxes").alias("regions"), *(F.round(F.col("bbox")[k], 6).alias(k) for k in ("xmin", "ymin", "xmax", "ymax")))
+
+
 def document_pages(spark, d):
     """The parts of a document between form feeds, or its blank lines after each third: here each third paragraph ends a page."""
     parts = F.posexplode(F.split("text", "\n"))
@@ -282,6 +302,7 @@ c AS (SELECT *, 'tail ' || floor((idx - 1) / 2)::INT AS head, 'tail ' || floor(i
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN page = lag(page) OVER (PARTITION BY doc_id ORDER BY idx) THEN 0 ELSE 1 END AS new FROM c)),
 s AS (SELECT *, lag(tail) OVER (PARTITION BY doc_id, run ORDER BY idx) AS before FROM r)
 SELECT doc_id, run::BIGINT AS run, string_agg(CASE WHEN before IS NULL THEN head || chr(10) || chr(10) WHEN before = head THEN chr(10) || chr(10) ELSE chr(10) || chr(10) || head || chr(10) || chr(10) END || text || chr(10) || chr(10) || tail, '' ORDER BY idx) AS content FROM s GROUP BY 1, 2"""
+ORACLE_SQL["located_chunks"] = "SELECT DISTINCT l_orderkey AS doc_id, ((l_linenumber - 1) // 2)::INTEGER AS chunk_index, l_linenumber AS idx FROM lineitem"
 _SENTENCES = """r AS (
   SELECT p_partkey, p_size, [p_name || ' costs 2.' || p_size || '.', ' It is ' || p_type || '! [1]', ' See ' || p_brand || '.[2][3]' || chr(10) || chr(10), 'Is it?"', ' About ' || p_size || ' are left [4].', ' Page 7 says so'] AS s,
     CASE WHEN p_size % 5 > 0 THEN [p_size % 6, 2, 3] ELSE [] END AS bad FROM part)"""
@@ -318,6 +339,6 @@ SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id)::
 QUERIES = {
     f.__name__: f
     for f in (
-        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain, retrieve_parents,
+        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, located_chunks, chunk_regions, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain, retrieve_parents,
     )
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.render import canonical_json
 from ..operators import retrieval as R
 from ..operators import telemetry as O
 from . import rules_sql
@@ -68,6 +69,18 @@ def conversation_view(spark, d):
     return whole.join(scope, "conv_id", "left").select("conv_id", F.size("m").cast("long").alias("messages"), F.array_join("m.role", ",").alias("roles"), F.md5(F.array_join("m.text", "|")).alias("texts_md5"), "bases")
 
 
+def json_keys(spark, d):
+    """Details of events written in two orders meet by their canonical text; a third, with a number as text, meets none of them."""
+    user, kind = F.col("user_id"), F.concat(F.lit('"'), "event_type", F.lit('"'))
+    rows = read(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.lit('{"kind": '), kind, F.lit(', "by": {"user": '), user, F.lit(', "at": [1, 2]}}')).alias("a"), F.concat(F.lit('{"by":{"at":[1,2],"user":'), user, F.lit('},"kind":'), kind, F.lit("}")).alias("b"),
+        F.concat(F.lit('{"by":{"at":[1,2],"user":"'), user, F.lit('"},"kind":'), kind, F.lit("}")).alias("c"),
+    )
+    key = lambda c: rows.select("id", canonical_json(F.col(c)).alias("key"))
+    other = key("b").unionAll(key("c")).groupBy("key").agg(F.count("*").alias("n"))
+    return key("a").join(other, "key").groupBy("key").agg(F.count("*").alias("events"), F.max("n").alias("others"))
+
+
 def image_only(spark, d):
     """Documents (here conversations, a page a turn) whose pages have too few characters on average to be text."""
     return read(spark, d, "conversations").groupBy("conv_id").agg((F.avg(F.length(F.trim(F.substring("text", 1, 60)))) < 50).alias("image_only"))
@@ -103,6 +116,7 @@ SELECT s_suppkey, replace(form, 'x', (s_suppkey % 99 + 1)::VARCHAR) AS address,
     "conversation_view": """
 SELECT conv_id, count(*) AS messages, string_agg(role, ',' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS texts_md5, array_to_string(list_sort(list(DISTINCT (turn % 3)::VARCHAR)), ',') AS bases FROM conversations GROUP BY 1""",
     "image_only": "SELECT conv_id, avg(length(trim(left(text, 60), ' '))) < 50 AS image_only FROM conversations GROUP BY 1",
+    "json_keys": """SELECT '{"by":{"at":[1,2],"user":' || user_id || '},"kind":"' || event_type || '"}' AS key, count(*) AS events, count(*) AS others FROM events GROUP BY user_id, event_type""",
     "detect_heading": r"""
 WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS h FROM documents),
 w AS (SELECT *, regexp_split_to_array(h, '[ \t\n\x0B\f\r]+') AS ws, regexp_replace(h, '[^A-Za-z]', '', 'g') AS letters FROM f)
@@ -110,4 +124,4 @@ SELECT doc_id, CASE WHEN length(h) <= 90 AND NOT regexp_matches(h, '[.!?;:]$') A
   AND (letters = upper(letters) OR (len(ws) <= 12 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]'))) >= ceil(len(ws) / 2))) THEN h END AS heading FROM w""",
 }
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, run_endings, cost_summary, accumulated_parents, generation_similarity, public_addresses, conversation_view, image_only)}
+QUERIES = {f.__name__: f for f in (outcome_buckets, run_endings, cost_summary, accumulated_parents, generation_similarity, public_addresses, conversation_view, image_only, json_keys)}

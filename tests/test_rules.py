@@ -187,3 +187,11 @@ def test_empty_tables(spark):
     assert T.scope(asked, docs).first().mode == "search"
     one = spark.createDataFrame([(5, "Handbook")], "document_id int, title string")
     assert tuple(T.scope(asked, one).first()) == (1, "document", "only-document", 5)
+
+
+def test_canonical_json(spark):
+    from sparkloom.functions.render import canonical_json
+
+    texts = ['{"b": 1, "a": [2, {"d": null, "c": "x"}]}', '{"a":[2,{"c":"x","d":null}],"b":1}', '{"a":[{"c":"x","d":null},2],"b":1}', '{"b":"1","a":[2,{"d":null,"c":"x"}]}', "no json", None, "[]"]
+    got = values(spark, [(t,) for t in texts], canonical_json(F.col("_1")))
+    assert got[0] == got[1] == '{"a":[2,{"c":"x","d":null}],"b":1}' and len(set(got[1:5])) == 4 and got[4:6] == [None, None] and got[6] == "[]"
