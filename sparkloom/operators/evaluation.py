@@ -54,3 +54,11 @@ def leakage(results: DataFrame, owners: DataFrame) -> DataFrame:
     """Results (q_id, scope, chunk_id) whose chunk (chunk_id, scope) belongs to another scope, counted by scope asked."""
     own = owners.select("chunk_id", F.col("scope").alias("owner"))
     return results.join(own, "chunk_id").groupBy("scope").agg(F.count("*").alias("results"), F.count(F.when(F.col("owner") != F.col("scope"), 1)).alias("leaked"))
+
+
+def complement(found: DataFrame, right: DataFrame, owners: DataFrame) -> DataFrame:
+    """Of searches outside the right scope (found: q_id, chunk_id, similarity): per question how many chunks were found, how many of them belong to the right scope all the
+    same (right: q_id, right; owners: chunk_id, scope), and the best similarity. A leak is a fault of the scope filter."""
+    rows = found.join(right, "q_id").join(owners, "chunk_id", "left")
+    leaked = F.count(F.when(F.col("scope").eqNullSafe(F.col("right")), 1))
+    return rows.groupBy("q_id").agg(F.count("*").alias("found"), leaked.alias("leaked"), F.max("similarity").alias("best"))

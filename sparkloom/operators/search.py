@@ -41,6 +41,15 @@ def recent_group(updated: Column, today: Column) -> Column:
     return F.when(age <= 0, "Today").when(age == 1, "Yesterday").when(age <= 7, "Previous 7 days").when(age.isNotNull(), "Older")
 
 
+def recents(conversations: DataFrame, today: Column, most: int = 50) -> DataFrame:
+    """The newest conversations (owner_id, conv_id, updated) of each owner under their labels: label_place (labels from the newest), place in it, conv_id."""
+    newest = Window.partitionBy("owner_id").orderBy(F.col("updated").desc(), "conv_id")
+    rows = conversations.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most).withColumn("label", recent_group(F.col("updated"), today))
+    labels = F.array(*map(F.lit, ("Today", "Yesterday", "Previous 7 days", "Older")))
+    place = F.row_number().over(Window.partitionBy("owner_id", "label").orderBy("_r"))
+    return rows.select("owner_id", F.array_position(labels, F.col("label")).cast("int").alias("label_place"), "label", place.alias("place"), "conv_id")
+
+
 def timings(messages: DataFrame) -> DataFrame:
     """messages (started, first_token, finished in ms, tokens) with ttft_ms, total_ms, tokens_per_second (one decimal; null without tokens,
     a first token or any time between)."""
@@ -63,3 +72,8 @@ def file_name(name: Column) -> Column:
     """A name without path separators and control characters: its last 200 characters."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(name, r"[/\\]", "_"), r"[\x00-\x1F\x7F]", ""))
     return F.when(clean == "", "file").otherwise(F.right(clean, F.lit(200)))
+
+
+def bucket_key(owner: Column, random: Column, name: Column) -> Column:
+    """Where an upload is stored: under its owner, told apart by a random part (a UUID)."""
+    return F.concat(owner.cast("string"), F.lit("/"), random, F.lit("-"), file_name(name))

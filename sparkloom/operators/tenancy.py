@@ -51,6 +51,24 @@ def scope_links(conversations: DataFrame, bases: DataFrame, owner: str) -> DataF
     return conversations.join(bases, owner).select("conv_id", "base_id").dropDuplicates()
 
 
+def permitted(asked: DataFrame, owned: DataFrame, requested: DataFrame) -> DataFrame:
+    """(q_id, base_id) that each question (q_id, owner_id) may search: what it requests of the owner's bases, all of them where it requests none at all.
+    requested: q_id, base_id; a request for another's base gives nothing, not everything."""
+    own = asked.join(owned, "owner_id").select("q_id", "base_id")
+    named = own.join(requested.distinct(), ["q_id", "base_id"], "left_semi")
+    return named.unionByName(own.join(requested.select("q_id").distinct(), "q_id", "left_anti"))
+
+
+def stored_scope(conversations: DataFrame, bridge: DataFrame, owned: DataFrame) -> DataFrame:
+    """(conv_id, base_id) of the bases that a conversation (conv_id, owner_id) was given (bridge: conv_id, base_id) and its owner still has."""
+    return conversations.join(bridge.distinct(), "conv_id").join(owned, ["owner_id", "base_id"], "left_semi").select("conv_id", "base_id")
+
+
+def outline(chunks: DataFrame, owner, bases: list) -> DataFrame:
+    """chunk_id, document_id, chunk_index, page, heading of an owner's chunks in these bases: places only, the texts aren't read."""
+    return chunks.where((F.col("owner_id") == owner) & F.col("base_id").isin(bases)).select("chunk_id", "document_id", "chunk_index", "page", "heading")
+
+
 def attached(values: DataFrame, chunks: DataFrame, present: DataFrame) -> DataFrame:
     """New vectors with the owner and base of their chunk; those of unknown chunks, and those that are there already, are left out. Running it again adds nothing."""
     new = values.join(present.select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"])

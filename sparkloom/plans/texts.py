@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..operators import evaluation as E
 from ..operators import pages as P
 from ..operators import regions as G
 from ..operators import retrieval as R
 from ..operators import sections as S
 from ..sources import loaders as L
-from .catalog import chunks, read, vectors
+from .catalog import chunks, questions, read, vectors
 
 
 def lines(spark, d):
@@ -107,7 +108,7 @@ def html_chunks(spark, d):
 
 
 def byte_formats(spark, d):
-    data = F.when(F.col("page_id") % 5 == 0, F.concat(F.encode(F.lit("%PDF-1.7"), "UTF-8"), F.encode("url", "UTF-8"))).when(F.col("page_id") % 5 == 1, F.concat(F.unhex(F.lit("504B0304")), F.encode("url", "UTF-8"))).when(F.col("page_id") % 5 == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("url", "UTF-8"))).when(F.col("page_id") % 5 == 3, F.concat(F.unhex(F.lit("00")), F.encode("url", "UTF-8"))).otherwise(F.encode("html", "UTF-8"))
+    data = F.when(F.col("page_id") % 5 == 0, F.concat(F.encode(F.lit("%PDF-1.7"), "UTF-8"), F.encode("url", "UTF-8"))).when(F.col("page_id") % 5 == 1, F.concat(F.unhex(F.lit("504B0304")), F.encode(F.when(F.col("page_id") % 2 == 0, "word/document.xml").otherwise("other.xml"), "UTF-8"), F.encode("url", "UTF-8"))).when(F.col("page_id") % 5 == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("url", "UTF-8"))).when(F.col("page_id") % 5 == 3, F.concat(F.unhex(F.lit("00")), F.encode("url", "UTF-8"))).otherwise(F.encode("html", "UTF-8"))
     rows = read(spark, d, "pages").select("page_id", data.alias("data"))
     return rows.select("page_id", L.format_of(F.col("data")).alias("format"), F.length(L.as_text(F.col("data"))).cast("long").alias("chars"))
 
@@ -182,6 +183,15 @@ def retrieve_parents(spark, d):
     return rows.select("q_id", "place", "chunk_id", "members", F.md5("content").alias("content_md5"), "kind", "heading", F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("member_ids"), sides.alias("boxes"))
 
 
+def complement_scopes(spark, d):
+    """What each question finds in all scopes but the right one, and how much of it belongs to that."""
+    texts, held = chunks(spark, d), vectors(spark, d)
+    asked_ = questions(spark, d).withColumn("right", F.col("scope"))
+    others = texts.select("scope").distinct()
+    out = R.retrieve(asked_.drop("scope").crossJoin(F.broadcast(others)).where("scope <> right"), texts, held, floor=0.0)  # a handful of scopes
+    return E.complement(out, asked_.select("q_id", "right"), texts.select("chunk_id", "scope"))
+
+
 _LINES = """l AS (
   SELECT l_orderkey AS doc_id, CASE WHEN max(l_linestatus) = 'O' THEN 1 ELSE 2 END AS page, l_linenumber AS idx, CASE WHEN max(l_suppkey) % 11 > 0 THEN 7.5::DOUBLE + max(l_suppkey) % 4 END AS size,
     CASE WHEN max(l_suppkey) % 13 = 0 THEN 'Figure 2: ' ELSE '' END || 'Line ' || CASE WHEN max(l_suppkey) % 3 = 0 THEN 'of 7' ELSE max(l_returnflag) || ' ' || max(l_partkey) END AS text,
@@ -224,8 +234,8 @@ WITH {_ITEMS},
 n AS (SELECT doc_id, (x + w / 2) / 600 - lag((x + w / 2) / 600) OVER (PARTITION BY doc_id ORDER BY (x + w / 2) / 600) AS gap FROM i WHERE str = 'word' AND w / 600 <= 0.6)
 SELECT doc_id, 1 AS page, 1 + coalesce(c, 0) AS columns, covered FROM (SELECT doc_id, least(1.0, round(sum(w * h) / 480000, 9)) AS covered FROM i GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE gap > 0.15) AS c FROM n GROUP BY 1) USING (doc_id)""",
     "byte_formats": r"""
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'markdown' WHEN 3 THEN NULL ELSE CASE WHEN regexp_matches(left(html, 4096), '(?i)<(!doctype html|html|head|body)[\s>]') THEN 'html' ELSE 'markdown' END END AS format,
-  CASE page_id % 5 WHEN 0 THEN 8 + length(url) WHEN 1 THEN 4 + length(url) WHEN 2 THEN length(url) WHEN 3 THEN NULL ELSE length(html) END AS chars FROM pages""",
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 'docx' ELSE 'markdown' END WHEN 2 THEN 'markdown' WHEN 3 THEN NULL ELSE CASE WHEN regexp_matches(left(html, 4096), '(?i)<(!doctype html|html|head|body)[\s>]') THEN 'html' ELSE 'markdown' END END AS format,
+  CASE page_id % 5 WHEN 0 THEN 8 + length(url) WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 21 ELSE 13 END + length(url) WHEN 2 THEN length(url) WHEN 3 THEN NULL ELSE length(html) END AS chars FROM pages""",
     "retrieve_chain": """
 WITH q AS (SELECT item_id AS q_id, CASE WHEN item_id % 2 = 0 THEN 40 ELSE 60 END AS offered, unnest(CASE WHEN item_id % 2 = 0 THEN ['en', 'de'] ELSE ['fr', 'es', 'en'] END) AS lang, text, embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
 v AS (
@@ -336,9 +346,16 @@ seen AS (SELECT pool.*, coalesce((SELECT max(similarity) FROM v WHERE v.q_id = p
 SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id)::INTEGER AS rank, chunk_id, similarity, rrf, source FROM seen WHERE similarity >= 0 QUALIFY rank <= 8"""
 )
 
+# the questions in every scope but their own
+ORACLE_SQL["complement_scopes"] = (
+    "WITH f AS ("
+    + ORACLE_SQL["hybrid_retrieve"].replace("'en' AS lang", "unnest(['de', 'es', 'fr']) AS lang")
+    + ") SELECT f.q_id, count(*) AS found, count(*) FILTER (WHERE documents.lang = 'en') AS leaked, max(similarity) AS best FROM f JOIN documents ON doc_id = chunk_id GROUP BY 1"
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
-        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, located_chunks, chunk_regions, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain, retrieve_parents,
+        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, located_chunks, chunk_regions, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain, retrieve_parents, complement_scopes,
     )
 }

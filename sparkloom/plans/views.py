@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.render import canonical_json
 from ..operators import retrieval as R
+from ..operators import search as D
 from ..operators import telemetry as O
+from ..operators import tenancy as T
 from . import rules_sql
 from .catalog import START, questions, read, spans, vectors
 
@@ -81,6 +83,43 @@ def json_keys(spark, d):
     return key("a").join(other, "key").groupBy("key").agg(F.count("*").alias("events"), F.max("n").alias("others"))
 
 
+def permitted_bases(spark, d):
+    """Questions of five owners: every third requests nothing, every fourth a base that isn't its owner's besides one that is."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), (F.col("item_id") % 5).cast("int").alias("owner_id"))
+    owned = read(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("owner_id"), F.col("n_nationkey").alias("base_id"))
+    requested = asked.where("q_id % 3 > 0").select("q_id", F.explode(F.array(F.col("q_id") % 25, (F.col("q_id") + 1) % 25, F.when(F.col("q_id") % 4 == 0, 99).otherwise((F.col("q_id") + 7) % 25))).alias("base_id"))
+    return T.permitted(asked, owned.withColumn("base_id", F.col("base_id").cast("int")), requested.withColumn("base_id", F.col("base_id").cast("int")))
+
+
+def bridged_scope(spark, d):
+    talks = read(spark, d, "conversations").select("conv_id", (F.col("conv_id") % 5).cast("int").alias("owner_id")).distinct()
+    bridge = read(spark, d, "conversations").select("conv_id", ((F.col("conv_id") + F.col("turn")) % 25).cast("int").alias("base_id"))
+    owned = read(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("owner_id"), F.col("n_nationkey").cast("int").alias("base_id"))
+    return T.stored_scope(talks, bridge, owned)
+
+
+def document_outline(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_index"), (F.col("n_chars") % 9).alias("page"), F.substring("text", 1, 9).alias("heading"), F.col("lang").alias("owner_id"), F.col("source").alias("base_id"))
+    return T.outline(docs, "en", ["src1", "src2", "src3"])
+
+
+def recent_conversations(spark, d):
+    talks = read(spark, d, "conversations").select("conv_id").distinct().select((F.col("conv_id") % 2).alias("owner_id"), "conv_id", F.date_sub(F.lit("2024-05-01").cast("date"), (F.col("conv_id") * 7 % 20).cast("int")).cast("timestamp_ntz").alias("updated"))
+    return D.recents(talks, F.lit("2024-05-01").cast("date"))
+
+
+def bucket_keys(spark, d):
+    random = F.concat_ws("-", F.substring(F.md5("p_name"), 1, 8), F.substring(F.md5("p_name"), 9, 4))
+    return read(spark, d, "part").select("p_partkey", D.bucket_key(F.col("p_size"), random, F.concat(F.lit("a/"), "p_type")).alias("key"))
+
+
+def span_errors(spark, d):
+    """Fields of the details, which are JSON text: as text, as a number, null where they lack it."""
+    made = F.when(F.col("event_type") == "error", F.concat(F.lit('{"error": "bad \\"'), "user_id", F.lit('\\"", "step": {"n": '), F.col("event_id") % 9, F.lit("}}"))).otherwise(F.concat(F.lit('{"step": {"n": "'), F.col("user_id"), F.lit('"}}')))
+    field = lambda path: F.get_json_object(made, path)
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), field("$.error").alias("error"), field("$.step.n").cast("long").alias("n"))
+
+
 def image_only(spark, d):
     """Documents (here conversations, a page a turn) whose pages have too few characters on average to be text."""
     return read(spark, d, "conversations").groupBy("conv_id").agg((F.avg(F.length(F.trim(F.substring("text", 1, 60)))) < 50).alias("image_only"))
@@ -117,6 +156,17 @@ SELECT s_suppkey, replace(form, 'x', (s_suppkey % 99 + 1)::VARCHAR) AS address,
 SELECT conv_id, count(*) AS messages, string_agg(role, ',' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS texts_md5, array_to_string(list_sort(list(DISTINCT (turn % 3)::VARCHAR)), ',') AS bases FROM conversations GROUP BY 1""",
     "image_only": "SELECT conv_id, avg(length(trim(left(text, 60), ' '))) < 50 AS image_only FROM conversations GROUP BY 1",
     "json_keys": """SELECT '{"by":{"at":[1,2],"user":' || user_id || '},"kind":"' || event_type || '"}' AS key, count(*) AS events, count(*) AS others FROM events GROUP BY user_id, event_type""",
+    "permitted_bases": """
+WITH a AS (SELECT item_id AS q, (item_id % 5)::INTEGER AS o FROM benchmark), w AS (SELECT a.q, n_nationkey::INTEGER AS b FROM a JOIN nation ON n_regionkey = o)
+SELECT q AS q_id, b AS base_id FROM w WHERE q % 3 = 0 OR b IN (q % 25, (q + 1) % 25, CASE WHEN q % 4 = 0 THEN 99 ELSE (q + 7) % 25 END)""",
+    "bridged_scope": "SELECT DISTINCT conv_id, n_nationkey::INTEGER AS base_id FROM conversations JOIN nation ON n_nationkey = (conv_id + turn) % 25 AND n_regionkey = conv_id % 5",
+    "document_outline": "SELECT doc_id AS chunk_id, source AS document_id, doc_id AS chunk_index, n_chars % 9 AS page, left(text, 9) AS heading FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')",
+    "recent_conversations": """
+WITH c AS (SELECT DISTINCT conv_id, conv_id % 2 AS o, conv_id * 7 % 20 AS age FROM conversations), r AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY o ORDER BY age, conv_id) <= 50),
+l AS (SELECT *, CASE WHEN age = 0 THEN 1 WHEN age = 1 THEN 2 WHEN age <= 7 THEN 3 ELSE 4 END AS k FROM r)
+SELECT o AS owner_id, k::INTEGER AS label_place, ['Today', 'Yesterday', 'Previous 7 days', 'Older'][k] AS label, row_number() OVER (PARTITION BY o, k ORDER BY age, conv_id)::INTEGER AS place, conv_id FROM l""",
+    "bucket_keys": "SELECT p_partkey, p_size || '/' || left(md5(p_name), 8) || '-' || substr(md5(p_name), 9, 4) || '-a_' || p_type AS key FROM part",
+    "span_errors": """SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'bad "' || user_id || '"' END AS error, CASE WHEN event_type = 'error' THEN event_id % 9 ELSE user_id END AS n FROM events""",
     "detect_heading": r"""
 WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS h FROM documents),
 w AS (SELECT *, regexp_split_to_array(h, '[ \t\n\x0B\f\r]+') AS ws, regexp_replace(h, '[^A-Za-z]', '', 'g') AS letters FROM f)
@@ -124,4 +174,4 @@ SELECT doc_id, CASE WHEN length(h) <= 90 AND NOT regexp_matches(h, '[.!?;:]$') A
   AND (letters = upper(letters) OR (len(ws) <= 12 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]'))) >= ceil(len(ws) / 2))) THEN h END AS heading FROM w""",
 }
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, run_endings, cost_summary, accumulated_parents, generation_similarity, public_addresses, conversation_view, image_only, json_keys)}
+QUERIES = {f.__name__: f for f in (outcome_buckets, run_endings, cost_summary, accumulated_parents, generation_similarity, public_addresses, conversation_view, image_only, json_keys, permitted_bases, bridged_scope, document_outline, recent_conversations, bucket_keys, span_errors)}

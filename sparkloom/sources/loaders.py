@@ -295,8 +295,9 @@ def as_text(data):
 
 
 def format_of(data, name=None):
-    """The format of bytes by their content: PDF, DOCX, HTML, else Markdown for text, else null (also for null)."""
+    """The format of bytes by their content: PDF, DOCX (an archive that names word/document.xml), HTML, else Markdown for text, else null (also for null)."""
+    word = F.decode(data, "ISO-8859-1").contains("word/document.xml")
     head = F.decode(F.substring(data, 1, 4096), "ISO-8859-1")
     return (
-        F.when(head.startswith("%PDF-"), "pdf").when(head.startswith("PK\x03\x04"), "docx").when(head.rlike(r"(?i)<(!doctype html|html|head|body)[\s>]"), "html").when(~head.contains("\x00"), "markdown")
+        F.when(head.startswith("%PDF-"), "pdf").when(head.startswith("PK\x03\x04") & word, "docx").when(head.rlike(r"(?i)<(!doctype html|html|head|body)[\s>]"), "html").when(~head.contains("\x00"), "markdown")
     )
