@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import rules
+from ..operators import drawings as W
 from ..operators import evaluation as E
 from ..operators import pages as P
 from ..operators import regions as G
@@ -91,6 +93,29 @@ def chunk_regions(spark, d):
     return G.with_boxes(found, its).select("doc_id", "chunk_index", F.size("boxes").alias("regions"), *(F.round(F.col("bbox")[k], 6).alias(k) for k in ("xmin", "ymin", "xmax", "ymax")))
 
 
+def drawing_ops(spark, d):
+    """Seven operators at most on an order's page: kept and restored matrices, pictures, rules, frames and small paths."""
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_suppkey", "l_partkey")))
+    pick = lambda n, *of: F.element_at(F.array(*map(F.lit, of)), (n + 1).cast("int"))
+    op = pick(F.col("l_suppkey") % 9, "save", "transform", "restore", "constructPath", "rawFillPath", "constructPath", "paintImageXObject", "form-begin", "shadingFill")
+    k = F.col("l_partkey") % 3
+    matrix = F.when(k == 0, F.array(*map(F.lit, (0.0, 1.0, -1.0, 0.0, 600.0, 0.0)))).when(k == 1, F.array(*map(F.lit, (2.0, 0.0, 0.0, 2.0, 5.0, 5.0))))
+    b = F.col("l_partkey") % 4
+    bounds = F.when(b == 0, F.array(*map(F.lit, (0.0, 5.0, 500.0, 6.0)))).when(b == 1, F.array(*map(F.lit, (10.0, 10.0, 790.0, 590.0)))).when(b == 2, F.array(*map(F.lit, (5.0, 0.0, 6.0, 500.0))))
+    return rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("seq"), op.alias("op"), matrix.alias("matrix"), bounds.alias("bounds"))
+
+
+def drawing_signals(spark, d):
+    return W.drawing_signals(drawing_ops(spark, d), F.lit(600.0), F.lit(800.0))
+
+
+def page_signals(spark, d):
+    """All that a page's route goes by, and the route."""
+    words = P.text_signals(items(spark, d), 600.0, 800.0).join(items(spark, d).groupBy("doc_id", "page").agg(F.count(F.when(F.trim("str") != "", 1)).alias("items"), F.sum(F.length(F.trim("str"))).cast("long").alias("chars")), ["doc_id", "page"])
+    rows = words.join(drawing_signals(spark, d), ["doc_id", "page"], "left").fillna(0, ["images", "paths"])
+    return rows.withColumn("route", rules.page_route(F.col("chars"), F.col("columns"), F.col("items"), F.col("covered"), F.col("images"), F.col("paths")))
+
+
 def document_pages(spark, d):
     """The parts of a document between form feeds, or its blank lines after each third: here each third paragraph ends a page."""
     parts = F.posexplode(F.split("text", "\n"))
@@ -346,6 +371,29 @@ seen AS (SELECT pool.*, coalesce((SELECT max(similarity) FROM v WHERE v.q_id = p
 SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY rrf DESC, chunk_id)::INTEGER AS rank, chunk_id, similarity, rrf, source FROM seen WHERE similarity >= 0 QUALIFY rank <= 8"""
 )
 
+_MACHINE = """RECURSIVE d AS (SELECT l_orderkey AS k, l_linenumber AS l, max(l_suppkey) AS s, max(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+o AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY l) AS n, ['save', 'transform', 'restore', 'constructPath', 'rawFillPath', 'constructPath', 'paintImageXObject', 'form-begin', 'shadingFill'][s % 9 + 1] AS op,
+    CASE p % 3 WHEN 0 THEN [0, 1, -1, 0, 600, 0]::DOUBLE[] WHEN 1 THEN [2, 0, 0, 2, 5, 5]::DOUBLE[] END AS t, CASE p % 4 WHEN 0 THEN [0, 5, 500, 6]::DOUBLE[] WHEN 1 THEN [10, 10, 790, 590]::DOUBLE[] WHEN 2 THEN [5, 0, 6, 500]::DOUBLE[] END AS b FROM d),
+m AS (
+  SELECT DISTINCT k, 0::BIGINT AS n, [1, 0, 0, 1, 0, 0]::DOUBLE[] AS c, []::DOUBLE[][] AS st, 0 AS images, 0 AS paths FROM o
+  UNION ALL
+  SELECT k, n, CASE WHEN op = 'restore' THEN coalesce(st[len(st)], [1, 0, 0, 1, 0, 0]::DOUBLE[]) WHEN op IN ('transform', 'form-begin') AND t IS NOT NULL
+      THEN [t[1] * c[1] + t[2] * c[3], t[1] * c[2] + t[2] * c[4], t[3] * c[1] + t[4] * c[3], t[3] * c[2] + t[4] * c[4], t[5] * c[1] + t[6] * c[3] + c[5], t[5] * c[2] + t[6] * c[4] + c[6]] ELSE c END,
+    CASE WHEN op = 'restore' THEN st[:greatest(len(st) - 1, 0)] WHEN op IN ('save', 'form-begin') THEN list_append(st, c) ELSE st END, images + (op = 'paintImageXObject')::INT,
+    paths + (op = 'shadingFill' OR op IN ('constructPath', 'rawFillPath') AND NOT coalesce(w >= 0.6::DOUBLE AND h <= 0.01::DOUBLE OR w >= 0.8::DOUBLE AND h >= 0.8::DOUBLE, false))::INT
+  FROM (
+    SELECT o.*, m.c, m.st, m.images, m.paths, (greatest(c[1] * b[1] + c[3] * b[2], c[1] * b[3] + c[3] * b[2], c[1] * b[1] + c[3] * b[4], c[1] * b[3] + c[3] * b[4]) - least(c[1] * b[1] + c[3] * b[2], c[1] * b[3] + c[3] * b[2], c[1] * b[1] + c[3] * b[4], c[1] * b[3] + c[3] * b[4])) / 600 AS w,
+      (greatest(c[2] * b[1] + c[4] * b[2], c[2] * b[3] + c[4] * b[2], c[2] * b[1] + c[4] * b[4], c[2] * b[3] + c[4] * b[4]) - least(c[2] * b[1] + c[4] * b[2], c[2] * b[3] + c[4] * b[2], c[2] * b[1] + c[4] * b[4], c[2] * b[3] + c[4] * b[4])) / 800 AS h
+    FROM m JOIN o ON o.k = m.k AND o.n = m.n + 1)),
+w AS (SELECT k AS doc_id, images, paths FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1)"""
+ORACLE_SQL["drawing_signals"] = f"WITH {_MACHINE} SELECT doc_id, 1 AS page, images::INTEGER AS images, paths::INTEGER AS paths FROM w"
+ORACLE_SQL["page_signals"] = f"""
+WITH {_MACHINE}, x AS ({ORACLE_SQL["text_signals"]}),
+i AS (SELECT l_orderkey AS doc_id, count(*) FILTER (WHERE s % 10 > 0) AS items, sum(CASE WHEN s % 10 > 0 THEN 4 ELSE 0 END)::BIGINT AS chars FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2) GROUP BY 1)
+SELECT x.doc_id, x.page, columns, covered, items, chars, images::INTEGER AS images, paths::INTEGER AS paths,
+  CASE WHEN chars < 60 THEN 'no-text' WHEN columns >= 2 OR covered > 0 AND items / (covered * 100) >= 10 THEN 'structured' WHEN images >= 1 OR paths >= 6 THEN 'image-heavy' ELSE 'clean-text' END AS route
+FROM x JOIN i USING (doc_id) JOIN w USING (doc_id)"""
 # the questions in every scope but their own
 ORACLE_SQL["complement_scopes"] = (
     "WITH f AS ("
@@ -356,6 +404,6 @@ ORACLE_SQL["complement_scopes"] = (
 QUERIES = {
     f.__name__: f
     for f in (
-        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, located_chunks, chunk_regions, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain, retrieve_parents, complement_scopes,
+        body_sizes, classified_lines, layout_elements, positioned_items, text_signals, normalised_pages, normalised_chunks, located_chunks, chunk_regions, drawing_signals, page_signals, page_chunks, html_chunks, byte_formats, answer_sentences, verifier_requests, stripped_answers, unlabelled_numbers, reply_scores, merged_sections, retrieve_chain, retrieve_parents, complement_scopes,
     )
 }
