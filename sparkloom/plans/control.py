@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stores as T
+from ..sources.shared import prune, stored
 from ..streaming import events as V
 from ..streaming import leases as L
 from .catalog import read
@@ -46,6 +47,15 @@ def reindexed_generations(spark, d):
     return after.join(vectors.groupBy("generation_id").agg(F.count("*").alias("vectors")), "generation_id", "left").select("owner_id", "generation_id", "status", "vectors")
 
 
+def pruned_logs(spark, d):
+    """A log table by day after its hourly prune: what is left of each day."""
+    logs = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("level"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    held = stored(logs, "logs", "day")
+    prune(held, "day", "2024-01-16")
+    left = spark.read.schema(held.schema).parquet(held.stored_at)
+    return left.groupBy("day").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
 _LEASES = f"""WITH RECURSIVE r AS (
   SELECT user_id AS key, event_id AS id, epoch_us(ts) AS t, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail' ELSE 'recovery' END AS kind, event_id % 3 AS worker,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL),
@@ -65,10 +75,11 @@ ORACLE_SQL = {
     "recovery_sweep": """
 WITH d AS (SELECT o_orderkey AS k, o_orderkey % 5 AS s, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey * 7 % 40 END AS claimed, o_orderkey * 3 % 40 AS updated FROM orders)
 SELECT k AS document_id, CASE WHEN k % 4 >= 3 THEN 'abandon' ELSE 'resume' END AS action FROM d WHERE s < 3 AND (claimed IS NULL OR claimed > 10) AND updated > 1 ORDER BY updated DESC, k LIMIT 10""",
+    "pruned_logs": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(event_id) AS last_id FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-16' GROUP BY 1",
     "reindexed_generations": """
 WITH l AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE lang = 'fr' AND doc_id % 50 = 7 AND doc_id % 3 <> 0) AS bad FROM documents GROUP BY 1)
 SELECT lang AS owner_id, lang || '-active' AS generation_id, CASE WHEN bad = 0 THEN 'retired' ELSE 'active' END AS status, n AS vectors FROM l
 UNION ALL SELECT lang, lang || '-building', CASE WHEN bad = 0 THEN 'active' ELSE 'building' END, n - bad FROM l""",
 }
 
-QUERIES = {f.__name__: f for f in (stream_leases, batch_leases, recovery_sweep, reindexed_generations)}
+QUERIES = {f.__name__: f for f in (stream_leases, batch_leases, recovery_sweep, reindexed_generations, pruned_logs)}

@@ -33,3 +33,15 @@ def forget(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def prune(df: DataFrame, column: str, before: str) -> int:
+    """Deletes the partitions of a stored table (by one column, dates as yyyy-mm-dd) that are older than `before`; rows without a date stay. How many went.
+
+    Whole folders go, nothing is read or written again; run again, it finds none. Only the folders' names pass the driver.
+    """
+    spark = df.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [f.getPath() for f in fs.listStatus(root) if f.isDirectory() and (day := f.getPath().getName().removeprefix(f"{column}="))[:1].isdigit() and day < before]
+    return sum(bool(fs.delete(path, True)) for path in gone)

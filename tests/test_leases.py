@@ -51,3 +51,12 @@ def test_reindex_twice_and_in_parts(spark):
     assert state(twice[1]) == {"old-o": "retired", "new-o": "active", "old-p": "retired", "new-p": "active"} and twice[0].count() == 3
     again = stores.reindexed(chunks.fillna("b", "text"), *twice, embed)
     assert again[0].count() == 3 and state(again[1]) == state(twice[1])
+
+
+def test_prune_takes_whole_days_and_runs_twice(spark):
+    from sparkloom.sources.shared import prune, stored
+
+    rows = [(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-03"), (4, None)]
+    held = stored(spark.createDataFrame(rows, "id int, day string"), "prune-test", "day")
+    assert prune(held, "day", "2024-01-03") == 2 and prune(held, "day", "2024-01-03") == 0
+    assert sorted(r.id for r in spark.read.schema(held.schema).parquet(held.stored_at).collect()) == [3, 4]
