@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import details, rules
 from ..functions.render import canonical_json
 from ..operators import retrieval as R
 from ..operators import search as D
@@ -120,6 +120,14 @@ def span_errors(spark, d):
     return read(spark, d, "events").select(F.col("event_id").alias("id"), field("$.error").alias("error"), field("$.step.n").cast("long").alias("n"))
 
 
+def redacted_details(spark, d):
+    """Secrets by name and by look, in nested details."""
+    made = F.concat(
+        F.lit('{"user": '), "user_id", F.lit(', "api_key": "abc", "note": "with Bearer abcdefgh'), "event_id", F.lit('", "deep": [[[[[[["x"]]]]]]], "token": 5, "password": null, "nested": {"session_token": ["a"], "keyboard": "ok", "key": "k"}, "many": ['), F.repeat(F.lit("1,"), 101), F.lit("1]}")
+    )
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), details.redacted_details(F.when(F.col("event_id") % 10 > 0, made).otherwise(F.lit("no json"))).alias("details"))
+
+
 def image_only(spark, d):
     """Documents (here conversations, a page a turn) whose pages have too few characters on average to be text."""
     return read(spark, d, "conversations").groupBy("conv_id").agg((F.avg(F.length(F.trim(F.substring("text", 1, 60)))) < 50).alias("image_only"))
@@ -167,6 +175,9 @@ l AS (SELECT *, CASE WHEN age = 0 THEN 1 WHEN age = 1 THEN 2 WHEN age <= 7 THEN
 SELECT o AS owner_id, k::INTEGER AS label_place, ['Today', 'Yesterday', 'Previous 7 days', 'Older'][k] AS label, row_number() OVER (PARTITION BY o, k ORDER BY age, conv_id)::INTEGER AS place, conv_id FROM l""",
     "bucket_keys": "SELECT p_partkey, p_size || '/' || left(md5(p_name), 8) || '-' || substr(md5(p_name), 9, 4) || '-a_' || p_type AS key FROM part",
     "span_errors": """SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'bad "' || user_id || '"' END AS error, CASE WHEN event_type = 'error' THEN event_id % 9 ELSE user_id END AS n FROM events""",
+    "redacted_details": """
+SELECT event_id AS id, CASE WHEN event_id % 10 > 0 THEN '{"user":' || user_id || ',"api_key":"[redacted]","note":"with [redacted]","deep":[[[[["[too deep]"]]]]],"token":5,"password":null,"nested":{"session_token":"[redacted]","keyboard":"ok","key":"[redacted]"},"many":['
+  || repeat('1,', 100) || '"… 2 more"]}' END AS details FROM events""",
     "detect_heading": r"""
 WITH f AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS h FROM documents),
 w AS (SELECT *, regexp_split_to_array(h, '[ \t\n\x0B\f\r]+') AS ws, regexp_replace(h, '[^A-Za-z]', '', 'g') AS letters FROM f)
@@ -174,4 +185,4 @@ SELECT doc_id, CASE WHEN length(h) <= 90 AND NOT regexp_matches(h, '[.!?;:]$') A
   AND (letters = upper(letters) OR (len(ws) <= 12 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]'))) >= ceil(len(ws) / 2))) THEN h END AS heading FROM w""",
 }
 
-QUERIES = {f.__name__: f for f in (outcome_buckets, run_endings, cost_summary, accumulated_parents, generation_similarity, public_addresses, conversation_view, image_only, json_keys, permitted_bases, bridged_scope, document_outline, recent_conversations, bucket_keys, span_errors)}
+QUERIES = {f.__name__: f for f in (outcome_buckets, run_endings, cost_summary, accumulated_parents, generation_similarity, public_addresses, conversation_view, image_only, json_keys, permitted_bases, bridged_scope, document_outline, recent_conversations, bucket_keys, span_errors, redacted_details)}

@@ -195,3 +195,15 @@ def test_canonical_json(spark):
     texts = ['{"b": 1, "a": [2, {"d": null, "c": "x"}]}', '{"a":[2,{"c":"x","d":null}],"b":1}', '{"a":[{"c":"x","d":null},2],"b":1}', '{"b":"1","a":[2,{"d":null,"c":"x"}]}', "no json", None, "[]"]
     got = values(spark, [(t,) for t in texts], canonical_json(F.col("_1")))
     assert got[0] == got[1] == '{"a":[2,{"c":"x","d":null}],"b":1}' and len(set(got[1:5])) == 4 and got[4:6] == [None, None] and got[6] == "[]"
+
+
+def test_details_are_scrubbed_and_bounded():
+    import json
+
+    from sparkloom.functions.details import scrubbed
+
+    got = json.loads(scrubbed(json.dumps({"X-API-Key": "a", "secret": None, "token": 3, "auth": {"password": ["p"], "cookie": True}, "tokens": "kept", "text": "sk-abcdefgh1 " + "z" * 5000, "n": list(range(150)), "d": [[[[[[[1]]]]]]]})))
+    assert got["X-API-Key"] == "[redacted]" and got["secret"] is None and got["token"] == 3 and got["auth"] == {"password": "[redacted]", "cookie": True} and got["tokens"] == "kept"
+    assert got["text"].startswith("[redacted] zz") and got["text"].endswith("… (1011 more characters)") and got["n"][99:] == [99, "… 50 more"] and got["d"] == [[[[["[too deep]"]]]]]
+    assert scrubbed(None) is None and scrubbed("{") is None and scrubbed("1") == "1" and len(json.loads(scrubbed(json.dumps({str(i): i for i in range(300)})))) == 100
+    assert scrubbed("[" * 900 + "]" * 900) == '[[[[[["[too deep]"]]]]]]'
