@@ -31,6 +31,19 @@ _STEP_3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "ic
 _STEP_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic")
 
 
+def _endings(*suffixes: str) -> list[tuple[int, frozenset[str]]]:
+    """Suffixes by length, the longest first."""
+    return [(n, frozenset(s for s in suffixes if len(s) == n)) for n in sorted({len(s) for s in suffixes}, reverse=True)]
+
+
+_ENDS_2, _ENDS_3, _ENDS_4 = _endings(*_STEP_2, "ogi", "li"), _endings(*_STEP_3, "ative"), _endings(*_STEP_4, "ion")
+
+
+def _ending(word: str, endings: list[tuple[int, frozenset[str]]]) -> str | None:
+    """The longest of the suffixes that the word ends with."""
+    return next((word[-n:] for n, of in endings if word[-n:] in of), None)
+
+
 def _region(word: str, start: int = 0) -> int:
     m = _REGION.search(word, start)
     return m.end() if m else len(word)
@@ -75,7 +88,7 @@ def stem(word: str) -> str:
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
         w = w[:-1] + "i"
     # derived words, to a shorter derivation, then to none
-    ending = next((s for s in sorted([*_STEP_2, "ogi", "li"], key=len, reverse=True) if w.endswith(s)), None)
+    ending = _ending(w, _ENDS_2)
     if ending and len(w) - len(ending) >= r1:
         before = w[: -len(ending)]
         if ending == "ogi":
@@ -84,13 +97,13 @@ def stem(word: str) -> str:
             w = before if before[-1:] and before[-1] in "cdeghkmnrt" else w
         else:
             w = before + _STEP_2[ending]
-    ending = next((s for s in sorted([*_STEP_3, "ative"], key=len, reverse=True) if w.endswith(s)), None)
+    ending = _ending(w, _ENDS_3)
     if ending and len(w) - len(ending) >= r1:
         if ending != "ative":
             w = w[: -len(ending)] + _STEP_3[ending]
         elif len(w) - len(ending) >= r2:
             w = w[: -len(ending)]
-    ending = next((s for s in sorted([*_STEP_4, "ion"], key=len, reverse=True) if w.endswith(s)), None)
+    ending = _ending(w, _ENDS_4)
     if ending and len(w) - len(ending) >= r2 and (ending != "ion" or w[: -len(ending)].endswith(("s", "t"))):
         w = w[: -len(ending)]
     if w.endswith("e") and (len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _SHORT_END.search(w[:-1]))):
@@ -102,8 +115,13 @@ def stem(word: str) -> str:
 
 def lexemes(text: str | None, stemmed: bool = True) -> dict[str, list[int]]:
     """Positions (from 1, stop words counted) of the text's lexemes. Null has none."""
+    words: dict[str, list[int]] = {}
+    for i, word in enumerate(_WORD.findall((text or "").lower()), 1):
+        words.setdefault(word, []).append(i)
     out: dict[str, list[int]] = {}
-    for i, m in enumerate(_WORD.finditer((text or "").lower()), 1):
-        if m[0] not in STOP_WORDS:
-            out.setdefault(stem(m[0]) if stemmed else m[0], []).append(i)
+    for word, at in words.items():
+        if word not in STOP_WORDS:
+            # forms of one word share a lexeme
+            term = stem(word) if stemmed else word
+            out[term] = sorted(out[term] + at) if term in out else at
     return out

@@ -18,6 +18,8 @@ from .retrieval import POOL, ranked
 
 #: Partitions of the table; parts that the postings of one term are dealt into when they are joined; weight of a match in a text without weights.
 BUCKETS, PARTS, WEIGHT = 32, 32, 0.1
+#: Texts that a Python worker turns into lexemes at once.
+ROWS = 64
 
 
 def _lexemes(df: DataFrame, keys: list[str], text: str, stemmed: bool) -> DataFrame:
@@ -26,12 +28,14 @@ def _lexemes(df: DataFrame, keys: list[str], text: str, stemmed: bool) -> DataFr
     out = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            found = [lexemes(t, stemmed) for t in batch.column(len(keys)).to_pylist()]
-            at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
-            columns = [batch.column(i).take(at) for i in range(len(keys))]
-            columns += [pa.array([t for x in found for t in x], pa.string()), pa.array([p for x in found for p in x.values()], out.field(len(keys) + 1).type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=out)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):  # a text has many lexemes: few texts at a time
+                batch = whole.slice(k, ROWS)
+                found = [lexemes(t.as_py(), stemmed) for t in batch.column(len(keys))]
+                at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                columns = [batch.column(i).take(at) for i in range(len(keys))]
+                columns += [pa.array([t for x in found for t in x], pa.string()), pa.array([p for x in found for p in x.values()], out.field(len(keys) + 1).type)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return df.select(*keys, text).mapInArrow(run, schema)
 
@@ -78,7 +82,8 @@ def search(questions: DataFrame, index: DataFrame, k: int = POOL, every: bool =
         mine = F.collect_set("term")
         asked = asked.groupBy("q_id", "scope").agg(F.array_sort(mine).alias("ts")).select("q_id", "scope", F.size("ts").alias("terms"), F.posexplode("ts").alias("t", "term"))
     asked = asked.withColumn("bucket", bucket()).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    held = index.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
+    # only postings of terms that are asked for go on
+    held = index.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
     found = held.join(asked, ["bucket", "term", "scope", "part"])
     if every:
         hits = found.select("q_id", "chunk_id", "terms", F.explode(F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("t").alias("term")))).alias("hit"))

@@ -9,7 +9,7 @@ from ..operators import retrieval as R
 from ..operators import text_index as X
 from ..operators import vector_index as V
 from . import oracle
-from .catalog import chunks, questions, read, vectors
+from .catalog import chunks, questions, vectors
 
 
 def indexed_rank(spark, d):
