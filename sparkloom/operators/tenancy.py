@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
+from ..sources.shared import forget, stored, together
 
 
 def with_documents(fused: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame) -> DataFrame:
@@ -127,18 +128,22 @@ def run_detail(runs: DataFrame, spans: DataFrame, prices: DataFrame) -> DataFram
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
-    """run_id, key, depth, path: spans below their parents, children by key. A span without a parent in its run is a root."""
-    return spans.sparkSession.sql(
-        """
-        WITH RECURSIVE s AS (SELECT c.run_id, c.key, p.key AS parent FROM {spans} c LEFT JOIN {spans} p ON c.run_id = p.run_id AND c.parent_key = p.key),
-        t (run_id, key, depth, path) AS (
-          SELECT run_id, key, 0, CAST(key AS STRING) FROM s WHERE parent IS NULL
-          UNION ALL
-          SELECT s.run_id, s.key, t.depth + 1, concat(t.path, '/', s.key) FROM t JOIN s ON s.run_id = t.run_id AND s.parent = t.key)
-        SELECT * FROM t
-        """,
-        spans=spans,
-    )
+    """run_id, key, depth, path: spans below their parents, children by key. A span without a parent in its run is a root; spans that are each other's parents hang
+    on no root and have no row. A level a step, each written before the next, so neither rows nor levels are limited."""
+    above = spans.select("run_id", F.col("key").alias("parent_key"), F.col("key").alias("parent"))
+    rows = stored(spans.select("run_id", "key", "parent_key").join(above, ["run_id", "parent_key"], "left").select("run_id", "key", "parent"), "span-parents")
+    level = stored(rows.where("parent is null").select("run_id", "key", F.lit(0).alias("depth"), F.col("key").cast("string").alias("path")), "span-level")
+    below = rows.where("parent is not null")
+    levels = [level]
+    while True:
+        up = level.select("run_id", F.col("key").alias("parent"), "depth", "path")
+        next_ = below.join(up, ["run_id", "parent"]).select("run_id", "key", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), F.col("key").cast("string")).alias("path"))
+        level = stored(next_, "span-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    forget(rows, level)
+    return together(levels)
 
 
 def annotated(calls: DataFrame) -> DataFrame:
