@@ -6,11 +6,13 @@ reads the row groups of the terms that are asked for, whatever the number of chu
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..functions.stems import lexemes
 from ..sources.shared import stored
@@ -52,23 +54,37 @@ def build(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
     return stored(dealt.select("term", "scope", "chunk_id", "positions", "bucket"), "text-index", "bucket")
 
 
-def cover_density(hits: Column, terms: Column) -> Column:
-    """The rank of one chunk: hits (struct of at and term, a number from 0) in order of position; terms, how many all have to occur in a cover.
+def cover_density(held: list[tuple[int, list[int]]], terms: int) -> float:
+    """The rank of one chunk: held (number of a term from 0, its positions), terms, how many all have to occur in a cover.
 
     A cover is a shortest stretch that holds each term; it counts WEIGHT / (1 + words in it that match nothing). One sweep keeps each term's last
-    position: a hit ends a cover if each term has been seen and the stretch begins after the last cover did.
+    position: a hit ends a cover if each term has been seen and the stretch begins after the last cover did. What matches in a stretch is found by its ends.
     """
-    begin = F.struct(F.transform(F.sequence(F.lit(1), terms), lambda _: F.lit(0)).alias("last"), F.lit(0).alias("from_"), F.lit(0.0).alias("rank"))
+    hits = sorted({(at, term) for term, positions in held for at in positions})
+    points = [at for at, _ in hits]
+    last, begin, rank = [0] * terms, 0, 0.0
+    for at, term in hits:
+        last[term] = at
+        first = min(last)
+        if first > begin:
+            noise = at - first + 1 - (bisect_right(points, at) - bisect_left(points, first))
+            begin, rank = first, rank + WEIGHT / (1 + noise)
+    return rank
+
+
+def _densities(df: DataFrame) -> DataFrame:
+    """q_id, chunk_id, density of rows (q_id, chunk_id, terms, held: structs of t and positions)."""
+    schema = StructType([df.schema["q_id"], df.schema["chunk_id"]]).add("density", DoubleType())
+    out = to_arrow_schema(schema)
 
-    def step(s: Column, hit: Column) -> Column:
-        last = F.transform(s["last"], lambda x, i: F.when(i == hit["term"], hit["at"]).otherwise(x))
-        first = F.array_min(last)
-        new = (first > 0) & (first > s["from_"])
-        noise = hit["at"] - first + 1 - F.size(F.filter(hits, lambda h: h["at"].between(first, hit["at"])))
-        density = F.lit(WEIGHT) / (1 + noise)
-        return F.struct(last.alias("last"), F.when(new, first).otherwise(s["from_"]).alias("from_"), (s["rank"] + F.when(new, density).otherwise(0.0)).alias("rank"))
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                ranks = [cover_density([(h["t"], h["positions"]) for h in held], terms) for terms, held in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranks, pa.float64())], schema=out)
 
-    return F.aggregate(hits, begin, step, lambda s: s["rank"])
+    return df.select("q_id", "chunk_id", "terms", "held").mapInArrow(run, schema)
 
 
 def search(questions: DataFrame, index: DataFrame, k: int = POOL, every: bool = False, stemmed: bool = True) -> DataFrame:
@@ -86,9 +102,9 @@ def search(questions: DataFrame, index: DataFrame, k: int = POOL, every: bool =
     held = index.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
     found = held.join(asked, ["bucket", "term", "scope", "part"])
     if every:
-        hits = found.select("q_id", "chunk_id", "terms", F.explode(F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("t").alias("term")))).alias("hit"))
-        of = hits.groupBy("q_id", "chunk_id", "terms").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
-        scored = of.select("q_id", "chunk_id", F.round(cover_density(F.col("hits"), F.col("terms")), 6).alias("lexical_rank")).where("lexical_rank > 0")
+        # a chunk goes on only if it holds every term
+        of = found.groupBy("q_id", "chunk_id", "terms").agg(F.collect_list(F.struct("t", "positions")).alias("held")).where(F.size(F.array_distinct("held.t")) == F.col("terms"))
+        scored = _densities(of).select("q_id", "chunk_id", F.round("density", 6).alias("lexical_rank")).where("lexical_rank > 0")
     else:
         scored = found.groupBy("q_id", "chunk_id").agg(F.round(F.sum(F.size("positions")) * F.lit(WEIGHT), 6).alias("lexical_rank"))
     return ranked(scored, "lexical_rank", "l_rank", k)

@@ -1,8 +1,17 @@
 """Results and plans that must not depend on how large the tables are."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sparkloom.functions import answers as A
+from sparkloom.functions import rules as R
+from sparkloom.operators import retrieval as D
+from sparkloom.operators import selection as S
 from sparkloom.operators import tenancy as T
+from sparkloom.operators import text_index as X
+from sparkloom.operators import vector_index as V
+from sparkloom.sources import loaders as L
 
 
 def test_span_trees_have_no_limit_of_rows_or_levels(spark):
@@ -15,3 +24,57 @@ def test_span_trees_have_no_limit_of_rows_or_levels(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
         spark.conf.unset("spark.sql.cteRecursionLevelLimit")
     assert got == [(1, 1, 0, "1"), (1, 2, 1, "1/2"), (1, 3, 1, "1/3"), (1, 4, 2, "1/3/4"), (2, 5, 0, "5"), (2, None, 1, None)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_addresses_are_matched_once(spark):
+    rows = spark.createDataFrame([("8.8.8.8", "http://a.org"), ("10.0.0.1", "ftp://a.org")], "a string, u string").withColumn("a", F.concat("a", F.lit("")))
+    plan = plan_of(rows.select(R.public_v4(F.col("a")).alias("p"), R.url_error(F.col("u"), ["a.org", "b.org"]).alias("e")))
+    assert plan.count("RLIKE") == 1 and plan.count("regexp_extract(") == 4, plan
+    assert [tuple(r) for r in rows.select(R.public_v4(F.col("a")), R.url_error(F.col("u"), ["a.org"])).collect()] == [(True, None), (False, "Only http and https addresses can be added.")]
+
+
+def test_sentences_of_an_answer_are_found_once(spark):
+    rows = spark.createDataFrame([("A. [1] B. [2]", [2])], "t string, bad array<int>")
+    plan = plan_of(rows.select(A.without_unsupported(F.col("t"), F.col("bad")).alias("s")))
+    assert plan.count("(?:[^\\n.!?]++") == 1, plan
+
+
+def test_covers_of_a_long_text():
+    n = 200_000
+    got = X.cover_density([(0, list(range(1, n, 4))), (1, list(range(3, n, 4)))], 2)
+    assert abs(got - (n // 2 - 1) * 0.1 / 2) < 1e-3
+    assert X.cover_density([(0, [5])], 2) == 0.0
+
+
+def test_many_texts_become_rows_few_at_a_time():
+    assert [b.num_rows for b in L.few([pa.record_batch({"k": list(range(150))})])] == [64, 64, 22]
+
+
+def test_percentiles_read_their_rows_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(x):
+        seen.add(1)
+        return float(x * x % 1999)
+
+    rows = spark.range(2000).select((F.col("id") % 2).alias("g"), value("id").alias("v"))
+    got = {r.g: r.p for r in S.percentiles(rows, ["g"], {"p": (F.col("v"), 0.5)}, limit=20).collect()}
+    want = {g: sorted(float(x * x % 1999) for x in range(g, 2000, 2)) for g in (0, 1)}
+    assert got == {g: (v[499] + v[500]) / 2 for g, v in want.items()} and seen.value <= 4000
+
+
+def test_an_exact_walk_misses_nothing(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 48)), np.tile(rng.normal(size=48), (300, 1))])
+    vectors = spark.createDataFrame([("ab"[i % 2], i, v.tolist()) for i, v in enumerate(x)], "scope string, chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([("ab"[i % 2], i, (x[-1 - i] + rng.normal(size=48)).tolist()) for i in range(0, 600, 20)], "scope string, q_id long, embedding array<float>")
+    index = V.build(vectors)
+    rows = lambda df: sorted(tuple(r) for r in df.select("q_id", "v_rank", "chunk_id", "similarity").collect())
+    want = rows(D.dense(asked, vectors, 10))
+    assert rows(V.search(asked, index, 10, beam=10)) != want
+    assert rows(V.search(asked, index, 10, beam=10, exact=True)) == want
