@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rules import bound
 from .text import cited_indices
 
 _CLOSERS = "\"')”’*`"
@@ -53,18 +54,23 @@ def numbered(text: Column) -> Column:
 def without_unsupported(text: Column, unsupported: Column) -> Column:
     """A struct: left, the text without the sentences of these numbers; gone, the citations of those; sentences, how many there were; empty, whether
     no answer is left: nothing, or only prose where there were citations. With no numbers (or null) the text stays as it is."""
-    text, bad = F.coalesce(text, F.lit("")), F.coalesce(unsupported, F.array().cast("array<int>"))
-    every = sentences(text)
-    split = lambda keep: F.filter(every, lambda x, i: F.array_contains(bad, i + 1) != F.lit(keep))
-    kept, dropped = F.array_join(split(True), ""), split(False)
-    nothing = blank(kept) | ((F.size(cited_indices(text)) > 0) & (F.size(cited_indices(kept)) == 0))
-    none = F.size(bad) == 0
-    return F.struct(
-        F.when(none, text).otherwise(stripped(kept)).alias("left"),
-        F.when(none, F.array().cast("array<int>")).otherwise(F.array_sort(cited_indices(F.array_join(dropped, "")))).alias("gone"),
-        F.when(none, 0).otherwise(F.size(dropped)).alias("sentences"),
-        F.when(none, blank(text)).otherwise(nothing).alias("empty"),
-    )
+    given = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(unsupported, F.array().cast("array<int>")).alias("bad"))
+
+    def cut(s: Column) -> Column:
+        split = lambda keep: F.array_join(F.filter(s["every"], lambda x, i: F.array_contains(s["bad"], i + 1) != F.lit(keep)), "")
+        return F.struct(s["text"].alias("text"), split(True).alias("kept"), split(False).alias("dropped"), F.size(F.filter(s["every"], lambda x, i: F.array_contains(s["bad"], i + 1))).alias("n"))
+
+    def left(s: Column) -> Column:
+        nothing = blank(s["kept"]) | ((F.size(cited_indices(s["text"])) > 0) & (F.size(cited_indices(s["kept"])) == 0))
+        return F.struct(stripped(s["kept"]).alias("left"), F.array_sort(cited_indices(s["dropped"])).alias("gone"), s["n"].alias("sentences"), nothing.alias("empty"))
+
+    def result(s: Column) -> Column:
+        whole = F.struct(s["text"].alias("left"), F.array().cast("array<int>").alias("gone"), F.lit(0).alias("sentences"), blank(s["text"]).alias("empty"))
+        each = F.struct(s["text"].alias("text"), s["bad"].alias("bad"), sentences(s["text"]).alias("every"))
+        # each step is worked out once; a text that stays isn't cut at all
+        return F.when(F.size(s["bad"]) == 0, whole).otherwise(bound(bound(each, cut), left))
+
+    return bound(given, result)
 
 
 def without_unlabelled(reading: Column, printed: Column) -> Column:
