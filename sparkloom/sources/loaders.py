@@ -161,13 +161,24 @@ def markdown_sections(text: str) -> list[Section]:
     return sectioned(content())
 
 
+#: Texts that a Python worker turns into rows at once.
+ROWS = 64
+
+
+def few(batches: Iterable[pa.RecordBatch]):
+    """batches in slices of ROWS rows: a text may become many rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def elements(df: DataFrame, key: str, column: str, sections: Callable[[str], list[Section]]) -> DataFrame:
     """key, section, position, type, text of all elements of the texts in column; null has none."""
     schema = f"{key} long, section int, position int, type string, text string"
     out = pa.schema([(key, pa.int64()), ("section", pa.int32()), ("position", pa.int32()), ("type", pa.string()), ("text", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             rows = [(k, s, i, *e) for k, x in zip(*(c.to_pylist() for c in batch.columns)) for s, part in enumerate(sections(x or "")) for i, e in enumerate(part)]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 5, out)], schema=out)
 
@@ -229,7 +240,7 @@ def chunk(df: DataFrame, key: str = "doc_id", column: str = "text", budget: int
     out = pa.schema([(key, pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string()), ("token_count", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             rows = [(k, i, c, n) for k, x in zip(*(c.to_pylist() for c in batch.columns)) for i, (c, n) in enumerate(pack(x or "", budget, overlap))]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, out)], schema=out)
 
@@ -246,7 +257,7 @@ def packed(rows: DataFrame, keys: list[str], budget: int, overlap: int, whole: I
     out, whole = to_arrow_schema(StructType.fromDDL(schema)), frozenset(whole)
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             *key, types, texts = (c.to_pylist() for c in batch.columns)
             found = []
             for k, t, x in zip(zip(*key), types, texts):
