@@ -30,7 +30,8 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column,
         out = rows.groupBy(*by).agg(F.count("*").alias("_rows"), *(F.percentile(value(v), F.lit(share)).alias(name) for name, (v, share) in wanted.items()))
         return out.where("_rows > 0").drop("_rows")
     measured = F.array(*(F.struct(F.lit(i).alias("m"), value(v).alias("v")) for i, (v, _) in enumerate(wanted.values())))
-    values = rows.select(key.alias("g"), F.explode(measured).alias("x")).select("g", "x.m", "x.v").where("v is not null")
+    # read once more for each cut: written, so that what rows are made of isn't worked out and shuffled again
+    values = stored(rows.select(key.alias("g"), F.explode(measured).alias("x")).select("g", "x.m", "x.v").where("v is not null"), "selection-values")
     share = F.element_at(F.create_map(*(F.lit(x) for i, (_, s) in enumerate(wanted.values()) for x in (i, float(s)))), F.col("m"))
     at = share * (F.col("n") - 1)
     # first and second: the ranks to interpolate between; a, b: their values once known; n: values in lo..hi, before: values under lo
@@ -48,7 +49,7 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[Column,
     done = left.select("g", "m", "part", pick("first").alias("a"), pick("second").alias("b")).unionByName(state.where(~open_).select("g", "m", "part", "a", "b"))
     done = done.withColumn("p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part")))
     found = done.groupBy("g").agg(*(F.max(F.when(F.col("m") == i, F.col("p"))).alias(name) for i, name in enumerate(wanted)))
-    every = rows.select(key.alias("g")).distinct()
+    every = sizes.select(key.alias("g"))
     return every.join(found, "g", "left").select(*(F.col("g")[c].alias(c) for c in by), *wanted)
 
 
