@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, S
 from pyspark.sql.window import Window
 
 from ..sources.shared import forget, stored
-from .retrieval import BLOCK, POOL, in_blocks, ranked
+from .retrieval import BLOCK, POOL, dense, in_blocks, ranked
 
 #: Rounds of pivots, pivots that each vector goes to in a round, vectors under a pivot on average and at most, pivots of a scope at most.
 ROUNDS, NEAREST, LEAF, LEAF_MOST, PIVOTS = 3, 2, 128, 2048, 1024
@@ -126,10 +126,11 @@ def build(vectors: DataFrame, generation: str = "active") -> DataFrame:
     return index
 
 
-def search(questions: DataFrame, index: DataFrame, k: int = POOL, beam: int = BEAM, count_visits: bool = False) -> DataFrame:
+def search(questions: DataFrame, index: DataFrame, k: int = POOL, beam: int = BEAM, count_visits: bool = False, exact: bool = False) -> DataFrame:
     """q_id, chunk_id, similarity, v_rank: the k nearest found by cosine for each question (q_id, scope, embedding; a row for each scope that it may search).
 
-    A beam is at least as wide as k. With count_visits: q_id, scope and how many vectors the question was compared with. Questions without a vector,
+    A beam is at least as wide as k. With exact, every vector of the scope is compared after the walk, by blocks, and what the walk found says which of them go on:
+    only those at least as near as its k-th; so none of the nearest is missed. With count_visits: q_id, scope and how many vectors the question was compared with. Questions without a vector,
     and in a scope without vectors, find nothing.
     """
     beam = max(beam, k)
@@ -153,7 +154,12 @@ def search(questions: DataFrame, index: DataFrame, k: int = POOL, beam: int = BE
     if count_visits:
         return seen.groupBy("q_id", "scope").agg(F.count("*").alias("visits"))
     scored = seen.select("q_id", "chunk_id", F.round("near", 6).alias("similarity"))
-    return ranked(scored, "similarity", "v_rank", k)
+    best = ranked(scored, "similarity", "v_rank", k)
+    if not exact:
+        return best
+    # a floor lies under any rounding of the k-th similarity
+    floors = best.where(F.col("v_rank") == k).select("q_id", (F.col("similarity") - 2e-6).alias("floor"))
+    return dense(asked.join(floors, "q_id", "left").withColumnRenamed("q", "embedding"), index, k)
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
