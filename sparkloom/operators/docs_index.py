@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import dealt
+
+#: Files whose lines one task holds.
+FILES = 20_000
 _FENCE = r"^\s*(```+|~~~+)"
 _HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 #: Labels that open a page's lead, a line that leads back, marks of notes.
@@ -29,7 +33,7 @@ def files(spark: SparkSession, glob: str) -> DataFrame:
 
 def prose(files: DataFrame) -> DataFrame:
     """slug, number (from 1), line: the lines outside fenced blocks. A fence is closed by one of its own kind only, or by the end."""
-    lines = files.select("slug", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).select("slug", (F.col("i") + 1).alias("number"), "line", F.substring(F.ltrim(F.regexp_extract("line", _FENCE, 0)), 1, 1).alias("mark"))
+    lines = dealt(files.select("slug", "text"), FILES, "slug").select("slug", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).select("slug", (F.col("i") + 1).alias("number"), "line", F.substring(F.ltrim(F.regexp_extract("line", _FENCE, 0)), 1, 1).alias("mark"))
     # only the fences of a file are folded, into the stretches that they enclose
     marks = lines.where(F.col("line").rlike(_FENCE)).groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("number", "mark"))).alias("marks"))
     nothing = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.slice(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))), 1, 0).alias("spans"))

@@ -1,11 +1,14 @@
 """Results and plans that must not depend on how large the tables are."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.functions import answers as A
 from sparkloom.functions import rules as R
+from sparkloom.operators import docs_index, pages, sections
 from sparkloom.operators import retrieval as D
 from sparkloom.operators import selection as S
 from sparkloom.operators import tenancy as T
@@ -78,3 +81,17 @@ def test_an_exact_walk_misses_nothing(spark):
     want = rows(D.dense(asked, vectors, 10))
     assert rows(V.search(asked, index, 10, beam=10)) != want
     assert rows(V.search(asked, index, 10, beam=10, exact=True)) == want
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    for module, name in ((sections, "ROWS"), (pages, "ROWS"), (docs_index, "FILES"), (D, "TEXTS")):
+        monkeypatch.setattr(module, name, 2)
+    box = F.struct(*(F.lit(x).alias(k) for k, x in (("xmin", 0.0), ("ymin", 0.0), ("xmax", 0.5), ("ymax", 0.5))))
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("chunk_index"), F.lit("s").alias("section"))
+    elements = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("idx"), F.lit("Text").alias("type"), F.lit("t").alias("text"), box.alias("box"))
+    files = spark.range(100).select(F.concat(F.lit("f"), "id").alias("slug"), F.lit("# A\nb").alias("text"))
+    texts = spark.range(100).select(F.col("id").alias("chunk_id"), F.lit("a").alias("scope"), F.lit("word").alias("content"))
+    asked = spark.createDataFrame([(1, "a", "word")], "q_id int, scope string, text string")
+    for df, n in ((sections.section_runs(rows), 100), (pages.normalise_pages(elements), 100), (docs_index.prose(files), 100), (D.lexical(asked, texts, 200), 100)):
+        assert re.search(r"RepartitionByExpression \[[^\]]*\], 50", plan_of(df)), plan_of(df)
+        assert df.count() >= n
