@@ -5,15 +5,12 @@ All joins are declared; Catalyst picks their kind by size. Null keys match nothi
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import rules as R
-from ..sources.shared import forget, stored, together
+from ..sources.shared import dealt, forget, stored, together
 
 
 def with_documents(fused: DataFrame, chunks: DataFrame, documents: DataFrame, files: DataFrame) -> DataFrame:
@@ -177,55 +174,44 @@ def citation_groups(citations: DataFrame) -> DataFrame:
     return rows.select("q_id", F.row_number().over(order).alias("place"), "document_id", "unit", "page", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
 
 
-#: Titles of a block, each with an automaton of its own, and questions that go through it in one task.
-TITLES, QUESTIONS = 100_000, 50_000
+#: Characters of a title that a question must hold before whole titles are compared with it; questions of a task.
+HEAD, QUESTIONS = 8, 50_000
 
 
-def mentioned(questions: DataFrame, documents: DataFrame, block: int = TITLES) -> DataFrame:
-    """questions (q_id, text) with the document whose title they name, the longest title if several, null if none; of equal titles the smallest document_id.
+def named(questions: DataFrame, documents: DataFrame, head: int = HEAD) -> DataFrame:
+    """q_id, document_id of the questions (q_id, text) that name a title: the longest if several, of equal titles and lengths the smallest document_id.
 
-    Equal titles are one before anything is joined. Distinct ones are dealt into blocks of about `block`; a task builds a multi-pattern automaton over its
-    block and reads each question once, whatever the number of titles. It gives a question's longest title of the block, so a row a question and block
-    is the most that is joined. Titles of under three characters name nothing.
+    Equal titles are one before anything is joined. A question meets titles by equality only: where it holds the first `head` characters of titles, it is cut to
+    the lengths of those titles, and what that gives is joined with the titles. So the rows grow with the questions' characters and with the lengths that titles
+    have, whatever the number of titles. Titles of under three characters name nothing.
     """
     titled = documents.select("document_id", R.title_key(F.col("title")).alias("t")).where(F.length("t") >= 3)
-    titled = titled.groupBy("t").agg(F.min("document_id").alias("document_id"))
-    asked = questions.select("q_id", R.title_key(F.col("text")).alias("q"))
-    blocks = max(1, -(-titled.count() // block))
-    held = titled.select((F.pmod(F.xxhash64("t"), F.lit(blocks))).cast("int").alias("b"), "t", "document_id")
-    # questions are dealt, too; each part of them meets every block
-    parts = max(1, -(-questions.count() // QUESTIONS))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    schema = StructType([questions.schema["q_id"], StructField("t", StringType()), documents.schema["document_id"]])
-    out = to_arrow_schema(schema)
-
-    def longest(titles: pa.Table, asked_: pa.Table) -> pa.Table:
-        import ahocorasick
-
-        if not titles.num_rows or not asked_.num_rows:
-            return out.empty_table()
-        titles = titles.sort_by([("document_id", "descending")])  # of equal lengths the last one counts
-        words = ahocorasick.Automaton()
-        for i, t in enumerate(titles["t"].to_pylist()):
-            words.add_word(t, (len(t), i))
-        words.make_automaton()
-        found = [max((x for _, x in words.iter(q)), default=None) if q else None for q in asked_["q"].to_pylist()]
-        rows = [k for k, x in enumerate(found) if x]
-        at = pa.array([found[k][1] for k in rows], pa.int64())
-        return pa.Table.from_arrays([asked_["q_id"].take(pa.array(rows, pa.int64())), titles["t"].take(at), titles["document_id"].take(at)], schema=out)
-
-    best = held.groupBy("b", "part").cogroup(asked.groupBy("b", "part")).applyInArrow(longest, schema)
-    # of several titles of the longest length the smallest document stands
-    best = best.groupBy("q_id").agg(F.min_by("document_id", F.struct(-F.length("t"), "document_id")).alias("document_id"))
-    return questions.join(best, "q_id", "left")
+    titled = stored(titled.groupBy("t").agg(F.min("document_id").alias("document_id")), "titles")
+    begins = titled.select(F.substring("t", 1, head).alias("head"), F.length("t").alias("size")).distinct()
+    # shorter titles are heads of their own size: `head` sizes at most
+    sizes = [(r.of, r.longest) for r in titled.groupBy(F.least(F.length("t"), F.lit(head)).alias("of")).agg(F.max(F.length("t")).alias("longest")).collect()]
+    longest = max((n for _, n in sizes), default=head)
+    asked = questions.select("q_id", R.title_key(F.col("text")).alias("q")).where(F.length("q") >= 3)
+    rest = asked.select("q_id", "q", F.explode(F.sequence(F.lit(1), F.length("q"))).alias("at")).select("q_id", F.col("q").substr(F.col("at"), F.lit(longest)).alias("rest"))
+    starts = rest.select("q_id", "rest", F.explode(F.array(*(F.lit(n) for n, _ in sizes)).cast("array<int>")).alias("of")).where(F.length("rest") >= F.col("of"))
+    found = starts.withColumn("head", F.col("rest").substr(F.lit(1), F.col("of"))).join(begins, "head").where(F.length("rest") >= F.col("size"))
+    best = found.select("q_id", F.col("rest").substr(F.lit(1), F.col("size")).alias("t")).join(titled, "t")
+    return best.groupBy("q_id").agg(F.min_by("document_id", F.struct(-F.length("t"), "document_id")).alias("document_id"))
+
+
+def mentioned(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """questions (q_id, text) with the document whose title they name, null if none."""
+    questions = dealt(questions, QUESTIONS, "q_id")
+    return questions.join(named(questions, documents), "q_id", "left")
 
 
 def scope(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """How each question is read: a whole document (named, or the only one there is) or a search."""
     only = documents.agg(F.count("*").alias("_n"), F.min("document_id").alias("_only"))
-    rows = mentioned(questions, documents).crossJoin(only)  # one row
-    whole = R.wants_document(F.col("text"))
+    questions = dealt(questions, QUESTIONS, "q_id").withColumn("_whole", R.wants_document(F.col("text")))
+    # only a question that asks for a whole document depends on what it names
+    rows = questions.join(named(questions.where("_whole"), documents), "q_id", "left").crossJoin(only)  # one row
+    whole = F.col("_whole")
     reason = F.when(whole & F.col("document_id").isNotNull(), "named").when(whole & (F.col("_n") == 1), "only-document")
     return rows.select("q_id", F.when(reason.isNull(), "search").otherwise("document").alias("mode"), reason.alias("reason"), F.when(reason == "named", F.col("document_id")).when(reason == "only-document", F.col("_only")).alias("document_id"))
 

@@ -1,5 +1,6 @@
 """Results and plans that must not depend on how large the tables are."""
 
+import random
 import re
 
 import numpy as np
@@ -95,3 +96,20 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
     for df, n in ((sections.section_runs(rows), 100), (pages.normalise_pages(elements), 100), (docs_index.prose(files), 100), (D.lexical(asked, texts, 200), 100)):
         assert re.search(r"RepartitionByExpression \[[^\]]*\], 50", plan_of(df)), plan_of(df)
         assert df.count() >= n
+
+
+def test_titles_are_found_by_equality(spark):
+    rng = random.Random(15)
+    say = lambda n: "".join(rng.choice("ab -") for _ in range(n))
+    titles = [(k, say(rng.randrange(0, 14))) for k in range(300)] + [(500, None), (501, "Guide_to b"), (502, "guide to"), (499, "GUIDE-to b")]
+    asked = [(k, say(rng.randrange(0, 60))) for k in range(200)] + [(900, None), (901, "Summarise misguide to bb!"), (902, "")]
+    docs, rows = spark.createDataFrame(titles, "document_id int, title string"), spark.createDataFrame(asked, "q_id int, text string")
+    got = T.mentioned(rows, docs)
+    assert "FlatMapCoGroups" not in plan_of(got)  # no block of questions meets a block of titles
+    key = lambda x: re.sub(r"\s+", " ", re.sub(r"[_\-.]+", " ", (x or "").lower())).strip()
+    best = {q: min(((-len(key(t)), d) for d, t in titles if len(key(t)) >= 3 and key(t) in key(text)), default=(0, None))[1] for q, text in asked}
+    assert {r.q_id: r.document_id for r in got.collect()} == best and best[901] == 499 and best[900] is None
+    assert len(set(best.values())) > 20
+    # a question that doesn't ask for a whole document isn't searched
+    scoped = {r.q_id: (r.mode, r.document_id) for r in T.scope(rows, docs).collect()}
+    assert scoped[901] == ("document", 499) and scoped[902] == ("search", None)
