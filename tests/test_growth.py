@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import answers as A
 from sparkloom.functions import rules as R
+from sparkloom.functions.stems import hits, lexemes
 from sparkloom.operators import docs_index, pages, sections
 from sparkloom.operators import retrieval as D
 from sparkloom.operators import selection as S
@@ -113,3 +114,30 @@ def test_titles_are_found_by_equality(spark):
     # a question that doesn't ask for a whole document isn't searched
     scoped = {r.q_id: (r.mode, r.document_id) for r in T.scope(rows, docs).collect()}
     assert scoped[901] == ("document", 499) and scoped[902] == ("search", None)
+
+
+def test_postings_of_many_texts_share_a_row(spark, monkeypatch):
+    rows = spark.range(400, numPartitions=1).select(F.lit("a").alias("scope"), F.col("id").alias("chunk_id"), F.concat(F.lit("Running, the rün "), "id", F.lit(" runs")).alias("content"))
+    packed = X._postings(rows.repartition(1), True).collect()
+    assert len(packed) == 403 and {r.term: len(r.postings) for r in packed if not r.term.isdigit()} == {"run": 400, "r": 400, "n": 400}
+    held = X.build(rows).where("term = 'run'").selectExpr("inline(postings)").collect()
+    assert len(held) == 400 and {tuple(r.positions) for r in held} == {(1, 6)}
+    asked = spark.createDataFrame([(1, "a", "ran runs"), (2, "a", "7")], "q_id int, scope string, text string")
+    small = X.search(asked, X.build(rows), 400)
+    assert "positions" not in plan_of(small).split("Aggregate")[1].split("RepartitionByExpression")[0]  # what goes on is a number
+    monkeypatch.setattr(X, "ASKED", 0)
+    assert small.exceptAll(X.search(asked, X.build(rows), 400)).count() == 0 and small.count() == 401
+    # slices are bounded by bytes
+    batch = pa.record_batch({"t": ["x" * 10, None, "", "y" * 50, "z", "z"]})
+    assert [s.num_rows for s in X.slices(batch, "t", 12)] == [3, 1, 2]
+
+
+def test_words_of_many_texts_are_lexemes_of_each():
+    texts = [None, "", "İstanbul KKelvin été x1", "the of", " Policies policy; POLICY\tran ", "agreed"]
+    for stemmed in (True, False):
+        terms, term, text, position = hits(texts, stemmed)
+        got = [{} for _ in texts]
+        for k, i, p in zip(term.tolist(), text.tolist(), position.tolist()):
+            got[i].setdefault(terms[k], []).append(p)
+        assert got == [lexemes(t, stemmed) for t in texts]
+    assert [len(x) for x in hits([])] == [0, 0, 0, 0]
