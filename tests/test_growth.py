@@ -99,6 +99,38 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
         assert df.count() >= n
 
 
+def test_words_are_scored_by_blocks(spark, monkeypatch):
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(40)] + ["the", "É", "\u212a9", "\u0130", "x_y", "A1", "", "\n"]
+    say = lambda n: rng.choice([" ", "-", "  "]).join(rng.choice(vocabulary) for _ in range(rng.randrange(n)))
+    # ids that repeat, in one scope and in two; no id, no scope, no text
+    texts = [(i, rng.choice("abc"), say(30)) for i in range(300)] + [(i, "ab"[i % 2], say(30)) for i in range(0, 60, 3)] + [(None, "a", "w1 w2"), (400, None, "w1"), (401, "a", None), (402, "a", "w3 " * 900)]
+    asked = [(q, s, text) for q in range(30) for text in [say(12)] for s in "abc"[q % 3 :]] + [(90, "a", None), (91, "b", "the"), (92, None, "w1"), (93, "d", "w1"), (5, "c", "w7 w8"), (6, "a", "K9 i X Y a1")]
+    chunks, questions = spark.createDataFrame(texts, "chunk_id long, scope string, content string"), spark.createDataFrame(asked, "q_id int, scope string, text string")
+    words = lambda text: [w for w in re.split("[^a-z0-9]+", (text or "").lower()) if w and w != "the"]
+    wanted, score = {}, {}
+    for q, s, text in asked:
+        wanted.setdefault((q, s), set()).update(words(text))
+    for (q, s), terms in wanted.items():
+        for i, scope, text in texts:
+            if s is not None and s == scope and (n := sum(w in terms for w in words(text))):
+                score.setdefault(q, {})[i] = score.get(q, {}).get(i, 0) + n
+    want = {(q, i, rank, round(n * 0.1, 6)) for q, found in score.items() for rank, (i, n) in enumerate(sorted(found.items(), key=lambda x: (-x[1], -1 if x[0] is None else x[0]))[:7], 1)}
+    got = lambda: [(r.q_id, r.chunk_id, r.l_rank, r.lexical_rank) for r in D.lexical(questions, chunks, 7).collect()]
+    rows = got()
+    assert set(rows) == want and len(rows) == len(want) > 150
+    # no row for each pair of a question and a chunk, or for each word of a text
+    plan = plan_of(D.lexical(questions, chunks, 7))
+    assert "FlatMapCoGroups" in plan and "Join" not in plan and plan.count("Generate explode") == 2
+    for name, n in (("BYTES", 500), ("QUESTIONS", 9), ("CELLS", 200), ("TEXTS", 20)):
+        monkeypatch.setattr(D, name, n)
+    rows = got()
+    assert set(rows) == want and len(rows) == len(want)
+    of_chunks = chunks.where("chunk_id < 3").select(F.col("chunk_id").alias("q_id"), "scope", F.col("content").alias("text"))
+    assert D.lexical(of_chunks, chunks, 7).where("l_rank = 1").count() == 3
+    assert D.lexical(questions.limit(0), chunks).count() == D.lexical(questions, chunks.limit(0)).count() == 0
+
+
 def test_titles_are_found_by_equality(spark):
     rng = random.Random(15)
     say = lambda n: "".join(rng.choice("ab -") for _ in range(n))
