@@ -1,6 +1,6 @@
 """Loaders: HTML and Markdown into sections of typed elements, and sections into chunks under a token budget.
 
-Sections and packing depend on order, so they run in Python over Arrow batches, one row at a time with no state between rows.
+Sections and packing depend on order, so they run in Python over Arrow batches, one row at a time; only the number of a document's chunks goes on from row to row.
 """
 
 from __future__ import annotations
@@ -172,6 +172,10 @@ def few(batches: Iterable[pa.RecordBatch]):
             yield batch.slice(k, ROWS)
 
 
+#: Rows and characters that a Python worker hands back at once.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 22
+
+
 def elements(df: DataFrame, key: str, column: str, sections: Callable[[str], list[Section]]) -> DataFrame:
     """key, section, position, type, text of all elements of the texts in column; null has none."""
     schema = f"{key} long, section int, position int, type string, text string"
@@ -195,33 +199,36 @@ def estimate(text: str) -> int:
     return math.ceil(total)
 
 
-def pieces(text: str, budget: int) -> list[str]:
-    """Paragraphs that fit the budget; sentences of those that don't; of longer sentences, slices that do."""
+def pieces(text: str, budget: int) -> list[tuple[str, int]]:
+    """Paragraphs that fit the budget; sentences of those that don't; of longer sentences, slices that do; each with its tokens."""
     out = []
     for paragraph in (p.strip() for p in re.split(r"\n\s*\n+", text)):
         if not paragraph:
             continue
-        for part in [paragraph] if estimate(paragraph) <= budget else re.split(r"(?<=[.!?])\s+", paragraph):
+        if (cost := estimate(paragraph)) <= budget:
+            out.append((paragraph, cost))
+            continue
+        for part in re.split(r"(?<=[.!?])\s+", paragraph):
             while part.strip():
                 size = len(part)
                 if estimate(part) > budget:
                     size = max(1, min(size, int(budget * size / estimate(part))))
                     while size > 1 and estimate(part[:size]) > budget:
                         size = int(size * 0.9)
-                out.append(part[:size].strip())
+                if piece := part[:size].strip():
+                    out.append((piece, estimate(piece)))
                 part = part[size:]
-    return [p for p in out if p]
+    return out
 
 
 def pack(text: str, budget: int, overlap: int) -> list[tuple[str, int]]:
     """(content, tokens) of chunks: pieces in order, each chunk within the budget, begun with the last pieces of the one before as far as
     the overlap allows and there is room."""
-    chunks: list[list[str]] = []
+    chunks: list[list[tuple[str, int]]] = []
     held: list[tuple[str, int]] = []
-    for piece in pieces(text, budget):
-        cost = estimate(piece)
+    for piece, cost in pieces(text, budget):
         if held and sum(c for _, c in held) + cost > budget:
-            chunks.append([p for p, _ in held])
+            chunks.append(held)
             tail: list[tuple[str, int]] = []
             for p in reversed(held):
                 if sum(c for _, c in tail) + p[1] > overlap:
@@ -230,8 +237,9 @@ def pack(text: str, budget: int, overlap: int) -> list[tuple[str, int]]:
             held = tail if sum(c for _, c in tail) + cost <= budget else []
         held.append((piece, cost))
     if held:
-        chunks.append([p for p, _ in held])
-    return [(content, estimate(content)) for content in map("\n\n".join, chunks)]
+        chunks.append(held)
+    # of a single piece the tokens are known
+    return [c[0] if len(c) == 1 else (content := "\n\n".join(p for p, _ in c), estimate(content)) for c in chunks]
 
 
 def chunk(df: DataFrame, key: str = "doc_id", column: str = "text", budget: int = 512, overlap: int = 64) -> DataFrame:
@@ -247,8 +255,11 @@ def chunk(df: DataFrame, key: str = "doc_id", column: str = "text", budget: int
     return df.select(key, column).mapInArrow(run, schema)
 
 
-def packed(rows: DataFrame, keys: list[str], budget: int, overlap: int, whole: Iterable[str] = ()) -> DataFrame:
-    """rows (keys, type, text) cut to the budget each for itself: keys, part, content, token_count; texts of the types in `whole` stay in one piece."""
+def packed(rows: DataFrame, keys: list[str], budget: int, overlap: int, whole: Iterable[str] = (), nth: str | None = None) -> DataFrame:
+    """rows (keys, type, text) cut to the budget each for itself: keys, part, content, token_count; texts of the types in `whole` stay in one piece.
+
+    nth: a row's number in its document, from 1, by a window that stands right before; then part goes on over the document, without another shuffle of the chunks.
+    """
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", part int, content string, token_count int"
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -257,15 +268,26 @@ def packed(rows: DataFrame, keys: list[str], budget: int, overlap: int, whole: I
     out, whole = to_arrow_schema(StructType.fromDDL(schema)), frozenset(whole)
 
     def run(batches):
+        last = part = size = 0
+        found = []
+        made = lambda: pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*found)), out)], schema=out)
         for batch in few(batches):
-            *key, types, texts = (c.to_pylist() for c in batch.columns)
-            found = []
-            for k, t, x in zip(zip(*key), types, texts):
+            *key, types, texts, numbers = (c.to_pylist() for c in batch.columns)
+            for k, t, x, n in zip(zip(*key), types, texts, numbers):
+                if n != 1 and n != last + 1:
+                    raise ValueError(f"row {n} of a document after its row {last}")
+                last, part = n, 0 if n == 1 else part
                 parts = [(x, estimate(x))] if t in whole and x and x.strip() else pack(x or "", budget, overlap)
-                found += [(*k, i, *p) for i, p in enumerate(parts)]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [()] * len(out), out)], schema=out)
+                found += [(*k, i, *p) for i, p in enumerate(parts, part)]
+                part += len(parts)
+                size += sum(len(p) for p, _ in parts)
+                if len(found) >= BATCH_ROWS or size >= BATCH_CHARS:
+                    yield made()
+                    found, size = [], 0
+        if found:
+            yield made()
 
-    return rows.select(*keys, "type", "text").mapInArrow(run, schema)
+    return rows.select(*keys, "type", "text", F.col(nth) if nth else F.lit(1)).mapInArrow(run, schema)
 
 
 def numbered(chunks: DataFrame, *order: str) -> DataFrame:
@@ -282,9 +304,11 @@ def page_chunks(pages: DataFrame, budget: int = 512, overlap: int = 64) -> DataF
 
 def element_chunks(found: DataFrame, budget: int = 512, overlap: int = 64) -> DataFrame:
     """Elements (doc_id, page, place, type, text, heading, caption) as chunks: tables and pictures whole, other text cut within its element."""
-    rows = packed(found, ["doc_id", "page", "place", "heading", "caption", "type"], budget, overlap, ("Table", "Picture"))
+    # a document's rows are numbered where they stand: they are dealt by document here, or were before
+    rows = found.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "place")))
+    rows = packed(rows, ["doc_id", "page", "heading", "caption", "type"], budget, overlap, ("Table", "Picture"), "_nth")
     kind = F.when(F.col("type") == "Table", "table").when(F.col("type") == "Picture", "figure").otherwise("text")
-    return numbered(rows.withColumn("kind", kind), "page", "place", "part").select("doc_id", "chunk_index", "page", "kind", "heading", "caption", "content", "token_count")
+    return rows.select("doc_id", F.col("part").alias("chunk_index"), "page", kind.alias("kind"), "heading", "caption", "content", "token_count")
 
 
 def section_chunks(found: DataFrame, key: str, budget: int = 512, overlap: int = 64) -> DataFrame:
