@@ -189,21 +189,24 @@ def elements(df: DataFrame, key: str, column: str, sections: Callable[[str], lis
     return df.select(key, column).mapInArrow(run, schema)
 
 
+_digits, _spaced, _letters, _others = (re.compile(p).findall for p in ("[0-9]", r"\s[0-9]", "[A-Za-z]+", r"[^\sA-Za-z0-9]+"))
+
+
 def estimate(text: str) -> int:
     """The token estimate of sparkloom.functions.text, for packing."""
     if not text:
         return 0
-    total = 2 + len(re.findall("[0-9]", text)) + 0.5 * len(re.findall(r"\s[0-9]", text))
-    total += sum(math.ceil(len(x) / 6.6) for x in re.findall("[A-Za-z]+", text))
-    total += sum(math.ceil(len(x) / 2.5) for x in re.findall(r"[^\sA-Za-z0-9]+", text))
+    total = 2 + len(_digits(text)) + 0.5 * len(_spaced(text))
+    total += sum([math.ceil(len(x) / 6.6) for x in _letters(text)])
+    total += sum([math.ceil(len(x) / 2.5) for x in _others(text)])
     return math.ceil(total)
 
 
 def pieces(text: str, budget: int) -> list[tuple[str, int]]:
     """Paragraphs that fit the budget; sentences of those that don't; of longer sentences, slices that do; each with its tokens."""
     out = []
-    for paragraph in (p.strip() for p in re.split(r"\n\s*\n+", text)):
-        if not paragraph:
+    for paragraph in re.split(r"\n\s*\n+", text) if "\n" in text else [text]:
+        if not (paragraph := paragraph.strip()):
             continue
         if (cost := estimate(paragraph)) <= budget:
             out.append((paragraph, cost))
